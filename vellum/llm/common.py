@@ -119,7 +119,7 @@ def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
     if not n:
         return words
     k = min(k, n)
-    out = np.full(n - k + 1, np.uint64(k) * _M1)
+    out = np.full(n - k + 1, k, np.uint64) * _M1
     for j in range(k):
         out = out * _MULT[0] + words[j : n - k + 1 + j] * _MULT[j % len(_MULT)]
     return mix64(out)

@@ -16,5 +16,14 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {"op1_packing": op1_packing}
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ngram_join import ngram_groups
+
+    return ngram_groups(_table(spark, sf_dir, "documents"), n=4, percent=85)
+
+
+QUERIES = {
+    "op1_packing": op1_packing,
+    "op4_ngram_join": op4_ngram_join,
+}
 ORACLES: dict[str, str] = {}
