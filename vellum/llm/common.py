@@ -113,13 +113,23 @@ def utf8(text: str | None, lower: bool = False) -> np.ndarray:
 _MULT = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
 
 
+def words_of(texts: list[str | None], lower: bool = False) -> list[np.ndarray]:
+    """Hashes of the words of each text, in their order; the texts are hashed in one go."""
+    raws = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+    raw = np.frombuffer(b" ".join(raws), np.uint8)
+    starts, ends = word_spans(raw)
+    hashes = word_hashes(_LOWER[raw] if lower else raw, starts, ends)
+    at = np.cumsum([len(x) + 1 for x in raws])
+    return np.split(hashes, np.searchsorted(starts, at[:-1])) if len(raws) else []
+
+
 def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
     """Hashes of the runs of ``k`` words; of a shorter text, the hash of all its words."""
     n = len(words)
     if not n:
         return words
     k = min(k, n)
-    out = np.full(n - k + 1, k, np.uint64) * _M1
+    out = np.full(n - k + 1, k, np.uint64)
     for j in range(k):
         out = out * _MULT[0] + words[j : n - k + 1 + j] * _MULT[j % len(_MULT)]
     return mix64(out)

@@ -17,8 +17,9 @@ Which tokens count as frequent decides only the cost: any such set gives the
 same links. It is the most frequent tokens of all prefixes, at most
 ``frequent_most``, so its size doesn't follow the corpus.
 
-Documents that share a signature are candidates if their sizes and the
-signature's positions allow the overlap. They are verified on their whole sets
+The prefix is longer by ``MATCHES`` - 1 than would do for one shared signature,
+so a link's ends share ``MATCHES`` of them. Documents that do are candidates if
+their sizes and the first shared signature's position allow the overlap. They are verified on their whole sets
 in two passes: first each list's least node against the others; then all pairs
 that the first pass has not put together. What the first pass has linked to
 one node needs no pair of its own: components are exact without it.
@@ -38,17 +39,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import mix64, shingle_hashes, utf8, word_hashes, word_spans, written
+from .common import mix64, shingle_hashes, words_of, written
 from .components import connected_components
+from .tokens import in_groups
 
 _SLOT_BITS = 22
+#: Signatures that a candidate pair shares.
+MATCHES = 3
 
 
-def token_set(text: str | None, n: int) -> np.ndarray:
-    """Sorted hashes of the distinct n-grams of a text's words, ASCII capitals lowered."""
-    raw = utf8(text, lower=True)
-    starts, ends = word_spans(raw)
-    return np.unique(shingle_hashes(word_hashes(raw, starts, ends), n))
+def token_sets(texts: list[str | None], n: int) -> list[np.ndarray]:
+    """Sorted hashes of the distinct n-grams of each text's words, ASCII capitals lowered."""
+    out = []
+    for tokens in (shingle_hashes(words, n) for words in words_of(texts, lower=True)):
+        tokens.sort()
+        out.append(tokens[np.concatenate([[True], tokens[1:] != tokens[:-1]])] if len(tokens) > 1 else tokens)
+    return out
 
 
 def node_key(tokens: np.ndarray) -> bytes:
@@ -64,13 +70,17 @@ def groups_at(level: int, percent: int) -> int:
     return max(1, (2**level * (100 - percent)) // 800)
 
 
-def signatures(tokens: np.ndarray, frequent: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Signatures of a sorted token set and, for each, the most tokens that a partner
-    can share which has this signature as the first one in common."""
+def signatures(tokens: np.ndarray, frequent: np.ndarray, percent: int, matches: int = MATCHES) -> tuple[np.ndarray, np.ndarray, int]:
+    """Signatures of a sorted token set; for each, the most tokens that a partner can
+    share which has this signature as the first one in common; and how many
+    signatures a link's ends share at least, ``matches`` but for the smallest sets.
+    """
     n = len(tokens)
-    if n < 2:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    need = slack(n, percent) + 1
+    lost = slack(n, percent)
+    sure = min(matches, n - lost - 1)
+    if sure < 1:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), 0
+    need = lost + sure
     if len(frequent):
         at = np.minimum(np.searchsorted(frequent, tokens), len(frequent) - 1)
         often = frequent[at] == tokens
@@ -92,7 +102,7 @@ def signatures(tokens: np.ndarray, frequent: np.ndarray, percent: int) -> tuple[
             enough = np.flatnonzero(np.cumsum(repeat) >= need - len(rare))
             end = enough[0] + 1 if len(enough) else len(common)
             others = np.cumsum(~repeat)  # groups begun up to here, with this token's own
-            by_group = order[np.isin(order, np.arange(end), assume_unique=True)] if end < len(common) else order
+            by_group = order[order < end]
             cuts = np.flatnonzero(np.diff(g[by_group])) + 1
             for members in np.split(by_group, cuts):
                 if len(members) < 2:
@@ -101,27 +111,26 @@ def signatures(tokens: np.ndarray, frequent: np.ndarray, percent: int) -> tuple[
                 a, b = members[a], members[b]
                 sigs.append(mix64(common[a] * np.uint64(0x9E3779B97F4A7C15) + mix64(common[b] + np.uint64(lev + 1))))
                 most.append(n - len(rare) - a + others[a] - 1)
-    sig, most = np.concatenate(sigs), np.concatenate(most)
-    keep = 100 * most >= percent * n
-    return sig[keep], most[keep]
+    return np.concatenate(sigs), np.concatenate(most), sure
 
 
 def _sets(docs: DataFrame, n: int, emit, schema: str) -> DataFrame:
-    """``emit(ids, [(row, key, tokens)])`` of each batch; equal sets of a task come once, but for ``all_rows``."""
+    """What ``emit(batch, [(key, tokens, whether the task had this set before)])`` makes of the documents."""
 
     def run(batches):
         seen: set[bytes] = set()
         for batch in batches:
-            rows = []
-            for k, text in enumerate(batch.column(batch.schema.get_field_index("text")).to_pylist()):
-                tokens = token_set(text, n)
-                key = node_key(tokens) if len(tokens) else None
-                rows.append((k, key, tokens, key in seen))
-                if key is not None:
-                    if len(seen) > 500_000:
-                        seen.clear()
-                    seen.add(key)
-            yield from emit(batch, rows)
+            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
+            for part in in_groups(texts):
+                rows = []
+                for tokens in token_sets(texts[part], n):
+                    key = node_key(tokens) if len(tokens) else None
+                    rows.append((key, tokens, key in seen))
+                    if key is not None:
+                        if len(seen) > 500_000:
+                            seen.clear()
+                        seen.add(key)
+                yield from emit(batch.slice(part.start, part.stop - part.start), rows)
 
     return docs.mapInArrow(run, schema)
 
@@ -134,7 +143,7 @@ def frequent_tokens(docs: DataFrame, n: int, percent: int, least: int, most: int
     """Tokens in more than ``least`` prefixes, the ``most`` most frequent of them."""
 
     def emit(batch, rows):
-        found = [t[: slack(len(t), percent) + 1] for _, _, t, again in rows if len(t) > 1 and not again]
+        found = [t[: slack(len(t), percent) + 1] for _, t, again in rows if len(t) > 1 and not again]
         if found:
             yield pa.RecordBatch.from_arrays([_signed(np.concatenate(found))], names=["token"])
 
@@ -145,20 +154,19 @@ def frequent_tokens(docs: DataFrame, n: int, percent: int, least: int, most: int
 
 def _postings(docs: DataFrame, n: int, percent: int, frequent: np.ndarray) -> DataFrame:
     def emit(batch, rows):
-        for start in range(0, len(rows), 500):
-            sigs, most, keys, sizes, counts = [], [], [], [], []
-            for _, key, tokens, again in rows[start : start + 500]:
-                if key is None or again:
-                    continue
-                s, m = signatures(tokens, frequent, percent)
-                sigs.append(s)
-                most.append(m)
-                keys.append(key)
-                sizes.append(len(tokens))
-                counts.append(len(s))
-            if keys:
-                which = np.repeat(np.arange(len(keys)), counts)
-                yield pa.RecordBatch.from_arrays([_signed(np.concatenate(sigs)), pa.array(keys, pa.binary()).take(pa.array(which)), pa.array((np.array(sizes, np.int64)[which] << 32) | np.concatenate(most))], names=["sig", "node", "nq"])
+        sigs, most, keys, sizes, counts = [], [], [], [], []
+        for key, tokens, again in rows:
+            if key is None or again:
+                continue
+            s, m, sure = signatures(tokens, frequent, percent)
+            sigs.append(s)
+            most.append(m)
+            keys.append(key)
+            sizes.append(len(tokens) << 2 | sure)
+            counts.append(len(s))
+        if keys:
+            which = np.repeat(np.arange(len(keys)), counts)
+            yield pa.RecordBatch.from_arrays([_signed(np.concatenate(sigs)), pa.array(keys, pa.binary()).take(pa.array(which)), pa.array((np.array(sizes, np.int64)[which] << 32) | np.concatenate(most))], names=["sig", "node", "nq"])
 
     return _sets(docs.select("text"), n, emit, "sig long, node binary, nq long")
 
@@ -167,22 +175,37 @@ def _slot(node):
     return F.shiftright(F.conv(F.hex(F.substring(node, 1, 3)), 16, 10).cast("int"), 24 - _SLOT_BITS)
 
 
-def _members(docs: DataFrame, n: int, wanted: np.ndarray) -> DataFrame:
-    """One row for each document: doc_id, text_key, node, n and, where it may be needed, its set."""
+def _members(docs: DataFrame, n: int) -> DataFrame:
+    """doc_id, text_key, node and n of each document."""
 
     def emit(batch, rows):
-        keys = [key for _, key, _, _ in rows]
-        sizes = [len(t) for _, _, t, _ in rows]
-        sets = [t.view(np.int64) if key is not None and not again and wanted[int.from_bytes(key[:3], "big") >> (24 - _SLOT_BITS)] else None for _, key, t, again in rows]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["doc_id", "text_key", "node", "n", "tokens"])
+        keys = [key for key, _, _ in rows]
+        sizes = [len(t) for _, t, _ in rows]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64())], names=["doc_id", "text_key", "node", "n"])
+
+    return _sets(docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text"), n, emit, f"doc_id {dict(docs.dtypes)['doc_id']}, text_key long, node binary, n long")
 
-    return _sets(docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text"), n, emit, f"doc_id {dict(docs.dtypes)['doc_id']}, text_key long, node binary, n long, tokens array<long>")
 
+def _whole_sets(docs: DataFrame, n: int, pairs: DataFrame) -> DataFrame:
+    """node and tokens, for the nodes of ``pairs`` (and a few others, whose hashes fall into the same slots)."""
+    wanted = np.zeros(1 << _SLOT_BITS, bool)
+    ends = pairs.select(_slot(F.col("u")).alias("s")).unionByName(pairs.select(_slot(F.col("v")).alias("s")))
+    wanted[ends.distinct().toArrow().column(0).to_numpy()] = True
 
-def _fits(a: str, b: str, percent: int):
-    """Sizes and positions allow intersection >= percent of the union."""
-    q = F.least(F.col(f"{a}.q"), F.col(f"{b}.q"), F.col(f"{a}.n"), F.col(f"{b}.n"))
-    return q * (100 + percent) >= (F.col(f"{a}.n") + F.col(f"{b}.n")) * percent
+    def emit(batch, rows):
+        found = [(key, t.view(np.int64)) for key, t, again in rows if key is not None and not again and wanted[int.from_bytes(key[:3], "big") >> (24 - _SLOT_BITS)]]
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.binary()), pa.array([x[1] for x in found], pa.list_(pa.int64()))], names=["node", "tokens"])
+
+    return _sets(docs.select("text"), n, emit, "node binary, tokens array<long>").groupBy("node").agg(F.first("tokens").alias("tokens"))
+
+
+def _candidates(joined: DataFrame, percent: int) -> DataFrame:
+    """Pairs (u, v) of ``joined`` (aliases x and y) that share enough signatures and can have the overlap."""
+    size = (F.col("x.n") + F.col("y.n")) * percent
+    pairs = joined.filter(F.least("x.n", "y.n") * (100 + percent) >= size).groupBy(F.least("x.node", "y.node").alias("u"), F.greatest("x.node", "y.node").alias("v"))
+    pairs = pairs.agg(F.count("*").alias("c"), F.max(F.least("x.q", "y.q")).alias("q"), F.first(F.least("x.sure", "y.sure")).alias("sure"), F.first(size).alias("size"))
+    return pairs.filter((F.col("c") >= F.col("sure")) & (F.col("q") * (100 + percent) >= F.col("size"))).select("u", "v")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -191,7 +214,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.filter(shared * (100 + percent) >= (F.size("tu") + F.size("tv")).cast("long") * percent).select("u", "v")
 
 
-def ngram_components(docs: DataFrame, n: int = 4, percent: int = 85, frequent_least: int = 64, frequent_most: int = 2**18) -> DataFrame:
+def ngram_components(docs: DataFrame, n: int = 4, percent: int = 85, frequent_least: int = 16, frequent_most: int = 2**18) -> DataFrame:
     """doc_id, text_key (of the text), n_shingles and root (the component's key; null for an empty set), one row for each document.
 
     Two documents link when 100 * intersection >= ``percent`` * union of their n-gram sets.
@@ -199,17 +222,11 @@ def ngram_components(docs: DataFrame, n: int = 4, percent: int = 85, frequent_le
     frequent = frequent_tokens(docs, n, percent, frequent_least, frequent_most)
     together = _postings(docs, n, percent, frequent).repartition("sig").dropDuplicates(["sig", "node"])
     lists = together.withColumn("c", F.count("*").over(Window.partitionBy("sig"))).filter("c > 1")
-    lists = written(lists.select("sig", "node", F.shiftright("nq", 32).alias("n"), F.col("nq").bitwiseAND(F.lit(2**32 - 1)).alias("q")), "lists")
-
-    wanted = np.zeros(1 << _SLOT_BITS, bool)  # bounded: documents elsewhere keep no set, those here may
-    wanted[lists.select(_slot(F.col("node")).alias("s")).distinct().toArrow().column(0).to_numpy()] = True
-    members = written(_members(docs, n, wanted), "members")
-    sets = written(members.filter("tokens is not null").groupBy("node").agg(F.first("tokens").alias("tokens")), "sets")
+    lists = written(lists.select("sig", "node", F.shiftright("nq", 34).alias("n"), F.shiftright("nq", 32).bitwiseAND(F.lit(3)).alias("sure"), F.col("nq").bitwiseAND(F.lit(2**32 - 1)).alias("q")), "lists")
 
-    heads = lists.groupBy("sig").agg(F.min(F.struct("node", "n", "q")).alias("h")).select("sig", "h.*")
-    star = lists.alias("x").join(heads.alias("h"), "sig").filter((F.col("x.node") != F.col("h.node")) & _fits("x", "h", percent)).select(F.col("h.node").alias("u"), F.col("x.node").alias("v")).distinct()
-    star = written(star, "star")
-    first = written(_verified(star, sets, percent), "links")
+    heads = lists.groupBy("sig").agg(F.min(F.struct("node", "n", "sure", "q")).alias("h")).select("sig", "h.*")
+    star = written(_candidates(lists.alias("x").join(heads.alias("y"), "sig").filter("x.node != y.node"), percent), "star")
+    first = written(_verified(star, written(_whole_sets(docs, n, star), "sets"), percent), "links")
 
     label = first.groupBy(F.col("v").alias("node")).agg(F.min("u").alias("label"))
     lists = lists.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
@@ -219,12 +236,13 @@ def ngram_components(docs: DataFrame, n: int = 4, percent: int = 85, frequent_le
     left = lists.withColumn("band", F.explode(F.array(F.col("band"), F.col("band") + 1, F.col("band") + 2)))
     x, y = left.alias("x"), lists.alias("y")
     smaller = (F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.node") < F.col("y.node")))
-    cross = x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.band") == F.col("y.band")) & smaller & (F.col("x.label") != F.col("y.label")) & _fits("x", "y", percent))
-    cross = cross.select(F.least("x.node", "y.node").alias("u"), F.greatest("x.node", "y.node").alias("v")).distinct().join(star, ["u", "v"], "left_anti")
-    second = _verified(cross, sets, percent)
+    near = F.col("x.n") * 100 >= F.col("y.n") * percent
+    cross = x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.band") == F.col("y.band")) & smaller & near & (F.col("x.label") != F.col("y.label")))
+    cross = written(_candidates(cross, percent).join(star, ["u", "v"], "left_anti"), "cross")
+    second = _verified(cross, written(_whole_sets(docs, n, cross), "sets"), percent)
 
     roots = written(connected_components(first.unionByName(second)), "roots")
-    whole = members.drop("tokens").join(roots, "node", "left")
+    whole = _members(docs, n).join(roots, "node", "left")
     return whole.select("doc_id", "text_key", F.col("n").alias("n_shingles"), F.coalesce("root", "node").alias("root"))
 
 
