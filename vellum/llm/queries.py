@@ -32,6 +32,12 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(_table(spark, sf_dir, "documents"))
 
 
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .token_files import round_trip
+
+    return round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .urls import scored
 
@@ -43,6 +49,7 @@ QUERIES = {
     "op4_ngram_join": op4_ngram_join,
     "op5_mixing": op5_mixing,
     "op8_quality_rules": op8_quality_rules,
+    "op9_token_files": op9_token_files,
     "op10_url_filter": op10_url_filter,
 }
 ORACLES: dict[str, str] = {"op5_mixing": mixing.ORACLE, "op8_quality_rules": quality.oracle()}
