@@ -24,6 +24,12 @@ def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_groups(_table(spark, sf_dir, "documents"), n=4, percent=85)
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language import identified
+
+    return identified(_table(spark, sf_dir, "documents"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(_table(spark, sf_dir, "documents"))
 
@@ -48,6 +54,7 @@ QUERIES = {
     "op1_packing": op1_packing,
     "op4_ngram_join": op4_ngram_join,
     "op5_mixing": op5_mixing,
+    "op7_language_id": op7_language_id,
     "op8_quality_rules": op8_quality_rules,
     "op9_token_files": op9_token_files,
     "op10_url_filter": op10_url_filter,
