@@ -20,9 +20,10 @@ same links. It is the most frequent tokens of all prefixes, at most
 The prefix is longer by ``MATCHES`` - 1 than would do for one shared signature,
 so a link's ends share ``MATCHES`` of them. Documents that do are candidates if
 their sizes and the first shared signature's position allow the overlap. They are verified on their whole sets
-in two passes: first each list's least node against the others; then all pairs
-that the first pass has not put together. What the first pass has linked to
-one node needs no pair of its own: components are exact without it.
+in two passes: first ``HEADS`` nodes of each list, the least by as many hashes,
+against the others; then all pairs that the first pass has not put into one
+component, which are few even where thousands of near copies share a list.
+A pair within a component needs no check: components are exact without it.
 
 Defined cases: null and empty texts, and texts without a word, have an empty
 set and link with nothing; shorter texts than n words have one token; equal
@@ -33,6 +34,7 @@ other columns of the input are ignored.
 from __future__ import annotations
 
 import hashlib
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +48,10 @@ from .tokens import in_groups
 _SLOT_BITS = 22
 #: Signatures that a candidate pair shares.
 MATCHES = 3
+#: Nodes of each list that meet all its others in the first pass.
+HEADS = 8
+#: Nodes of a block, and nodes whose sets are held together when pairs are verified.
+BLOCK_NODES, PLACE_NODES = 256, 1000
 
 
 def token_sets(texts: list[str | None], n: int) -> list[np.ndarray]:
@@ -67,10 +73,24 @@ def slack(n: int, percent: int) -> int:
 
 
 def groups_at(level: int, percent: int) -> int:
-    return max(1, (2**level * (100 - percent)) // 800)
+    return max(1, (2**level * (100 - percent)) // 200)
 
 
-def signatures(tokens: np.ndarray, frequent: np.ndarray, percent: int, matches: int = MATCHES) -> tuple[np.ndarray, np.ndarray, int]:
+@dataclass
+class Frequent:
+    """Which tokens count as frequent: those listed (sorted), and those in the marked slots."""
+
+    tokens: np.ndarray
+    slots: np.ndarray
+
+    def of(self, tokens: np.ndarray) -> np.ndarray:
+        often = self.slots[(tokens >> np.uint64(64 - _SLOT_BITS)).astype(np.int64)]
+        if len(self.tokens):
+            often |= self.tokens[np.minimum(np.searchsorted(self.tokens, tokens), len(self.tokens) - 1)] == tokens
+        return often
+
+
+def signatures(tokens: np.ndarray, frequent: Frequent, percent: int, matches: int = MATCHES) -> tuple[np.ndarray, np.ndarray, int]:
     """Signatures of a sorted token set; for each, the most tokens that a partner can
     share which has this signature as the first one in common; and how many
     signatures a link's ends share at least, ``matches`` but for the smallest sets.
@@ -81,11 +101,7 @@ def signatures(tokens: np.ndarray, frequent: np.ndarray, percent: int, matches:
     if sure < 1:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), 0
     need = lost + sure
-    if len(frequent):
-        at = np.minimum(np.searchsorted(frequent, tokens), len(frequent) - 1)
-        often = frequent[at] == tokens
-    else:
-        often = np.zeros(n, bool)
+    often = frequent.of(tokens)
     rare = tokens[~often]
     singles = rare[:need]
     sigs, most = [singles], [n - np.arange(len(singles))]
@@ -114,45 +130,63 @@ def signatures(tokens: np.ndarray, frequent: np.ndarray, percent: int, matches:
     return np.concatenate(sigs), np.concatenate(most), sure
 
 
-def _sets(docs: DataFrame, n: int, emit, schema: str) -> DataFrame:
-    """What ``emit(batch, [(key, tokens, whether the task had this set before)])`` makes of the documents."""
+def _each(batches, n: int, emit):
+    """What ``emit(batch, [(key, tokens, whether the task had this set before)])`` yields for parts of the batches."""
+    seen: set[bytes] = set()
+    for batch in batches:
+        texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
+        for part in in_groups(texts):
+            rows = []
+            for tokens in token_sets(texts[part], n):
+                key = node_key(tokens) if len(tokens) else None
+                rows.append((key, tokens, key in seen))
+                if key is not None:
+                    if len(seen) > 500_000:
+                        seen.clear()
+                    seen.add(key)
+            yield from emit(batch.slice(part.start, part.stop - part.start), rows)
 
-    def run(batches):
-        seen: set[bytes] = set()
-        for batch in batches:
-            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
-            for part in in_groups(texts):
-                rows = []
-                for tokens in token_sets(texts[part], n):
-                    key = node_key(tokens) if len(tokens) else None
-                    rows.append((key, tokens, key in seen))
-                    if key is not None:
-                        if len(seen) > 500_000:
-                            seen.clear()
-                        seen.add(key)
-                yield from emit(batch.slice(part.start, part.stop - part.start), rows)
-
-    return docs.mapInArrow(run, schema)
+
+def _sets(docs: DataFrame, n: int, emit, schema: str) -> DataFrame:
+    return docs.mapInArrow(lambda batches: _each(batches, n, emit), schema)
 
 
 def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
-def frequent_tokens(docs: DataFrame, n: int, percent: int, least: int, most: int) -> np.ndarray:
-    """Tokens in more than ``least`` prefixes, the ``most`` most frequent of them."""
-
-    def emit(batch, rows):
-        found = [t[: slack(len(t), percent) + 1] for _, t, again in rows if len(t) > 1 and not again]
-        if found:
-            yield pa.RecordBatch.from_arrays([_signed(np.concatenate(found))], names=["token"])
+def frequent_tokens(docs: DataFrame, n: int, percent: int, least: int, most: int) -> "Frequent":
+    """Tokens in more than ``least`` prefixes, the ``most`` most frequent of them; and the slots
+    (of a fixed number, by hash) of tokens that are frequent anywhere in the texts.
 
-    prefixes = _sets(docs.select("text"), n, emit, "token long")
-    top = prefixes.groupBy("token").agg(F.count("*").alias("c")).filter(F.col("c") > least).orderBy(F.desc("c"), "token").limit(most)
-    return np.sort(top.select("token").toArrow().column(0).to_numpy().astype(np.int64).view(np.uint64))
+    A task counts all its tokens by slot and reports the slots that stand out;
+    a token that is common in the corpus stands out in the tasks that hold it.
+    """
 
+    def emit(batch, rows):
+        sets = [t for _, t, again in rows if len(t) > 1 and not again]
+        if sets:
+            prefixes = np.concatenate([t[: slack(len(t), percent) + 1] for t in sets])
+            yield np.concatenate(sets), prefixes
 
-def _postings(docs: DataFrame, n: int, percent: int, frequent: np.ndarray) -> DataFrame:
+    def run(batches):
+        counts, total = np.zeros(1 << _SLOT_BITS, np.uint32), 0
+        for tokens, prefixes in _each(batches, n, emit):
+            np.add.at(counts, (tokens >> np.uint64(64 - _SLOT_BITS)).astype(np.int64), np.uint32(1))
+            total += len(tokens)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(prefixes), bool)), _signed(prefixes), pa.array(np.ones(len(prefixes), np.int64))], names=["is_slot", "key", "c"])
+        slots = np.flatnonzero(counts >= 8 + 4 * (total >> _SLOT_BITS))
+        yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(slots), bool)), pa.array(slots), pa.array(counts[slots].astype(np.int64))], names=["is_slot", "key", "c"])
+
+    found = docs.select("text").mapInArrow(run, "is_slot boolean, key long, c long").groupBy("is_slot", "key").agg(F.sum("c").alias("c")).filter(F.col("c") > least)
+    found = written(found, "frequent")
+    top = found.filter("not is_slot").orderBy(F.desc("c"), "key").limit(most).select("key").toArrow()
+    slots = np.zeros(1 << _SLOT_BITS, bool)
+    slots[found.filter("is_slot").filter(F.col("c") > 4 * least).select("key").toArrow().column(0).to_numpy()] = True
+    return Frequent(np.sort(top.column(0).to_numpy().astype(np.int64).view(np.uint64)), slots)
+
+
+def _postings(docs: DataFrame, n: int, percent: int, frequent: Frequent) -> DataFrame:
     def emit(batch, rows):
         sigs, most, keys, sizes, counts = [], [], [], [], []
         for key, tokens, again in rows:
@@ -193,25 +227,62 @@ def _whole_sets(docs: DataFrame, n: int, pairs: DataFrame) -> DataFrame:
     wanted[ends.distinct().toArrow().column(0).to_numpy()] = True
 
     def emit(batch, rows):
-        found = [(key, t.view(np.int64)) for key, t, again in rows if key is not None and not again and wanted[int.from_bytes(key[:3], "big") >> (24 - _SLOT_BITS)]]
+        found = [(key, np.sort(t.view(np.int64))) for key, t, again in rows if key is not None and not again and wanted[int.from_bytes(key[:3], "big") >> (24 - _SLOT_BITS)]]
         if found:
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.binary()), pa.array([x[1] for x in found], pa.list_(pa.int64()))], names=["node", "tokens"])
 
     return _sets(docs.select("text"), n, emit, "node binary, tokens array<long>").groupBy("node").agg(F.first("tokens").alias("tokens"))
 
 
+def _near(percent: int, matches: int = MATCHES):
+    """Condition on aliases x and y that the first ``matches`` signatures of a link meet: the i-th one
+    still has the whole overlap but i - 1 tokens before it."""
+    size = (F.col("x.n") + F.col("y.n")) * percent
+    return (F.least("x.n", "y.n") * (100 + percent) >= size) & ((F.least("x.q", "y.q") + matches - 1) * (100 + percent) >= size)
+
+
 def _candidates(joined: DataFrame, percent: int) -> DataFrame:
     """Pairs (u, v) of ``joined`` (aliases x and y) that share enough signatures and can have the overlap."""
-    size = (F.col("x.n") + F.col("y.n")) * percent
-    pairs = joined.filter(F.least("x.n", "y.n") * (100 + percent) >= size).groupBy(F.least("x.node", "y.node").alias("u"), F.greatest("x.node", "y.node").alias("v"))
-    pairs = pairs.agg(F.count("*").alias("c"), F.max(F.least("x.q", "y.q")).alias("q"), F.first(F.least("x.sure", "y.sure")).alias("sure"), F.first(size).alias("size"))
+    pairs = joined.groupBy(F.least("x.node", "y.node").alias("u"), F.greatest("x.node", "y.node").alias("v"))
+    pairs = pairs.agg(F.count("*").alias("c"), F.max(F.least("x.q", "y.q")).alias("q"), F.first(F.least("x.sure", "y.sure")).alias("sure"), F.first((F.col("x.n") + F.col("y.n")) * percent).alias("size"))
     return pairs.filter((F.col("c") >= F.col("sure")) & (F.col("q") * (100 + percent) >= F.col("size"))).select("u", "v")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    both = pairs.join(sets.select(F.col("node").alias("u"), F.col("tokens").alias("tu")), "u").join(sets.select(F.col("node").alias("v"), F.col("tokens").alias("tv")), "v")
-    shared = F.size(F.array_intersect("tu", "tv")).cast("long")
-    return both.filter(shared * (100 + percent) >= (F.size("tu") + F.size("tv")).cast("long") * percent).select("u", "v")
+def _verified(pairs: DataFrame, lists: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """The links among ``pairs``, by their whole sets.
+
+    Nodes with one least signature are near each other; they are dealt to
+    blocks of about ``BLOCK_NODES``, and a pair goes where its two blocks meet.
+    A set is sent once to each such place, not once for each of its pairs.
+    """
+    least = lists.groupBy("node").agg(F.min("sig").alias("key"))
+    crowd = least.groupBy("key").agg(F.ceil(F.count("*") / BLOCK_NODES).alias("parts"))
+    block = least.join(crowd, "key").select("node", F.xxhash64("key", F.pmod(F.xxhash64("node"), "parts")).alias("b"))
+    placed = pairs.join(block.select(F.col("node").alias("u"), F.col("b").alias("bu")), "u").join(block.select(F.col("node").alias("v"), F.col("b").alias("bv")), "v")
+    placed = written(placed.select("u", "v", F.xxhash64("bu", "bv").alias("place")), "placed")
+    ends = placed.select("place", F.col("u").alias("node")).unionByName(placed.select("place", F.col("v").alias("node")))
+    buckets = ends.distinct().count() // PLACE_NODES + 1
+    at = F.pmod(F.col("place"), F.lit(buckets)).cast("int")
+    sets = written(_whole_sets(docs, n, pairs), "sets")
+    sent = ends.select(at.alias("at"), "node").distinct().join(sets, "node")
+
+    def check(pair: pa.Table, found: pa.Table):
+        tokens = found.column("tokens").combine_chunks()
+        edges, flat = tokens.offsets.to_numpy(), tokens.values.to_numpy()
+        where = {k: i for i, k in enumerate(found.column("node").to_pylist())}
+        us, vs = pair.column("u").to_pylist(), pair.column("v").to_pylist()
+        linked = []
+        for u, v in zip(us, vs):
+            i, j = where[u], where[v]
+            a, b = flat[edges[i] : edges[i + 1]], flat[edges[j] : edges[j + 1]]
+            if len(a) > len(b):
+                a, b = b, a
+            k = np.searchsorted(b, a)
+            shared = int((b[np.minimum(k, len(b) - 1)] == a).sum())
+            linked.append(100 * shared >= percent * (len(a) + len(b) - shared))
+        return pair.select(["u", "v"]).filter(pa.array(linked, pa.bool_()))
+
+    return placed.select(at.alias("at"), "u", "v").groupBy("at").cogroup(sent.groupBy("at")).applyInArrow(check, "u binary, v binary")
 
 
 def ngram_components(docs: DataFrame, n: int = 4, percent: int = 85, frequent_least: int = 16, frequent_most: int = 2**18) -> DataFrame:
@@ -224,11 +295,13 @@ def ngram_components(docs: DataFrame, n: int = 4, percent: int = 85, frequent_le
     lists = together.withColumn("c", F.count("*").over(Window.partitionBy("sig"))).filter("c > 1")
     lists = written(lists.select("sig", "node", F.shiftright("nq", 34).alias("n"), F.shiftright("nq", 32).bitwiseAND(F.lit(3)).alias("sure"), F.col("nq").bitwiseAND(F.lit(2**32 - 1)).alias("q")), "lists")
 
-    heads = lists.groupBy("sig").agg(F.min(F.struct("node", "n", "sure", "q")).alias("h")).select("sig", "h.*")
-    star = written(_candidates(lists.alias("x").join(heads.alias("y"), "sig").filter("x.node != y.node"), percent), "star")
-    first = written(_verified(star, written(_whole_sets(docs, n, star), "sets"), percent), "links")
+    member = F.struct("node", "n", "sure", "q")
+    heads = lists.groupBy("sig").agg(*(F.min(F.struct(F.xxhash64("node", F.lit(r)).alias("h"), member.alias("m"))).alias(f"h{r}") for r in range(HEADS)))
+    heads = heads.select("sig", F.explode(F.array_distinct(F.array(*(F.col(f"h{r}.m") for r in range(HEADS))))).alias("m")).select("sig", "m.*")
+    star = written(_candidates(lists.alias("x").join(heads.alias("y"), (F.col("x.sig") == F.col("y.sig")) & (F.col("x.node") != F.col("y.node")) & _near(percent)), percent), "star")
+    first = written(_verified(star, lists, docs, n, percent), "links")
 
-    label = first.groupBy(F.col("v").alias("node")).agg(F.min("u").alias("label"))
+    label = written(connected_components(first), "labels").withColumnRenamed("root", "label")
     lists = lists.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
     mixed = lists.groupBy("sig").agg(F.min("label").alias("a"), F.max("label").alias("b")).filter("a != b").select("sig")
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(100 / percent)))).cast("int")
@@ -236,10 +309,9 @@ def ngram_components(docs: DataFrame, n: int = 4, percent: int = 85, frequent_le
     left = lists.withColumn("band", F.explode(F.array(F.col("band"), F.col("band") + 1, F.col("band") + 2)))
     x, y = left.alias("x"), lists.alias("y")
     smaller = (F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.node") < F.col("y.node")))
-    near = F.col("x.n") * 100 >= F.col("y.n") * percent
-    cross = x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.band") == F.col("y.band")) & smaller & near & (F.col("x.label") != F.col("y.label")))
+    cross = x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.band") == F.col("y.band")) & smaller & _near(percent) & (F.col("x.label") != F.col("y.label")))
     cross = written(_candidates(cross, percent).join(star, ["u", "v"], "left_anti"), "cross")
-    second = _verified(cross, written(_whole_sets(docs, n, cross), "sets"), percent)
+    second = _verified(cross, lists, docs, n, percent)
 
     roots = written(connected_components(first.unionByName(second)), "roots")
     whole = _members(docs, n).join(roots, "node", "left")
