@@ -18,6 +18,18 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fingerprint import with_next
+
+    return with_next(_table(spark, sf_dir, "documents"))
+
+
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .grading import graded, rated
+
+    return graded(_table(spark, sf_dir, "documents"), rated(_table(spark, sf_dir, "labels")))
+
+
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .ngram_join import ngram_groups
 
@@ -52,6 +64,8 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_packing": op1_packing,
+    "op2_fingerprints": op2_fingerprints,
+    "op3_quality_classifier": op3_quality_classifier,
     "op4_ngram_join": op4_ngram_join,
     "op5_mixing": op5_mixing,
     "op7_language_id": op7_language_id,
