@@ -36,6 +36,12 @@ def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_groups(_table(spark, sf_dir, "documents"), n=4, percent=85)
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .extraction import extracted
+
+    return extracted(_table(spark, sf_dir, "pages"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .language import identified
 
@@ -68,6 +74,7 @@ QUERIES = {
     "op3_quality_classifier": op3_quality_classifier,
     "op4_ngram_join": op4_ngram_join,
     "op5_mixing": op5_mixing,
+    "op6_html_extraction": op6_html_extraction,
     "op7_language_id": op7_language_id,
     "op8_quality_rules": op8_quality_rules,
     "op9_token_files": op9_token_files,
