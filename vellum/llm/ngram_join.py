@@ -50,6 +50,8 @@ _SLOT_BITS = 22
 MATCHES = 3
 #: Nodes of each list that meet all its others in the first pass.
 HEADS = 8
+#: Lists with more nodes than LONG_LIST, and the signatures of a node that tell whether a pair has met before.
+LONG_LIST, FIRST_OF = 32, 12
 #: Nodes of a block, and nodes whose sets are held together when pairs are verified.
 BLOCK_NODES, PLACE_NODES = 256, 1000
 
@@ -120,11 +122,15 @@ def signatures(tokens: np.ndarray, frequent: Frequent, percent: int, matches: in
             others = np.cumsum(~repeat)  # groups begun up to here, with this token's own
             by_group = order[order < end]
             cuts = np.flatnonzero(np.diff(g[by_group])) + 1
+            pairs = []
             for members in np.split(by_group, cuts):
-                if len(members) < 2:
-                    continue
-                a, b = np.triu_indices(len(members), 1)
-                a, b = members[a], members[b]
+                if len(members) > 1:
+                    a, b = np.triu_indices(len(members), 1)
+                    pairs.append((members[a], members[b]))
+            if pairs:
+                a, b = (np.concatenate(x) for x in zip(*pairs))
+                o = np.lexsort((b, a))
+                a, b = a[o], b[o]
                 sigs.append(mix64(common[a] * np.uint64(0x9E3779B97F4A7C15) + mix64(common[b] + np.uint64(lev + 1))))
                 most.append(n - len(rare) - a + others[a] - 1)
     return np.concatenate(sigs), np.concatenate(most), sure
@@ -200,9 +206,9 @@ def _postings(docs: DataFrame, n: int, percent: int, frequent: Frequent) -> Data
             counts.append(len(s))
         if keys:
             which = np.repeat(np.arange(len(keys)), counts)
-            yield pa.RecordBatch.from_arrays([_signed(np.concatenate(sigs)), pa.array(keys, pa.binary()).take(pa.array(which)), pa.array((np.array(sizes, np.int64)[which] << 32) | np.concatenate(most))], names=["sig", "node", "nq"])
+            yield pa.RecordBatch.from_arrays([_signed(np.concatenate(sigs)), pa.array(keys, pa.binary()).take(pa.array(which)), pa.array((np.array(sizes, np.int64)[which] << 32) | np.concatenate(most)), pa.array(np.concatenate([np.arange(c, dtype=np.int32) for c in counts]))], names=["sig", "node", "nq", "i"])
 
-    return _sets(docs.select("text"), n, emit, "sig long, node binary, nq long")
+    return _sets(docs.select("text"), n, emit, "sig long, node binary, nq long, i int")
 
 
 def _slot(node):
@@ -293,7 +299,7 @@ def ngram_components(docs: DataFrame, n: int = 4, percent: int = 85, frequent_le
     frequent = frequent_tokens(docs, n, percent, frequent_least, frequent_most)
     together = _postings(docs, n, percent, frequent).repartition("sig").dropDuplicates(["sig", "node"])
     lists = together.withColumn("c", F.count("*").over(Window.partitionBy("sig"))).filter("c > 1")
-    lists = written(lists.select("sig", "node", F.shiftright("nq", 34).alias("n"), F.shiftright("nq", 32).bitwiseAND(F.lit(3)).alias("sure"), F.col("nq").bitwiseAND(F.lit(2**32 - 1)).alias("q")), "lists")
+    lists = written(lists.select("sig", "node", F.shiftright("nq", 34).alias("n"), F.shiftright("nq", 32).bitwiseAND(F.lit(3)).alias("sure"), F.col("nq").bitwiseAND(F.lit(2**32 - 1)).alias("q"), "i", "c"), "lists")
 
     member = F.struct("node", "n", "sure", "q")
     heads = lists.groupBy("sig").agg(*(F.min(F.struct(F.xxhash64("node", F.lit(r)).alias("h"), member.alias("m"))).alias(f"h{r}") for r in range(HEADS)))
@@ -302,14 +308,23 @@ def ngram_components(docs: DataFrame, n: int = 4, percent: int = 85, frequent_le
     first = written(_verified(star, lists, docs, n, percent), "links")
 
     label = written(connected_components(first), "labels").withColumnRenamed("root", "label")
-    lists = lists.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    mixed = lists.groupBy("sig").agg(F.min("label").alias("a"), F.max("label").alias("b")).filter("a != b").select("sig")
+    labelled = lists.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    mixed = labelled.groupBy("sig").agg(F.min("label").alias("a"), F.max("label").alias("b")).filter("a != b").select("sig")
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(100 / percent)))).cast("int")
-    lists = written(lists.join(mixed, "sig", "left_semi").withColumn("band", band), "mixed")
-    left = lists.withColumn("band", F.explode(F.array(F.col("band"), F.col("band") + 1, F.col("band") + 2)))
-    x, y = left.alias("x"), lists.alias("y")
-    smaller = (F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.node") < F.col("y.node")))
-    cross = x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.band") == F.col("y.band")) & smaller & _near(percent) & (F.col("x.label") != F.col("y.label")))
+    labelled = written(labelled.join(mixed, "sig", "left_semi").withColumn("band", band), "mixed")
+    # Near copies of one text share most signatures. In long lists, what has MATCHES earlier
+    # ones in common among the first of both is not met again.
+    crowded = F.col("c") > LONG_LIST
+    first_of = labelled.filter(crowded).groupBy("node").agg(F.slice(F.array_sort(F.collect_list(F.struct("i", "sig"))), 1, FIRST_OF).alias("f"))
+    long_ = labelled.filter(crowded).join(first_of, "node").withColumn("earlier", F.transform(F.filter("f", lambda e: e["i"] < F.col("i")), lambda e: e["sig"])).drop("f")
+    cross = None
+    for rows, new in ((labelled.filter(~crowded), F.lit(True)), (long_, F.size(F.array_intersect("x.earlier", "y.earlier")) < MATCHES)):
+        x = rows.withColumn("band", F.explode(F.array(F.col("band"), F.col("band") + 1, F.col("band") + 2))).alias("x")
+        y = rows.alias("y")
+        smaller = (F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.node") < F.col("y.node")))
+        met = x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.band") == F.col("y.band")) & smaller & _near(percent) & (F.col("x.label") != F.col("y.label")) & new)
+        met = met.select(*(F.struct(f"{t}.node", f"{t}.n", f"{t}.sure", f"{t}.q").alias(t) for t in "xy"))
+        cross = met if cross is None else cross.unionByName(met)
     cross = written(_candidates(cross, percent).join(star, ["u", "v"], "left_anti"), "cross")
     second = _verified(cross, lists, docs, n, percent)
 
