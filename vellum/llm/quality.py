@@ -143,8 +143,10 @@ def keep_good(docs: DataFrame, least: float = 0.5) -> DataFrame:
     """The rows of ``docs`` that pass the base rule and whose posterior is ``least`` or more."""
     names = {c: f"_in_{c}" for c in docs.columns if c != "text"}
     plain = docs.withColumnsRenamed(names)
-    voted = votes(measures(plain))
     posterior = fitted(written(votes(measures(docs.select("text"))).drop("text"), "votes"))
+    voted = votes(measures(plain)).select(*plain.columns, F.struct("n_words", "n_repeat_words", *(f"v_{r.name}" for r in RULES)).alias("_m"))
+    # A generator keeps the optimizer from copying the measures into the filter, once for each use.
+    voted = voted.select(*plain.columns, F.inline(F.array("_m")))
     kept = voted.filter(~F.expr(BASE_FAILED) & (posterior >= least))
     return kept.select(*plain.columns).withColumnsRenamed({v: k for k, v in names.items()})
 
