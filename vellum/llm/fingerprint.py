@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import mix64, words_of, written
 from .token_files import _deflated
-from .tokens import in_groups
+from .tokens import GROUP_CHARS, in_groups
 
 BITS, PAIR, SALT = 128, 6, 4
 _SIGNS = (np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64) * 2 - 1)  # of a byte's bits
@@ -107,7 +107,7 @@ def with_next(docs: DataFrame) -> DataFrame:
             texts = [unpack(t).decode("utf-8", "surrogatepass") for t in packed]
             if held is None and len(texts):
                 yield edge(part, "first", b.column(0).slice(0, 1), packed[0])
-            for s in in_groups(texts):
+            for s in in_groups(texts, GROUP_CHARS):
                 mine, ids = texts[s], b.column(0).slice(s.start, s.stop - s.start)
                 if held is not None:
                     mine, ids = [held[1], *mine], pa.concat_arrays([held[0], ids])
@@ -148,7 +148,7 @@ def printed(docs: DataFrame) -> DataFrame:
     def run(batches):
         for b in batches:
             texts = b.column(1).to_pylist()
-            for s in in_groups(texts):
+            for s in in_groups(texts, GROUP_CHARS):
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(s.start, s.stop - s.start), pa.array([bytes(r).hex() for r in fingerprints(texts[s])])], names=["doc_id", "fingerprint"])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, fingerprint string")

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import _SPACE, mix64, utf8, words_of, written
-from .tokens import in_groups
+from .tokens import GROUP_CHARS, in_groups
 
 BITS = 18
 #: Labelled documents that the fit may see, features of each; a feature is used if it occurs in LEAST_DOCS of
@@ -118,7 +118,7 @@ def graded(docs: DataFrame, grades: DataFrame, sample: int = SAMPLE, least_tail:
     def learn(batches):
         for b in batches:
             texts = b.column(0).to_pylist()
-            for s in in_groups(texts):
+            for s in in_groups(texts, GROUP_CHARS):
                 yield pa.RecordBatch.from_arrays([b.column(1).slice(s.start, s.stop - s.start), pa.array([f[:SAMPLE_FEATURES] for f in features(texts[s])], pa.list_(pa.int32()))], names=["grade", "f"])
 
     seen = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", F.col("grade").cast("int")).mapInArrow(learn, "grade int, f array<int>").toArrow()
@@ -132,7 +132,7 @@ def graded(docs: DataFrame, grades: DataFrame, sample: int = SAMPLE, least_tail:
     def score(batches):
         for b in batches:
             texts = b.column(1).to_pylist()
-            for s in in_groups(texts):
+            for s in in_groups(texts, GROUP_CHARS):
                 tails = model.tails(texts[s])
                 expected = tails.sum(1)
                 bounds = np.concatenate([np.ones((len(tails), 1)), tails, np.zeros((len(tails), 1))], 1)

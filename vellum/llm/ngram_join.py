@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 
 from .common import mix64, shingle_hashes, words_of, written
 from .components import connected_components
-from .tokens import in_groups
+from .tokens import GROUP_CHARS, in_groups
 
 _SLOT_BITS = 22
 #: Signatures that a candidate pair shares.
@@ -141,7 +141,7 @@ def _each(batches, n: int, emit):
     seen: set[bytes] = set()
     for batch in batches:
         texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
-        for part in in_groups(texts):
+        for part in in_groups(texts, GROUP_CHARS):
             rows = []
             for tokens in token_sets(texts[part], n):
                 key = node_key(tokens) if len(tokens) else None

@@ -25,7 +25,7 @@ class Encoder:
     texts at hand.
     """
 
-    def __init__(self, path: str, memory: int = 900_000):
+    def __init__(self, path: str, memory: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -73,13 +73,17 @@ class Encoder:
                 known[u] = known[c] + known[t]
 
 
-def encoder(path: str, memory: int = 900_000) -> Encoder:
+def encoder(path: str, memory: int = 500_000) -> Encoder:
     """One for each Python worker."""
     if (path, memory) not in _encoders:
         _encoders[path, memory] = Encoder(path, memory)
     return _encoders[path, memory]
 
 
+#: Characters that the hashing operators take at a time.
+GROUP_CHARS = 400_000
+
+
 def in_groups(texts: list[str | None], chars: int = 2_000_000):
     """Slices of the list with about so many characters each, so that memory doesn't follow the batch."""
     start, size = 0, 0
