@@ -52,8 +52,9 @@ def new_network(labels: list[str], hidden: int = HIDDEN, seed: int = SEED) -> Ne
     return Network(labels, [make(3 * hidden, 256, scale=0.3) for _ in "fb"], [make(3 * hidden, hidden, scale=hidden**-0.5) for _ in "fb"], [np.zeros(3 * hidden, np.float32) for _ in "fb"], make(len(labels), 2 * hidden, scale=0.3), np.zeros(len(labels), np.float32))
 
 
-def _states(inputs, hidden, bias, x, keep=None):
-    """Hidden states (T, H, lanes) over bytes x (T, lanes), in the order of x; ``keep`` gets what the way back needs."""
+def _states(inputs, hidden, bias, x, keep=None, alive=None):
+    """Hidden states (T, H, lanes) over bytes x (T, lanes), in the order of x; ``keep`` gets what the way back needs.
+    Where ``alive`` (T, lanes) is false the state is zero."""
     H = hidden.shape[1]
     h = np.zeros((H, x.shape[1]), np.float32)
     out = np.empty((len(x), *h.shape), np.float32)
@@ -76,6 +77,8 @@ def _states(inputs, hidden, bias, x, keep=None):
         if keep is not None:
             keep.append((raw, z.copy(), r.copy(), n.copy(), h, rec[2 * H :].copy()))
         h = n + z * (h - n)
+        if alive is not None and not alive[t].all():
+            h *= alive[t]
         out[t] = h
     return out
 
@@ -181,10 +184,13 @@ def probabilities(net: Network, texts: list[str | None]) -> np.ndarray:
     H = net.hidden[0].shape[1]
     for lanes in (order[i : i + LANES] for i in range(0, len(order), LANES)):
         n = int(left[lanes].max())
-        x = flat[np.minimum(start[lanes] - WARM + np.arange(n + 2 * WARM)[:, None], len(flat) - 1)]
+        place = np.arange(-WARM, n + WARM)[:, None]
+        x = flat[np.minimum(start[lanes] + place, len(flat) - 1)]
+        # Only the lane's own stretch, with its warming ends in the same text, is read.
+        alive = (place + offset[lanes] >= 0) & (place + offset[lanes] < sizes[of[lanes]]) & (place < left[lanes] + WARM)
         mask = _letters(x[WARM : WARM + n]) & (np.arange(n)[:, None] < left[lanes])
-        ahead = _states(net.inputs[0], net.hidden[0], net.bias[0], x[: WARM + n])[WARM:]
-        back = _states(net.inputs[1], net.hidden[1], net.bias[1], x[WARM:][::-1])[WARM:][::-1]
+        ahead = _states(net.inputs[0], net.hidden[0], net.bias[0], x[: WARM + n], alive=alive[: WARM + n])[WARM:]
+        back = _states(net.inputs[1], net.hidden[1], net.bias[1], x[WARM:][::-1], alive=alive[WARM:][::-1])[WARM:][::-1]
         pooled = np.zeros((len(net.labels), len(lanes)), np.float32)
         for t in range(n):
             s = net.out[:, :H] @ ahead[t]
