@@ -248,28 +248,36 @@ def _near(percent: int, matches: int = MATCHES):
 
 
 def _candidates(joined: DataFrame, percent: int) -> DataFrame:
-    """Pairs (u, v) of ``joined`` (aliases x and y) that share enough signatures and can have the overlap."""
-    pairs = joined.groupBy(F.least("x.node", "y.node").alias("u"), F.greatest("x.node", "y.node").alias("v"))
+    """Pairs (u, v), structs of node and block, of ``joined`` (aliases x and y) that share enough signatures and can have the overlap."""
+    one, other = (F.struct(f"{t}.node", f"{t}.b") for t in "xy")
+    pairs = joined.groupBy(F.least(one, other).alias("u"), F.greatest(one, other).alias("v"))
     pairs = pairs.agg(F.count("*").alias("c"), F.max(F.least("x.q", "y.q")).alias("q"), F.first(F.least("x.sure", "y.sure")).alias("sure"), F.first((F.col("x.n") + F.col("y.n")) * percent).alias("size"))
     return pairs.filter((F.col("c") >= F.col("sure")) & (F.col("q") * (100 + percent) >= F.col("size"))).select("u", "v")
 
 
-def _verified(pairs: DataFrame, lists: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """The links among ``pairs``, by their whole sets.
+def _sides(joined: DataFrame) -> DataFrame:
+    return joined.select(*(F.struct(f"{t}.node", f"{t}.n", f"{t}.sure", f"{t}.q", f"{t}.b").alias(t) for t in "xy"))
 
-    Nodes with one least signature are near each other; they are dealt to
-    blocks of about ``BLOCK_NODES``, and a pair goes where its two blocks meet.
-    A set is sent once to each such place, not once for each of its pairs.
-    """
+
+def _with_blocks(lists: DataFrame) -> DataFrame:
+    """``lists`` with b, the node's block: nodes of one least signature, dealt to blocks of about ``BLOCK_NODES``."""
     least = lists.groupBy("node").agg(F.min("sig").alias("key"))
     crowd = least.groupBy("key").agg(F.ceil(F.count("*") / BLOCK_NODES).alias("parts"))
     block = least.join(crowd, "key").select("node", F.xxhash64("key", F.pmod(F.xxhash64("node"), "parts")).alias("b"))
-    placed = pairs.join(block.select(F.col("node").alias("u"), F.col("b").alias("bu")), "u").join(block.select(F.col("node").alias("v"), F.col("b").alias("bv")), "v")
-    placed = written(placed.select("u", "v", F.xxhash64("bu", "bv").alias("place")), "placed")
+    return lists.join(block, "node")
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """The links among ``pairs``, by their whole sets.
+
+    A pair goes where its two blocks meet, and a set is sent once to each such
+    place, not once for each of its pairs.
+    """
+    placed = written(pairs.select("u.node", F.col("v.node").alias("other"), F.xxhash64("u.b", "v.b").alias("place")).select(F.col("node").alias("u"), F.col("other").alias("v"), "place"), "placed")
     ends = placed.select("place", F.col("u").alias("node")).unionByName(placed.select("place", F.col("v").alias("node")))
     buckets = ends.distinct().count() // PLACE_NODES + 1
     at = F.pmod(F.col("place"), F.lit(buckets)).cast("int")
-    sets = written(_whole_sets(docs, n, pairs), "sets")
+    sets = written(_whole_sets(docs, n, placed), "sets")
     sent = ends.select(at.alias("at"), "node").distinct().join(sets, "node")
 
     def check(pair: pa.Table, found: pa.Table):
@@ -299,13 +307,17 @@ def ngram_components(docs: DataFrame, n: int = 4, percent: int = 85, frequent_le
     frequent = frequent_tokens(docs, n, percent, frequent_least, frequent_most)
     together = _postings(docs, n, percent, frequent).repartition("sig").dropDuplicates(["sig", "node"])
     lists = together.withColumn("c", F.count("*").over(Window.partitionBy("sig"))).filter("c > 1")
-    lists = written(lists.select("sig", "node", F.shiftright("nq", 34).alias("n"), F.shiftright("nq", 32).bitwiseAND(F.lit(3)).alias("sure"), F.col("nq").bitwiseAND(F.lit(2**32 - 1)).alias("q"), "i", "c"), "lists")
+    lists = lists.select("sig", "node", F.shiftright("nq", 34).alias("n"), F.shiftright("nq", 32).bitwiseAND(F.lit(3)).alias("sure"), F.col("nq").bitwiseAND(F.lit(2**32 - 1)).alias("q"), "i", "c")
+    lists = written(_with_blocks(written(lists, "lists")), "blocks")
 
-    member = F.struct("node", "n", "sure", "q")
-    heads = lists.groupBy("sig").agg(*(F.min(F.struct(F.xxhash64("node", F.lit(r)).alias("h"), member.alias("m"))).alias(f"h{r}") for r in range(HEADS)))
+    member = F.struct("node", "n", "sure", "q", "b")
+    heads = lists.filter(F.col("c") > HEADS).groupBy("sig").agg(*(F.min(F.struct(F.xxhash64("node", F.lit(r)).alias("h"), member.alias("m"))).alias(f"h{r}") for r in range(HEADS)))
     heads = heads.select("sig", F.explode(F.array_distinct(F.array(*(F.col(f"h{r}.m") for r in range(HEADS))))).alias("m")).select("sig", "m.*")
-    star = written(_candidates(lists.alias("x").join(heads.alias("y"), (F.col("x.sig") == F.col("y.sig")) & (F.col("x.node") != F.col("y.node")) & _near(percent)), percent), "star")
-    first = written(_verified(star, lists, docs, n, percent), "links")
+    met = None
+    for rows, others, once in ((lists.filter(F.col("c") > HEADS), heads, F.col("x.node") != F.col("y.node")), (lists.filter(F.col("c") <= HEADS), lists.filter(F.col("c") <= HEADS), F.col("x.node") < F.col("y.node"))):
+        some = _sides(rows.alias("x").join(others.alias("y"), (F.col("x.sig") == F.col("y.sig")) & once & _near(percent)))
+        met = some if met is None else met.unionByName(some)
+    first = written(_verified(_candidates(met, percent), docs, n, percent), "links")
 
     label = written(connected_components(first), "labels").withColumnRenamed("root", "label")
     labelled = lists.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
@@ -323,10 +335,8 @@ def ngram_components(docs: DataFrame, n: int = 4, percent: int = 85, frequent_le
         y = rows.alias("y")
         smaller = (F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.node") < F.col("y.node")))
         met = x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.band") == F.col("y.band")) & smaller & _near(percent) & (F.col("x.label") != F.col("y.label")) & new)
-        met = met.select(*(F.struct(f"{t}.node", f"{t}.n", f"{t}.sure", f"{t}.q").alias(t) for t in "xy"))
-        cross = met if cross is None else cross.unionByName(met)
-    cross = written(_candidates(cross, percent).join(star, ["u", "v"], "left_anti"), "cross")
-    second = _verified(cross, lists, docs, n, percent)
+        cross = _sides(met) if cross is None else cross.unionByName(_sides(met))
+    second = _verified(_candidates(cross, percent), docs, n, percent)
 
     roots = written(connected_components(first.unionByName(second)), "roots")
     whole = _members(docs, n).join(roots, "node", "left")
