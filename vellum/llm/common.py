@@ -113,9 +113,15 @@ def utf8(text: str | None, lower: bool = False) -> np.ndarray:
 _MULT = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
 
 
-def words_of(texts: list[str | None], lower: bool = False) -> list[np.ndarray]:
-    """Hashes of the words of each text, in their order; the texts are hashed in one go."""
+#: ASCII marks as spaces.
+_BARE = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
+
+
+def words_of(texts: list[str | None], lower: bool = False, bare: bool = False) -> list[np.ndarray]:
+    """Hashes of the words of each text, in their order; the texts are hashed in one go. ``bare``: ASCII marks part words."""
     raws = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+    if bare:
+        raws = [r.translate(_BARE) for r in raws]
     raw = np.frombuffer(b" ".join(raws), np.uint8)
     starts, ends = word_spans(raw)
     hashes = word_hashes(_LOWER[raw] if lower else raw, starts, ends)

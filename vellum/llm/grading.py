@@ -2,8 +2,8 @@
 
 Grades 0, 1, ..., K share one weight per hashed feature; ordered thresholds
 cut the score into grades: P(grade >= k) = sigmoid(score - threshold k). The
-features of a text are its distinct words, ASCII capitals lowered, and marks
-of its form (shares of words with symbols, of capitals, of words that repeat
+features of a text are its distinct words (between white space and ASCII marks,
+capitals lowered) and marks of its form (shares of words with symbols, of capitals, of words that repeat
 the word before, in steps). The model is fitted in numpy on a bounded sample
 of labelled documents; whole texts are scored.
 
@@ -29,7 +29,7 @@ from .tokens import GROUP_CHARS, in_groups
 BITS = 18
 #: Labelled documents that the fit may see, features of each; a feature is used if it occurs in LEAST_DOCS of
 #: them with a mean grade LEAST_SIGMA standard errors off; and the fit's course.
-SAMPLE, SAMPLE_FEATURES, LEAST_DOCS, LEAST_SIGMA, STEPS, RATE, DECAY = 8000, 4000, 5, 5.0, 150, 0.08, 2e-3
+SAMPLE, SAMPLE_FEATURES, LEAST_DOCS, LEAST_SIGMA, STEPS, RATE, DECAY = 8000, 4000, 5, 5.0, 200, 0.12, 2e-3
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
 
@@ -37,7 +37,7 @@ _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
 def features(texts: list[str | None]) -> list[np.ndarray]:
     """Distinct feature numbers, below 2**BITS, of each text."""
     out = []
-    for text, words in zip(texts, words_of(texts, lower=True)):
+    for text, words in zip(texts, words_of(texts, lower=True, bare=True)):
         found = np.unique(words >> np.uint64(64 - BITS)).astype(np.int32)
         if len(words):
             raw = utf8(text)
@@ -103,9 +103,10 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, steps: int = STEPS) -> Model
     return Model(full, base + np.concatenate([[0.0], np.cumsum(np.exp(gaps))]))
 
 
-def graded(docs: DataFrame, grades: DataFrame, sample: int = SAMPLE, least_tail: float = 0.5) -> DataFrame:
+def graded(docs: DataFrame, grades: DataFrame, sample: int = SAMPLE, least_tail: float = 0.6) -> DataFrame:
     """doc_id, expected_grade, tail_probability (of the highest grade), grade and kept, for every document.
 
+    A document is kept if its tail probability is ``least_tail`` or more.
     ``grades`` has doc_id and grade, whole numbers from 0. About ``sample`` of
     them, chosen by a hash, are learned from: their ids and features are all
     that the driver gathers.
