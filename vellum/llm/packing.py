@@ -32,11 +32,14 @@ from .tokens import encoder, in_groups
 RANKED_TOGETHER = 20_000
 
 
-def tokenized_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, with_ids: bool = False) -> DataFrame:
-    """One row for each piece: doc_id, piece, start, length, ids_crc32 (and ids, where asked)."""
+def tokenized_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, with_ids: bool = False, memory: int = 400_000) -> DataFrame:
+    """One row for each piece: doc_id, piece, start, length, ids_crc32 (and ids, where asked).
+
+    ``memory``: words whose ids a Python worker remembers, 200 bytes each; more make it faster.
+    """
 
     def run(batches):
-        enc = encoder(tokenizer_path)
+        enc = encoder(tokenizer_path, memory)
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1).to_pylist()
@@ -158,8 +161,8 @@ def pack(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
     return ranked.mapInArrow(place, f"{schema}, sequence_id long, offset long")
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, with_ids: bool = False) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, with_ids: bool = False, memory: int = 400_000) -> DataFrame:
     """Pieces of all documents with their sequences: doc_id, piece, start, length, ids_crc32, (ids,) sequence_id, offset."""
-    pieces = written(tokenized_pieces(docs, tokenizer_path, capacity, end_id, with_ids), "pieces")
+    pieces = written(tokenized_pieces(docs, tokenizer_path, capacity, end_id, with_ids, memory), "pieces")
     columns = ["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids]
     return pack(pieces, capacity).select(*columns, "sequence_id", "offset")

@@ -43,7 +43,7 @@ def _deflated(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInArrow(run, f"doc_id {kind}, text_key long, packed binary")
 
 
-def write_tokens(docs: DataFrame, tokenizer_path: str, path: str, end_id: int = 0, shards: int | None = None) -> None:
+def write_tokens(docs: DataFrame, tokenizer_path: str, path: str, end_id: int = 0, shards: int | None = None, memory: int = 400_000) -> None:
     """Writes the files: shard, ordinal, doc_id, start (in its shard), n_tokens, frame."""
     conf = docs.sparkSession.conf
     shards = shards or int(conf.get("spark.sql.shuffle.partitions"))
@@ -53,7 +53,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, path: str, end_id: int =
         import zstandard
 
         unpack = zstandard.ZstdDecompressor().decompress
-        enc, end = encoder(tokenizer_path), np.array([end_id], "<u4").tobytes()
+        enc, end = encoder(tokenizer_path, memory), np.array([end_id], "<u4").tobytes()
         shard, ordinal, start = TaskContext.get().partitionId(), 0, 0
         for b in batches:
             texts = [unpack(t).decode("utf-8", "surrogatepass") for t in b.column(1).to_pylist()]
@@ -94,8 +94,8 @@ def read_tokens(spark: SparkSession, path: str, with_ids: bool = False) -> DataF
     return rows.join(F.broadcast(before), "shard").withColumn("start", F.col("start") + F.col("before")).drop("shard", "before")
 
 
-def round_trip(docs: DataFrame, tokenizer_path: str, end_id: int = 0) -> DataFrame:
+def round_trip(docs: DataFrame, tokenizer_path: str, end_id: int = 0, memory: int = 400_000) -> DataFrame:
     """Writes the files to the shared folder and reads them back."""
     path = new_path(docs.sparkSession, "tokens")
-    write_tokens(docs, tokenizer_path, path, end_id)
+    write_tokens(docs, tokenizer_path, path, end_id, memory=memory)
     return read_tokens(docs.sparkSession, path)

@@ -25,7 +25,7 @@ class Encoder:
     texts at hand.
     """
 
-    def __init__(self, path: str, memory: int = 500_000):
+    def __init__(self, path: str, memory: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -73,7 +73,7 @@ class Encoder:
                 known[u] = known[c] + known[t]
 
 
-def encoder(path: str, memory: int = 500_000) -> Encoder:
+def encoder(path: str, memory: int = 400_000) -> Encoder:
     """One for each Python worker."""
     if (path, memory) not in _encoders:
         _encoders[path, memory] = Encoder(path, memory)
