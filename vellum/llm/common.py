@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 #: A word, for Java's and DuckDB's regular expressions: no ASCII white space in it.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -56,8 +56,17 @@ def _clean() -> None:
             return
 
 
-def text_or_empty(docs: DataFrame):
-    return F.coalesce(docs["text"], F.lit(""))
+def tidy(run):
+    """``run`` for mapInArrow, after which the worker, which stays for later tasks, gives freed memory back."""
+
+    def wrapped(batches):
+        yield from run(batches)
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (OSError, AttributeError):  # another C library
+            pass
+
+    return wrapped
 
 
 #: Odd, so that it has an inverse modulo 2**64.

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import tidy, written
 
 FEW, BROADCAST_ROWS, LINK_SHARE = 5, 20_000, 0.5
 #: Elements whose content is not text.
@@ -185,7 +185,7 @@ def vectors(pages: DataFrame) -> DataFrame:
                 n, vector, first, is_text = zip(*seen.values())
                 yield pa.RecordBatch.from_arrays([pa.array(hosts), pa.array(keys, pa.int64()), pa.array(is_text), pa.array(n, pa.int64()), pa.array(vector, pa.int64()), pa.array(first, pa.int32())], names=["host", "token", "is_text", "pages", "vector", "first"])
 
-    rows = pages.select("page_id", "url", "html").mapInArrow(run, "host string, token long, is_text boolean, pages long, vector long, first int")
+    rows = pages.select("page_id", "url", "html").mapInArrow(tidy(run), "host string, token long, is_text boolean, pages long, vector long, first int")
     summed = rows.groupBy("host", "token").agg(F.max("is_text").alias("is_text"), F.sum("pages").alias("pages"), (F.sum(F.col("vector").cast("decimal(38,0)")) % _WRAP).cast("long").alias("vector"), F.min("first").alias("first"))
     return summed.filter("pages >= 2")
 
@@ -246,4 +246,4 @@ def extracted(pages: DataFrame) -> DataFrame:
                 texts.append(main_text(page, set(drop or ())))
             yield pa.RecordBatch.from_arrays([ids, urls, pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    return rows.select("page_id", "url", "html", "text_tokens").mapInArrow(run, f"page_id {dict(pages.dtypes)['page_id']}, url string, text string, n_chars long")
+    return rows.select("page_id", "url", "html", "text_tokens").mapInArrow(tidy(run), f"page_id {dict(pages.dtypes)['page_id']}, url string, text string, n_chars long")

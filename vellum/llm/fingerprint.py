@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, words_of, written
+from .common import mix64, tidy, words_of, written
 from .token_files import _deflated
 from .tokens import GROUP_CHARS, in_groups
 
@@ -119,7 +119,7 @@ def with_next(docs: DataFrame) -> DataFrame:
 
             yield edge(part, "last", held[0], zstandard.ZstdCompressor(level=3).compress(held[1].encode("utf-8", "surrogatepass")))
 
-    done = written(ordered.select("doc_id", "packed").mapInArrow(run, schema), "fingerprints")
+    done = written(ordered.select("doc_id", "packed").mapInArrow(tidy(run), schema), "fingerprints")
     # Two rows for each range: the next range with rows is found by the ranges' numbers alone.
     firsts = [r["part"] for r in done.filter("role = 'first'").select("part").orderBy("part").collect()]
     following = {p: firsts[(i + 1) % len(firsts)] for i, p in enumerate(firsts)}
@@ -138,7 +138,7 @@ def with_next(docs: DataFrame) -> DataFrame:
             for i in range(len(mine)):
                 yield rows(b.column(0)[i].as_py(), b.column(1).slice(i, 1), [mine[i], after[i]])
 
-    ends = last.join(first, "to").select("part", "doc_id", "packed", "next_packed").mapInArrow(join, schema)
+    ends = last.join(first, "to").select("part", "doc_id", "packed", "next_packed").mapInArrow(tidy(join), schema)
     return done.filter("role = 'row'").unionByName(ends).select(*names[2:-1])
 
 
@@ -151,7 +151,7 @@ def printed(docs: DataFrame) -> DataFrame:
             for s in in_groups(texts, GROUP_CHARS):
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(s.start, s.stop - s.start), pa.array([bytes(r).hex() for r in fingerprints(texts[s])])], names=["doc_id", "fingerprint"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, fingerprint string")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), f"doc_id {dict(docs.dtypes)['doc_id']}, fingerprint string")
 
 
 def near_classes(prints: DataFrame, radius: int = 6, blocks: int = 8) -> DataFrame:

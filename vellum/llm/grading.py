@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _SPACE, mix64, utf8, words_of, written
+from .common import _SPACE, mix64, tidy, utf8, words_of, written
 from .tokens import GROUP_CHARS, in_groups
 
 BITS = 18
@@ -122,7 +122,7 @@ def graded(docs: DataFrame, grades: DataFrame, sample: int = SAMPLE, least_tail:
             for s in in_groups(texts, GROUP_CHARS):
                 yield pa.RecordBatch.from_arrays([b.column(1).slice(s.start, s.stop - s.start), pa.array([f[:SAMPLE_FEATURES] for f in features(texts[s])], pa.list_(pa.int32()))], names=["grade", "f"])
 
-    seen = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", F.col("grade").cast("int")).mapInArrow(learn, "grade int, f array<int>").toArrow()
+    seen = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", F.col("grade").cast("int")).mapInArrow(tidy(learn), "grade int, f array<int>").toArrow()
     y = seen.column("grade").to_numpy()
     if len(set(y.tolist())) < 2:
         top = int(y.max()) if len(y) else 1
@@ -139,7 +139,7 @@ def graded(docs: DataFrame, grades: DataFrame, sample: int = SAMPLE, least_tail:
                 bounds = np.concatenate([np.ones((len(tails), 1)), tails, np.zeros((len(tails), 1))], 1)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(s.start, s.stop - s.start), pa.array(expected), pa.array(tails[:, -1]), pa.array((bounds[:, :-1] - bounds[:, 1:]).argmax(1).astype(np.int32)), pa.array(tails[:, -1] >= least_tail)], names=["doc_id", "expected_grade", "tail_probability", "grade", "kept"])
 
-    return docs.select("doc_id", "text").mapInArrow(score, f"doc_id {dict(docs.dtypes)['doc_id']}, expected_grade double, tail_probability double, grade int, kept boolean")
+    return docs.select("doc_id", "text").mapInArrow(tidy(score), f"doc_id {dict(docs.dtypes)['doc_id']}, expected_grade double, tail_probability double, grade int, kept boolean")
 
 
 def rated(labels: DataFrame) -> DataFrame:

@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidy
+
 HIDDEN, SPAN, WARM, LANES = 8, 96, 8, 2048
 #: Documents per label and windows of each that training may see, the windows' length, and how long it goes on.
 SAMPLE, WINDOWS, WINDOW_CHARS = 300, 4, 120
@@ -251,7 +253,7 @@ def predicted(docs: DataFrame, net: Network | None, columns: list[str], named: t
     types = {f.name: f.dataType.simpleString() for f in docs.schema}
     names = [*kept, *["text"] * with_text, *named]
     schema = ", ".join(f"`{c}` {types[c]}" for c in names[:-2]) + f", `{named[0]}` string, `{named[1]}` double"
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tidy(run), schema)
 
 
 def identified(docs: DataFrame) -> DataFrame:

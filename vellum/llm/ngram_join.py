@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import mix64, shingle_hashes, words_of, written
+from .common import mix64, shingle_hashes, tidy, words_of, written
 from .components import connected_components
 from .tokens import GROUP_CHARS, in_groups
 
@@ -154,7 +154,7 @@ def _each(batches, n: int, emit):
 
 
 def _sets(docs: DataFrame, n: int, emit, schema: str) -> DataFrame:
-    return docs.mapInArrow(lambda batches: _each(batches, n, emit), schema)
+    return docs.mapInArrow(tidy(lambda batches: _each(batches, n, emit)), schema)
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -184,7 +184,7 @@ def frequent_tokens(docs: DataFrame, n: int, percent: int, least: int, most: int
         slots = np.flatnonzero(counts >= 8 + 4 * (total >> _SLOT_BITS))
         yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(slots), bool)), pa.array(slots), pa.array(counts[slots].astype(np.int64))], names=["is_slot", "key", "c"])
 
-    found = docs.select("text").mapInArrow(run, "is_slot boolean, key long, c long").groupBy("is_slot", "key").agg(F.sum("c").alias("c")).filter(F.col("c") > least)
+    found = docs.select("text").mapInArrow(tidy(run), "is_slot boolean, key long, c long").groupBy("is_slot", "key").agg(F.sum("c").alias("c")).filter(F.col("c") > least)
     found = written(found, "frequent")
     top = found.filter("not is_slot").orderBy(F.desc("c"), "key").limit(most).select("key").toArrow()
     slots = np.zeros(1 << _SLOT_BITS, bool)

@@ -25,14 +25,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import tidy, written
 from .tokens import encoder, in_groups
 
 #: Pieces of one length that are ranked together; a length that holds a third of all pieces is dealt to many such groups.
 RANKED_TOGETHER = 20_000
 
 
-def tokenized_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, with_ids: bool = False, memory: int = 400_000) -> DataFrame:
+def tokenized_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, with_ids: bool = False, memory: int = 150_000) -> DataFrame:
     """One row for each piece: doc_id, piece, start, length, ids_crc32 (and ids, where asked).
 
     ``memory``: words whose ids a Python worker remembers, 200 bytes each; more make it faster.
@@ -59,7 +59,7 @@ def tokenized_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048,
     kind = dict(docs.dtypes)["doc_id"]
     schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
     names = [x.split()[0] for x in schema.split(", ")]
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), schema)
 
 
 def best_two_fit(counts: dict[int, int], capacity: int) -> list[tuple[int, list[int]]]:
@@ -158,10 +158,10 @@ def pack(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in columns), pa.array(slots["sequence"][i] + bin_), pa.array(slots["offsets"][slots["offset"][i] + k])], names=[*columns, "sequence_id", "offset"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ranked.drop("_r").schema)
-    return ranked.mapInArrow(place, f"{schema}, sequence_id long, offset long")
+    return ranked.mapInArrow(tidy(place), f"{schema}, sequence_id long, offset long")
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, with_ids: bool = False, memory: int = 400_000) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, with_ids: bool = False, memory: int = 150_000) -> DataFrame:
     """Pieces of all documents with their sequences: doc_id, piece, start, length, ids_crc32, (ids,) sequence_id, offset."""
     pieces = written(tokenized_pieces(docs, tokenizer_path, capacity, end_id, with_ids, memory), "pieces")
     columns = ["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids]

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import pfor
-from .common import new_path
+from .common import new_path, tidy
 from .tokens import encoder, in_groups
 
 SHARD_BYTES = 64 << 20
@@ -40,7 +40,7 @@ def _deflated(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.binary())], names=["doc_id", "text_key", "packed"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInArrow(run, f"doc_id {kind}, text_key long, packed binary")
+    return docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInArrow(tidy(run), f"doc_id {kind}, text_key long, packed binary")
 
 
 def write_tokens(docs: DataFrame, tokenizer_path: str, path: str, end_id: int = 0, shards: int | None = None, memory: int = 400_000) -> None:
@@ -66,7 +66,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, path: str, end_id: int =
                 ordinal, start = ordinal + k, start + int(sizes.sum())
 
     ordered = _deflated(docs).repartitionByRange(shards, F.col("doc_id").asc_nulls_first(), "text_key").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text_key")
-    frames = ordered.select("doc_id", "packed").mapInArrow(run, f"shard int, ordinal long, doc_id {kind}, start long, n_tokens long, frame binary")
+    frames = ordered.select("doc_id", "packed").mapInArrow(tidy(run), f"shard int, ordinal long, doc_id {kind}, start long, n_tokens long, frame binary")
     frames.write.option("compression", "none").parquet(path)
 
 
@@ -87,7 +87,7 @@ def read_tokens(spark: SparkSession, path: str, with_ids: bool = False) -> DataF
                     out.append(pa.array([x.astype(np.int32) for x in ids], pa.list_(pa.int32())))
                 yield pa.RecordBatch.from_arrays(out, names=["shard", "doc_id", "start", "n_tokens", "ids_crc32", *["ids"] * with_ids])
 
-    rows = files.select("shard", "doc_id", "start", "frame").mapInArrow(run, f"shard int, doc_id {kind}, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids)
+    rows = files.select("shard", "doc_id", "start", "frame").mapInArrow(tidy(run), f"shard int, doc_id {kind}, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids)
     # One row for each shard, so as many as there were shuffle partitions.
     totals = files.groupBy("shard").agg(F.sum("n_tokens").alias("n"))
     before = totals.select("shard", (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("before"))

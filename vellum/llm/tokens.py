@@ -84,7 +84,7 @@ def encoder(path: str, memory: int = 400_000) -> Encoder:
 GROUP_CHARS = 400_000
 
 
-def in_groups(texts: list[str | None], chars: int = 2_000_000):
+def in_groups(texts: list[str | None], chars: int = 1_000_000):
     """Slices of the list with about so many characters each, so that memory doesn't follow the batch."""
     start, size = 0, 0
     for i, text in enumerate(texts):
