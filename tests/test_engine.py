@@ -152,3 +152,20 @@ def test_exif_and_wave_facts():
 def test_scanned_pages_are_named():
     c = convert("p.pdf", S.pdf(["Words on the first page."], []))
     assert c.document.metadata.get("pdf_scanned_pages") == "2" and c.warnings[-1][0] == "no_text_layer"
+
+
+def test_nested_tables_and_split_runs():
+    inner = S.word_table(["x", "y"])
+    body = f"<w:tbl><w:tr><w:tc>{S.para(S.run('a'))}{inner}</w:tc><w:tc>{S.para(S.run('b'))}</w:tc></w:tr></w:tbl>" + S.word_table(["c"], ["d"])
+    assert convert("d.docx", S.docx(body)).markdown == "| a<br>x y | b |\n| --- | --- |\n\n| c |\n| --- |\n| d |\n"
+    split = "<a:p><a:r><a:t>Hel</a:t></a:r><a:r><a:t>lo, all</a:t></a:r></a:p>"
+    assert convert("d.pptx", S.pptx([split])).markdown == "## Slide 1\n\nHello, all\n"
+
+
+def test_ods_and_sheet_details():
+    ods = S.zipped({"mimetype": "application/vnd.oasis.opendocument.spreadsheet", "content.xml": '<o:document-content xmlns:o="o" xmlns:t="t" xmlns:x="x"><t:table t:name="S"><t:table-row><t:table-cell><x:p>k</x:p></t:table-cell><t:table-cell><x:p>v</x:p></t:table-cell></t:table-row><t:table-row><t:table-cell o:value-type="float" o:value="2"><x:p>2,00</x:p></t:table-cell><t:table-cell o:value-type="date" o:date-value="2024-01-02"/></t:table-row></t:table></o:document-content>'})
+    c = convert("s.ods", ods)
+    assert (c.converter, c.markdown) == ("spreadsheet", "## S\n\n| k | v |\n| --- | --- |\n| 2 | 2024-01-02 |\n")
+    assert c.warnings[0][0] == "type_mismatch"
+    with pytest.raises(ConvertError, match="not read"):
+        convert("old.xls", S.compound({"Workbook": b"x"}))

@@ -189,7 +189,8 @@ def parse_pdf(data: bytes, hints: Hints, cx) -> Document:
             doc.blocks += page_blocks(lines)
         else:
             scanned.append(i)
-    doc.titled(doc.title or hints.filename) if doc.title or not hints.filename else doc.titled(hints.filename)
+    if not doc.title:
+        doc.titled(hints.filename)
     if doc.blocks:
         doc.warn("heuristic_applied", "headings were inferred from line shape, not from font metrics; PDF extraction here is text-only (no columns, no table reconstruction)")
     if scanned:

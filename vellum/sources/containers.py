@@ -7,11 +7,12 @@ import io
 import posixpath
 import re
 import zipfile
+from collections import defaultdict
 from dataclasses import replace
 
 from ..functions.text import safe_name, squeeze
 from ..plans.model import ConvertError, Document, Hints, heading, link, malformed, paragraph, plain, strong, emphasis, table, text
-from .markup import Node, closed_elements, local
+from .markup import Node, closed_elements
 
 
 def opened(data: bytes, form: str) -> zipfile.ZipFile:
@@ -76,15 +77,16 @@ class _Word:
 
     def __init__(self, links: dict[str, str]):
         self.links, self.blocks = links, []
-        self.tables: list[list[list[list[dict]]]] = []
+        # Of each table that is open, by depth: its rows, the row's cells, the cell's paragraphs.
+        self.rows: dict[int, list[list[str]]] = defaultdict(list)
+        self.row: dict[int, list[str]] = defaultdict(list)
+        self.cell: dict[int, list[str]] = defaultdict(list)
         self.new_paragraph()
         self.reset_run()
-        self.cell: list[str] = []
-        self.row: list[list] = []
 
     def new_paragraph(self) -> None:
         self.runs: list[tuple[str, bool, bool, str | None]] = []
-        self.style, self.numbered, self.link_from = "", False, None
+        self.style, self.numbered = "", False
 
     def reset_run(self) -> None:
         self.bold = self.italic = False
@@ -115,21 +117,17 @@ class _Word:
             self.runs[k:] = [("".join(r[0] for r in linked), False, False, href)] if href and linked else [(*r[:3], None) for r in linked]
         elif name == "p":
             self.paragraph(node)
-        elif name == "tc":
-            self.row.append("\n".join(self.cell))
-            self.cell = []
-        elif name == "tr":
-            if self.tables_open(node):
-                self.rows.append(self.row)
-            self.row = []
-        elif name == "tbl":
-            if getattr(self, "rows", None):
-                self.blocks.append(table(self.rows[1:], self.rows[0]))
-            self.rows = []
-
-    def tables_open(self, node: Node) -> bool:
-        self.rows = getattr(self, "rows", [])
-        return True
+        elif name in ("tc", "tr", "tbl"):
+            depth = node.path.count("tbl")
+            if name == "tc":
+                self.row[depth].append("\n".join(self.cell.pop(depth, [])))
+            elif name == "tr":
+                self.rows[depth].append(self.row.pop(depth, []))
+            elif rows := self.rows.pop(depth, []):
+                if depth == 1:
+                    self.blocks.append(table(rows[1:], rows[0]))
+                else:
+                    self.cell[depth - 1] += [" ".join(r) for r in rows]
 
     def paragraph(self, node: Node) -> None:
         spans: list[dict] = []
@@ -144,7 +142,7 @@ class _Word:
         self.new_paragraph()
         if node.under("tbl"):
             if plain(spans).strip():
-                self.cell.append(plain(spans).strip())
+                self.cell[node.path.count("tbl")].append(plain(spans).strip())
             return
         if not plain(spans).strip():
             return
@@ -186,14 +184,19 @@ def _number(name: str) -> int:
 
 
 def _slide(xml: str) -> list[dict]:
-    blocks, rows, row, cell = [], [], [], []
+    blocks, rows, row, cell, said = [], [], [], [], ""
     for n in closed_elements(xml):
-        if n.name == "p":
-            said = squeeze("".join(n.marks) if n.marks else re.sub(r" (?=[,.;:])", "", n.text))
+        if n.name == "t":
+            said += n.own
+        elif n.name == "br":
+            said += " "
+        elif n.name == "p":
+            said = squeeze(said)
             if n.under("tbl"):
                 cell.append(said)
             elif said:
                 blocks.append(paragraph(text(said)))
+            said = ""
         elif n.name == "tc":
             row.append("\n".join(x for x in cell if x))
             cell = []
@@ -246,7 +249,7 @@ def _xlsx_sheets(archive, cx):
     if book is None:
         raise malformed("spreadsheet", "no xl/workbook.xml")
     rels = relationships(get("xl/_rels/workbook.xml.rels"))
-    shared = [re.sub(r"\A | \Z", "", "".join(x)) for x in _shared(get("xl/sharedStrings.xml"))]
+    shared = ["".join(x) for x in _shared(get("xl/sharedStrings.xml"))]
     dates, custom, in_cells = [], set(), False
     for m in re.finditer(r"<(?:\w+:)?(numFmt|cellXfs|xf)\b([^>]*)>|</(?:\w+:)?cellXfs>", get("xl/styles.xml") or ""):
         value = lambda k: (re.search(rf'\b{k}="([^"]*)"', m[2] or "") or [None, ""])[1]  # noqa: B023, E731
@@ -293,7 +296,7 @@ def _xlsx_rows(xml: str, shared: list[str], dates: list[bool]):
             col = col - 1 if letters else max(row, default=-1) + 1
             if kind == "s" and value.strip().isdigit() and int(value) < len(shared):
                 said = shared[int(value)]
-            elif kind == "inlineStr" or kind == "inlinestr":
+            elif kind == "inlineStr":
                 said = inline
             elif kind == "b":
                 said = "true" if value.strip() == "1" else "false"
@@ -459,6 +462,3 @@ def parse_zip(data: bytes, hints: Hints, cx) -> Document:
         doc.warnings += [(k, f"{name}: {m}") for k, m in inner.warnings]
         doc.blocks.append({"type": "embedded", "name": name, "doc": inner})
     return doc
-
-
-__all__ = ["local", "parse_docx", "parse_epub", "parse_pptx", "parse_spreadsheet", "parse_zip"]
