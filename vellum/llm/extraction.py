@@ -6,11 +6,11 @@ one occurrence vector (as often on each page as each other) form a class. A
 class that occurs on several pages, whose tokens keep one order and lie within
 those of the class around it, is part of the host's template; the classes nest
 into one from the document's root down. What stands between template tokens
-are slots. Slots inside the template's or the page's furniture (menus, heads,
-feet, side bars, notices, adverts, forms, comments) are left out, the text of
-the others is extracted. A run of text that is itself a token of the root's
-class (on every page of the host, as often as the root) belongs to the
-template and is left out too.
+are slots. Furniture (menus, heads, feet, side bars, notices, adverts, forms,
+comments) is told by lists of tags, roles and class names, and left out; of
+the rest the slots' text is extracted. A run of text that is itself a token of
+a class belongs to the template and is left out too. Order and nesting must
+hold on nine of ten of a token's pages, and on the page that is read.
 
 Occurrence vectors are summed as hashes per token, so a host's pages need not
 meet: each task adds up its own pages first.
@@ -26,7 +26,8 @@ from __future__ import annotations
 
 import html as html_lib
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
+from functools import lru_cache
 from hashlib import blake2b
 
 import pyarrow as pa
@@ -144,20 +145,32 @@ def _key(*parts) -> int:
     return int.from_bytes(blake2b(repr(parts).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
+@lru_cache(1 << 16)
+def _tag_key(*parts) -> int:
+    return _key(*parts)
+
+
+def keyed(parsed: list[tuple]) -> list[int | None]:
+    """The key of each token, none for blank runs."""
+    out: list[int | None] = []
+    for t in parsed:
+        if t[0] != "text":
+            out.append(_tag_key(*t))
+        elif run := _squeezed(t[1]):
+            out.append(int.from_bytes(blake2b(run.encode("utf-8", "surrogatepass"), digest_size=8, key=_tag_key("text", t[2]).to_bytes(8, "little", signed=True)).digest(), "little", signed=True))
+        else:
+            out.append(None)
+    return out
+
+
 def occurrences(page: str | None) -> dict[int, tuple[int, int, bool]]:
     """Of each token key: how often it occurs, the place of its first occurrence, and whether it is a run of text."""
     found: dict[int, list] = {}
-    for i, t in enumerate(tokens(page)):
-        if t[0] == "text":
-            run = _squeezed(t[1])
-            if not run:
-                continue
-            key = _key("text", run, t[2])
-        else:
-            key = _key(*t)
+    parsed = tokens(page)
+    for i, (t, key) in enumerate(zip(parsed, keyed(parsed))):
         if key in found:
             found[key][0] += 1
-        else:
+        elif key is not None:
             found[key] = [1, i, t[0] == "text"]
     return {k: tuple(v) for k, v in found.items()}
 
@@ -167,39 +180,113 @@ _WRAP = 1 << 61
 
 
 def vectors(pages: DataFrame) -> DataFrame:
-    """host, token, is_text, pages, vector (a hash of the occurrence vector) and first (least place), for tokens on two pages or more."""
+    """host, token, is_text, pages, vector (a hash of the occurrence vector) place (sum of first places) and times (that it occurs), for tokens on two pages or more."""
 
     def run(batches):
         for b in batches:
-            seen: dict = defaultdict(lambda: [0, 0, 1 << 30, False])
+            seen: dict = defaultdict(lambda: [0, 0, 0, 0, False])
             for page_id, url, page in zip(*(b.column(c).to_pylist() for c in range(3))):
-                host, mine = host_of(url), _key(page_id, url, page)
+                host, mine, hashes = host_of(url), _key(page_id, url, page), {}
                 for key, (n, first, is_text) in [(ROOT, (1, 0, False)), *occurrences(page).items()]:
                     x = seen[host, key]
                     x[0] += 1
-                    x[1] = (x[1] + _key(mine, n)) % _WRAP
-                    x[2] = min(x[2], first)
-                    x[3] = is_text
+                    if n not in hashes:
+                        hashes[n] = _key(mine, n)
+                    x[1] = (x[1] + hashes[n]) % _WRAP
+                    x[2] += first
+                    x[3] += n
+                    x[4] = is_text
             if seen:
                 hosts, keys = zip(*seen)
-                n, vector, first, is_text = zip(*seen.values())
-                yield pa.RecordBatch.from_arrays([pa.array(hosts), pa.array(keys, pa.int64()), pa.array(is_text), pa.array(n, pa.int64()), pa.array(vector, pa.int64()), pa.array(first, pa.int32())], names=["host", "token", "is_text", "pages", "vector", "first"])
+                n, vector, place, times, is_text = zip(*seen.values())
+                yield pa.RecordBatch.from_arrays([pa.array(hosts), pa.array(keys, pa.int64()), pa.array(is_text), pa.array(n, pa.int64()), pa.array(vector, pa.int64()), pa.array(place, pa.int64()), pa.array(times, pa.int64())], names=["host", "token", "is_text", "pages", "vector", "place", "times"])
 
-    rows = pages.select("page_id", "url", "html").mapInArrow(tidy(run), "host string, token long, is_text boolean, pages long, vector long, first int")
-    summed = rows.groupBy("host", "token").agg(F.max("is_text").alias("is_text"), F.sum("pages").alias("pages"), (F.sum(F.col("vector").cast("decimal(38,0)")) % _WRAP).cast("long").alias("vector"), F.min("first").alias("first"))
+    rows = pages.select("page_id", "url", "html").mapInArrow(tidy(run), "host string, token long, is_text boolean, pages long, vector long, place long, times long")
+    summed = rows.groupBy("host", "token").agg(F.max("is_text").alias("is_text"), F.sum("pages").alias("pages"), (F.sum(F.col("vector").cast("decimal(38,0)")) % _WRAP).cast("long").alias("vector"), F.sum("place").alias("place"), F.sum("times").alias("times"))
     return summed.filter("pages >= 2")
 
 
 def classes(tokens_of_hosts: DataFrame) -> DataFrame:
-    """host, vector, pages, size, text_tokens: the equivalence classes of two tokens and more, on ``FEW`` pages or more."""
+    """host, vector, pages, size, times, text_tokens, tokens (in the order of their places): the equivalence classes of two tokens and more, on ``FEW`` pages or more."""
     grouped = tokens_of_hosts.filter(F.col("pages") >= FEW).groupBy("host", "vector", "pages")
-    return grouped.agg(F.count("*").alias("size"), F.max(F.col("token") == ROOT).alias("is_root"), F.collect_list(F.when(F.col("is_text"), F.col("token"))).alias("text_tokens")).filter("size >= 2")
+    return grouped.agg(F.count("*").alias("size"), F.max("times").alias("times"), F.max(F.col("token") == ROOT).alias("is_root"), F.collect_list(F.when(F.col("is_text"), F.col("token"))).alias("text_tokens"), F.sort_array(F.collect_list(F.when(F.col("token") != ROOT, F.struct("place", "token"))))["token"].alias("tokens")).filter("size >= 2")
+
+
+def nested(keys: list[int | None], template: list) -> tuple[dict[int, int], set[int]]:
+    """The class number of each token of ``template`` (the tokens of each class, from the widest class down), and the
+    tokens that leave their class's order on the page or whose class crosses a wider one."""
+    of = {key: (c, r) for c, members in enumerate(template) for r, key in enumerate(members)}
+    open_: list[list[int]] = []  # class, last rank
+    bad: set[int] = set()
+    for key in keys:
+        if key not in of or key in bad:
+            continue
+        c, r = of[key]
+        k = next((i for i, x in enumerate(open_) if x[0] == c), None)
+        if k is None and r == 0:
+            open_.append([c, 0])
+        elif k is None or r <= open_[k][1]:
+            bad.add(key)
+        else:
+            over = [x[0] for x in open_[k + 1 :]]
+            if any(x < c for x in over):
+                bad.update(template[c])
+                del open_[k]
+            else:
+                for x in over:
+                    bad.update(template[x])
+                del open_[k + 1 :]
+                open_[k][1] = r
+        open_ = [x for x in open_ if x[1] < len(template[x[0]]) - 1]
+    return {key: c for key, (c, _) in of.items()}, bad
+
+
+def templates(pages: DataFrame) -> DataFrame:
+    """host and template: the classes, of the tokens that keep their order and nest on nine of ten of their pages or more."""
+    found = written(classes(vectors(pages)).filter("size(tokens) > 0").select("host", "vector", "pages", "times", "tokens"), "classes")
+
+    def run(batches):
+        for b in batches:
+            n: Counter = Counter()
+            for host, page, cell in zip(*(b.column(c).to_pylist() for c in range(3))):
+                n.update((host, key) for key in nested(keyed(tokens(page)), cell or ())[1])
+            if n:
+                hosts, keys = zip(*n)
+                yield pa.RecordBatch.from_arrays([pa.array(hosts), pa.array(keys, pa.int64()), pa.array(n.values(), pa.int64())], names=["host", "token", "bad"])
+
+    rows = _beside(pages, _gathered(found)).filter("template IS NOT NULL").select("host", "html", "template")
+    bad = written(rows.mapInArrow(tidy(run), "host string, token long, bad long").groupBy("host", "token").agg(F.sum("bad").alias("bad")), "disorder")
+    each = found.select("host", "vector", "pages", "times", F.posexplode("tokens").alias("rank", "token")).join(bad, ["host", "token"], "left").filter("bad IS NULL OR 10 * bad <= pages")
+    kept = each.groupBy("host", "vector", "pages", "times").agg(F.sort_array(F.collect_list(F.struct("rank", "token")))["token"].alias("tokens"))
+    return written(_gathered(kept), "templates")
+
 
+def _gathered(found: DataFrame) -> DataFrame:
+    """host and template: the tokens of its classes, those on the most pages first, of these the least often found."""
+    wide = F.struct((-F.col("pages")).alias("narrow"), "times", "vector", "tokens")
+    return found.groupBy("host").agg(F.sort_array(F.collect_list(wide))["tokens"].alias("template"))
 
-def main_text(page: str | None, static: set[int] = frozenset()) -> str:
-    """Blocks of the page's main text, joined by newlines, without the runs whose token keys are ``static``."""
+
+def _beside(pages: DataFrame, found: DataFrame) -> DataFrame:
+    """page_id, url, html, host and its template."""
+    few = found.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    at = F.instr("url", "://")
+    host = F.lower(F.regexp_extract(F.when(at > 0, F.substring("url", at + 3, F.length("url"))).otherwise(""), r"^[^/?#]*", 0))
+    return pages.select("page_id", "url", "html", F.coalesce(host, F.lit("")).alias("host")).join(F.broadcast(found) if few else found, "host", "left")
+
+
+def static_runs(parsed: list[tuple], template: list) -> set[int]:
+    """Places of the runs of text that are tokens of the host's template, not in a slot of it."""
+    keys = keyed(parsed)
+    of, bad = nested(keys, template)
+    return {i for i, (t, key) in enumerate(zip(parsed, keys)) if t[0] == "text" and key in of and key not in bad}
+
+
+def main_text(page: str | None, template: list = ()) -> str:
+    """Blocks of the page's main text, joined by newlines, without the template's own runs."""
     parsed = tokens(page)
     has_article = any(t[0] == "text" and t[4] and not t[3] and not t[1].isspace() for t in parsed)
+    static = static_runs(parsed, template) if template else set()
 
     def blocks(drop: set[int]) -> list[str]:
         found: list[str] = []
@@ -214,12 +301,12 @@ def main_text(page: str | None, static: set[int] = frozenset()) -> str:
             parts.clear()
             linked = total = 0
 
-        for t in parsed:
+        for i, t in enumerate(parsed):
             if t[0] != "text":
                 flush()
                 continue
-            _, run, path, shut, inside, link = t
-            if shut or has_article and not inside or drop and _key("text", _squeezed(run), path) in drop:
+            _, run, _, shut, inside, link = t
+            if shut or has_article and not inside or i in drop:
                 continue
             parts.append(run)
             total += len(run.strip())
@@ -232,18 +319,12 @@ def main_text(page: str | None, static: set[int] = frozenset()) -> str:
 
 def extracted(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars for every page."""
-    found = written(classes(vectors(pages)).filter("is_root AND size(text_tokens) > 0").select("host", "text_tokens"), "templates")
-    few = found.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    at = F.instr("url", "://")
-    host = F.lower(F.regexp_extract(F.when(at > 0, F.substring("url", at + 3, F.length("url"))).otherwise(""), r"^[^/?#]*", 0))
-    rows = pages.select("page_id", "url", "html", F.coalesce(host, F.lit("")).alias("host")).join(F.broadcast(found) if few else found, "host", "left")
+    rows = _beside(pages, templates(pages))
 
     def run(batches):
         for b in batches:
-            ids, urls, htmls, static = (b.column(c) for c in range(4))
-            texts = []
-            for page, drop in zip(htmls.to_pylist(), static.to_pylist()):
-                texts.append(main_text(page, set(drop or ())))
+            ids, urls, htmls, found = (b.column(c) for c in range(4))
+            texts = [main_text(page, cell or ()) for page, cell in zip(htmls.to_pylist(), found.to_pylist())]
             yield pa.RecordBatch.from_arrays([ids, urls, pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    return rows.select("page_id", "url", "html", "text_tokens").mapInArrow(tidy(run), f"page_id {dict(pages.dtypes)['page_id']}, url string, text string, n_chars long")
+    return rows.select("page_id", "url", "html", "template").mapInArrow(tidy(run), f"page_id {dict(pages.dtypes)['page_id']}, url string, text string, n_chars long")
