@@ -37,3 +37,17 @@ def test_classes_nest():
     assert extraction.nested([1, 10, 7, 11, 2, 3, 4], template)[1] == set()
     assert extraction.nested([1, 10, 2, 11, 3, 4], template)[1] == {10, 11}
     assert extraction.nested([1, 3, 2, 10, 11, 10, 11, 4], template)[1] == {2}
+
+
+def test_odd_pages_leave_the_template(spark):
+    top, end = "<div class='x'><p>Welcome</p></div>", "<div class='z'><p>Copyright</p></div>"
+    pages = [page(i, top, end) for i in range(6)] + ["", None, "  ", "<table><tr><td>Another layout</td></tr></table>", page(9, top)]
+    found = texts(spark, pages)
+    assert [found[i] for i in range(6)] == [own(i) for i in range(6)]
+    assert found[6] == found[7] == found[8] == "" and found[9] == "Another layout" and found[10] == own(9)
+
+
+def test_pages_without_tokens_do_not_count_for_the_root(spark):
+    pages = [(i, f"http://a.org/{i}", page(i) if i < 6 else None if i < 8 else "") for i in range(10)]
+    root = next(r for r in extraction.classes(extraction.vectors(spark.createDataFrame(pages, PAGES))).collect() if r.is_root)
+    assert root.pages == 6 and root["size"] > 2

@@ -18,7 +18,8 @@ meet: each task adds up its own pages first.
 Defined cases: null and empty html, and pages without main text, give an empty
 text; a null URL is a host of its own; on hosts with fewer than ``FEW`` pages,
 and where nothing else were left, runs of text are never held for template;
-repeated rows count as pages of their own; other columns are ignored; an empty
+repeated rows count as pages of their own; pages without tokens count for no
+class; other columns are ignored; an empty
 table gives no rows.
 """
 
@@ -186,8 +187,11 @@ def vectors(pages: DataFrame) -> DataFrame:
         for b in batches:
             seen: dict = defaultdict(lambda: [0, 0, 0, 0, False])
             for page_id, url, page in zip(*(b.column(c).to_pylist() for c in range(3))):
+                found = occurrences(page)
+                if not found:
+                    continue
                 host, mine, hashes = host_of(url), _key(page_id, url, page), {}
-                for key, (n, first, is_text) in [(ROOT, (1, 0, False)), *occurrences(page).items()]:
+                for key, (n, first, is_text) in [(ROOT, (1, 0, False)), *found.items()]:
                     x = seen[host, key]
                     x[0] += 1
                     if n not in hashes:
