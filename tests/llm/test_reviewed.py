@@ -25,7 +25,7 @@ def test_classes_on_part_of_the_pages_are_template(spark):
 
 
 def test_runs_without_order_are_no_template(spark):
-    a, b, c = ("<div class='%s'><p>Run %s</p></div>" % (x, x) for x in "abc")
+    a, b, c = ("<div class='run-%s'><p>Run %s</p></div>" % (x, x) for x in "abc")
     pages = [page(i, c + (a + b if i % 2 else b + a)) for i in range(12)]
     found = texts(spark, pages)
     for i in range(12):
@@ -51,3 +51,17 @@ def test_pages_without_tokens_do_not_count_for_the_root(spark):
     pages = [(i, f"http://a.org/{i}", page(i) if i < 6 else None if i < 8 else "") for i in range(10)]
     root = next(r for r in extraction.classes(extraction.vectors(spark.createDataFrame(pages, PAGES))).collect() if r.is_root)
     assert root.pages == 6 and root["size"] > 2
+
+
+def test_copies_keep_their_text(spark):
+    top, end = "<div class='x'><p>Welcome</p></div>", "<div class='z'><p>Copyright</p></div>"
+    shared = "<h1>One head</h1><p>A long paragraph that all copies of it share</p><p>and one more of them</p>"
+    article = [f"<html><body><article>{shared}<p>Day {i}</p></article></body></html>" for i in range(7)]
+    want = "One head\nA long paragraph that all copies of it share\nand one more of them"
+    assert texts(spark, article) == {i: f"{want}\nDay {i}" for i in range(7)}
+    dated = [f"<html><body>{top}<div class='d'>Day {i}</div><div id='c'>{shared}</div>{end}</body></html>" for i in range(7)]
+    assert texts(spark, dated) == {i: f"Day {i}\n{want}" for i in range(7)}
+    copies = f"<html><body>{top}<div class='h'><h2>The copies' head</h2></div><div id='c'>{shared}</div>{end}</body></html>"
+    found = texts(spark, [copies] * 6 + [page(i, top, end) for i in range(9)])
+    assert [found[i] for i in range(6)] == ["The copies' head\n" + want] * 6
+    assert [found[6 + i] for i in range(9)] == [own(i) for i in range(9)]

@@ -8,8 +8,10 @@ those of the class around it, is part of the host's template; the classes nest
 into one from the document's root down. What stands between template tokens
 are slots. Furniture (menus, heads, feet, side bars, notices, adverts, forms,
 comments) is told by lists of tags, roles and class names, and left out; of
-the rest the slots' text is extracted. A run of text that is itself a token of
-a class belongs to the template and is left out too. Order and nesting must
+the rest the slots' text is extracted. The content is the page's article or
+main element, else the elements that hold most of the page's and of the slots'
+text. A run of text outside of it that is itself a token of a class belongs to
+the template and is left out too; within it nothing is. Order and nesting must
 hold on nine of ten of a token's pages, and on the page that is read.
 
 Occurrence vectors are summed as hashes per token, so a host's pages need not
@@ -17,7 +19,7 @@ meet: each task adds up its own pages first.
 
 Defined cases: null and empty html, and pages without main text, give an empty
 text; a null URL is a host of its own; on hosts with fewer than ``FEW`` pages,
-and where nothing else were left, runs of text are never held for template;
+and within the content, runs of text are never held for template;
 repeated rows count as pages of their own; pages without tokens count for no
 class; other columns are ignored; an empty
 table gives no rows.
@@ -279,20 +281,43 @@ def _beside(pages: DataFrame, found: DataFrame) -> DataFrame:
     return pages.select("page_id", "url", "html", F.coalesce(host, F.lit("")).alias("host")).join(F.broadcast(found) if few else found, "host", "left")
 
 
+def _region(runs: list[tuple]) -> tuple:
+    """The path of the innermost element that holds at least half of the unlinked text of ``runs`` (path, length)."""
+    mass: Counter = Counter()
+    for path, n in runs:
+        for k in range(len(path) + 1):
+            mass[path[:k]] += n
+    return max((p for p in mass if 2 * mass[p] >= mass[()]), key=lambda p: (len(p), mass[p]), default=()) if mass[()] else ()
+
+
 def static_runs(parsed: list[tuple], template: list) -> set[int]:
-    """Places of the runs of text that are tokens of the host's template, not in a slot of it."""
+    """Places of the template's runs of text outside of the content.
+
+    The content is the element that holds most of the page's text and the one
+    that holds most of the slots' text. A class that has most of its text there
+    and is not the widest on the page is content that pages share, as copies do.
+    """
     keys = keyed(parsed)
     of, bad = nested(keys, template)
-    return {i for i, (t, key) in enumerate(zip(parsed, keys)) if t[0] == "text" and key in of and key not in bad}
+    runs = [(i, t[2], 0 if t[5] else len(t[1].strip()), of.get(key, -1) if key not in bad else -1) for i, (t, key) in enumerate(zip(parsed, keys)) if key is not None and t[0] == "text" and not t[3]]
+    regions = {_region([(path, n) for _, path, n, _ in runs])}
+    if slots := [(path, n) for _, path, n, c in runs if c < 0 and n]:
+        regions.add(_region(slots))
+    outside = {i for i, path, _, _ in runs if all(path[: len(r)] != r for r in regions)}
+    widest = min((of[key] for key in keys if key in of and key not in bad), default=-1)
+    within: Counter = Counter()
+    for i, _, n, c in runs:
+        within[c] += -n if i in outside else n
+    return {i for i, _, _, c in runs if i in outside and c >= 0 and (c == widest or within[c] <= 0)}
 
 
 def main_text(page: str | None, template: list = ()) -> str:
-    """Blocks of the page's main text, joined by newlines, without the template's own runs."""
+    """Blocks of the page's main text, joined by newlines, without the template's own runs outside of the content."""
     parsed = tokens(page)
     has_article = any(t[0] == "text" and t[4] and not t[3] and not t[1].isspace() for t in parsed)
-    static = static_runs(parsed, template) if template else set()
+    static = static_runs(parsed, template) if template and not has_article else set()
 
-    def blocks(drop: set[int]) -> list[str]:
+    def blocks() -> list[str]:
         found: list[str] = []
         parts: list[str] = []
         linked = total = 0
@@ -310,7 +335,7 @@ def main_text(page: str | None, template: list = ()) -> str:
                 flush()
                 continue
             _, run, _, shut, inside, link = t
-            if shut or has_article and not inside or i in drop:
+            if shut or has_article and not inside or i in static:
                 continue
             parts.append(run)
             total += len(run.strip())
@@ -318,7 +343,7 @@ def main_text(page: str | None, template: list = ()) -> str:
         flush()
         return found
 
-    return "\n".join(blocks(static) or (blocks(set()) if static else []))
+    return "\n".join(blocks())
 
 
 def extracted(pages: DataFrame) -> DataFrame:
