@@ -1,6 +1,9 @@
 """Findings of reviews, each with what was lost before."""
 
-from vellum.llm import extraction
+import numpy as np
+import pyarrow.parquet as pq
+
+from vellum.llm import extraction, grading
 
 PAGES = "page_id long, url string, html string"
 
@@ -65,3 +68,16 @@ def test_copies_keep_their_text(spark):
     found = texts(spark, [copies] * 6 + [page(i, top, end) for i in range(9)])
     assert [found[i] for i in range(6)] == ["The copies' head\n" + want] * 6
     assert [found[6 + i] for i in range(9)] == [own(i) for i in range(9)]
+
+
+def test_toxic_documents_are_found_on_a_small_table():
+    docs, labels = (pq.read_table(f"/root/testdata/sf0.01/{t}.parquet").to_pylist() for t in ("documents", "labels"))
+    text = {d["doc_id"]: d["text"] for d in docs}
+    labels = [x for x in labels if x["doc_id"] in text]
+    rows = grading.features([text[x["doc_id"]] for x in labels])
+    y = np.array([0 if x["quality"] == 0 else 1 if x["toxic"] else 2 for x in labels])
+    part, kept = np.array([x["doc_id"] % 3 for x in labels]), np.zeros(len(y), bool)
+    for k in range(3):
+        model = grading.fit([r for r, p in zip(rows, part) if p != k], y[part != k])
+        kept[part == k] = [model.weights[r].sum() - model.thresholds[-1] >= np.log(0.6 / 0.4) for r, p in zip(rows, part) if p == k]
+    assert kept[y == 1].mean() < 0.5 and kept[y == 2].mean() > 0.95

@@ -16,6 +16,7 @@ other columns are ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,8 +29,8 @@ from .tokens import GROUP_CHARS, in_groups
 
 BITS = 18
 #: Labelled documents that the fit may see, features of each; a feature is used if it occurs in LEAST_DOCS of
-#: them with a mean grade LEAST_SIGMA standard errors off; and the fit's course.
-SAMPLE, SAMPLE_FEATURES, LEAST_DOCS, LEAST_SIGMA, STEPS, RATE, DECAY = 8000, 4000, 5, 5.0, 200, 0.12, 2e-3
+#: them and passes the screen for some grade at the level FALSE_SHARE of false discoveries; and the fit's course.
+SAMPLE, SAMPLE_FEATURES, LEAST_DOCS, FALSE_SHARE, STEPS, RATE, DECAY = 8000, 4000, 5, 0.01, 200, 0.12, 2e-3
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
 
@@ -60,15 +61,28 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(scores[:, None] - self.thresholds, -60, 60)))
 
 
+def screened(flat: np.ndarray, row: np.ndarray, docs: np.ndarray, grades: np.ndarray) -> np.ndarray:
+    """Whether each feature tells some grade from the rest: the share of its documents with that grade, in standard
+    errors, by the step-up rule of Benjamini and Hochberg over all features in LEAST_DOCS documents."""
+    z = np.zeros(len(docs))
+    for grade in range(grades.max() + 1):
+        off = (grades == grade).astype(float)
+        off = (off - off.mean()) / max(1e-9, off.std())
+        z = np.maximum(z, np.abs(np.bincount(flat, off[row], len(docs))) / np.sqrt(np.maximum(docs, 1)))
+    enough = docs >= LEAST_DOCS
+    ordered = np.sort(z[enough])[::-1]
+    chance = np.array([math.erfc(x / math.sqrt(2)) for x in ordered]) * (grades.max() + 1)
+    passed = np.nonzero(chance <= FALSE_SHARE * np.arange(1, len(ordered) + 1) / max(1, len(ordered)))[0]
+    return enough & (z >= ordered[passed[-1]]) if len(passed) else np.zeros(len(docs), bool)
+
+
 def fit(rows: list[np.ndarray], grades: np.ndarray, steps: int = STEPS) -> Model:
     """Adam on the mean negative log-likelihood with weight decay, classes weighed alike in part."""
     top = int(grades.max())
     flat = np.concatenate(rows)
     row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     docs = np.bincount(flat, minlength=1 << BITS)
-    off = (grades - grades.mean()) / max(1e-9, grades.std())
-    used = (docs >= LEAST_DOCS) & (np.abs(np.bincount(flat, off[row], 1 << BITS)) >= LEAST_SIGMA * np.sqrt(docs))
-    keep = used[flat]
+    keep = screened(flat, row, docs, grades)[flat]
     row = row[keep]
     dims, col = np.unique(flat[keep], return_inverse=True)
     n = len(rows)
