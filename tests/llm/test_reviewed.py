@@ -81,3 +81,21 @@ def test_toxic_documents_are_found_on_a_small_table():
         model = grading.fit([r for r, p in zip(rows, part) if p != k], y[part != k])
         kept[part == k] = [model.weights[r].sum() - model.thresholds[-1] >= np.log(0.6 / 0.4) for r, p in zip(rows, part) if p == k]
     assert kept[y == 1].mean() < 0.5 and kept[y == 2].mean() > 0.95
+
+
+def test_all_features_of_a_long_text_are_learned(spark, monkeypatch):
+    """The words that tell the grades are in the last part of the features, behind the first 4000."""
+    words = [f"w{i}" for i in range(9000)]
+    by = sorted((int(x[0]), w) for x, w in zip(grading.words_of(words, lower=True, bare=True), words))
+    marks, rest = [w for n, w in by[-200:]], [w for n, w in by[:6000]]
+    texts = [" ".join(rest + marks[100 * (i % 2) : 100 * (i % 2) + 100]) for i in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    grades = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, grade int")
+    seen = []
+    fit = grading.fit
+    monkeypatch.setattr(grading, "fit", lambda rows, y: seen.append(rows) or fit(rows, y))
+    assert {r.doc_id: r.kept for r in grading.graded(docs, grades).collect()} == {i: i % 2 == 1 for i in range(40)}
+    monkeypatch.setattr(grading, "SAMPLE_FEATURES", 20 * 6000)
+    grading.graded(docs, grades)
+    whole = {len(f) for f in grading.features(texts)}
+    assert len(seen[0]) == 40 and 0 < len(seen[1]) < 40 and {len(r) for r in seen[0]} | {len(r) for r in seen[1]} <= whole

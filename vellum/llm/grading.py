@@ -28,9 +28,9 @@ from .common import _SPACE, mix64, tidy, utf8, words_of, written
 from .tokens import GROUP_CHARS, in_groups
 
 BITS = 18
-#: Labelled documents that the fit may see, features of each; a feature is used if it occurs in LEAST_DOCS of
+#: Labelled documents that the fit may see, features of all of them; a feature is used if it occurs in LEAST_DOCS of
 #: them and passes the screen for some grade at the level FALSE_SHARE of false discoveries; and the fit's course.
-SAMPLE, SAMPLE_FEATURES, LEAST_DOCS, FALSE_SHARE, STEPS, RATE, DECAY = 8000, 4000, 5, 0.01, 200, 0.12, 2e-3
+SAMPLE, SAMPLE_FEATURES, LEAST_DOCS, FALSE_SHARE, STEPS, RATE, DECAY = 8000, 32_000_000, 5, 0.01, 200, 0.12, 2e-3
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
 
@@ -122,11 +122,13 @@ def graded(docs: DataFrame, grades: DataFrame, sample: int = SAMPLE, least_tail:
 
     A document is kept if its tail probability is ``least_tail`` or more.
     ``grades`` has doc_id and grade, whole numbers from 0. About ``sample`` of
-    them, chosen by a hash, are learned from: their ids and features are all
+    them, chosen by a hash, are learned from, fewer if they have more than about
+    SAMPLE_FEATURES features: their ids and features are all
     that the driver gathers.
     """
     n = grades.count()
-    part = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.ceil(F.lit((1 << 30) * min(1.0, sample / max(1, n))))
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
+    part = place < F.ceil(F.lit((1 << 30) * min(1.0, sample / max(1, n))))
     chosen = grades.filter(part & F.col("doc_id").isNotNull() & F.col("grade").isNotNull()).groupBy("doc_id").agg(F.min("grade").alias("grade"))
     chosen = written(chosen.limit(2 * sample), "grades")
 
@@ -134,9 +136,14 @@ def graded(docs: DataFrame, grades: DataFrame, sample: int = SAMPLE, least_tail:
         for b in batches:
             texts = b.column(0).to_pylist()
             for s in in_groups(texts, GROUP_CHARS):
-                yield pa.RecordBatch.from_arrays([b.column(1).slice(s.start, s.stop - s.start), pa.array([f[:SAMPLE_FEATURES] for f in features(texts[s])], pa.list_(pa.int32()))], names=["grade", "f"])
-
-    seen = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", F.col("grade").cast("int")).mapInArrow(tidy(learn), "grade int, f array<int>").toArrow()
+                yield pa.RecordBatch.from_arrays([*(b.column(c).slice(s.start, s.stop - s.start) for c in (1, 2)), pa.array(features(texts[s]), pa.list_(pa.int32()))], names=["grade", "place", "f"])
+
+    seen = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", F.col("grade").cast("int"), place.alias("place"))
+    seen = written(seen.mapInArrow(tidy(learn), "grade int, place long, f array<int>"), "features")
+    total, last = seen.agg(F.sum(F.size("f")), F.max("place")).first()
+    if total and total > SAMPLE_FEATURES:  # whole documents are left out, as many as are too much
+        seen = seen.filter(F.col("place") <= int(last * SAMPLE_FEATURES / total))
+    seen = seen.toArrow()
     y = seen.column("grade").to_numpy()
     if len(set(y.tolist())) < 2:
         top = int(y.max()) if len(y) else 1
