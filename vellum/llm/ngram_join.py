@@ -19,11 +19,19 @@ same links. It is the most frequent tokens of all prefixes, at most
 
 The prefix is longer by ``MATCHES`` - 1 than would do for one shared signature,
 so a link's ends share ``MATCHES`` of them. Documents that do are candidates if
-their sizes and the first shared signature's position allow the overlap. They are verified on their whole sets
-in two passes: first ``HEADS`` nodes of each list, the least by as many hashes,
-against the others; then all pairs that the first pass has not put into one
-component, which are few even where thousands of near copies share a list.
-A pair within a component needs no check: components are exact without it.
+their sizes and the first shared signature's position allow the overlap. They
+are verified on their whole sets in rounds: ``HEADS`` nodes of each list, the
+least by as many hashes, against the others; and again, with other heads,
+while lists hold many pairs that no component joins yet and a round still
+joins a good part of them. A pair within a component needs no check:
+components are exact without it.
+
+What then stands in lists with several components is compared block against
+block: nodes of one least signature make blocks, blocks that share enough
+lists meet, and one Arrow group compares the sets of such a pair of blocks. It
+puts out the links that join components, at most one fewer than there are
+nodes, never a row for each meeting. So a family of near copies about the
+threshold costs comparisons in numpy but no rows, and none is left out.
 
 Defined cases: null and empty texts, and texts without a word, have an empty
 set and link with nothing; shorter texts than n words have one token; equal
@@ -46,14 +54,19 @@ from .components import connected_components
 from .tokens import GROUP_CHARS, in_groups
 
 _SLOT_BITS = 22
+#: The most slots (a power of two) by which nodes are told whose sets are wanted.
+_NODE_SLOT_BITS = 26
 #: Signatures that a candidate pair shares.
 MATCHES = 3
 #: Nodes of each list that meet all its others in the first pass.
 HEADS = 8
-#: Lists with more nodes than LONG_LIST, and the signatures of a node that tell whether a pair has met before.
-LONG_LIST, FIRST_OF = 32, 12
+#: Another round of heads pays while the pairs without a common component are so many times the rows of their lists,
+#: and while a round leaves at most that share of them.
+WORTH, LEFT = 8, 0.75
 #: Nodes of a block, and nodes whose sets are held together when pairs are verified.
 BLOCK_NODES, PLACE_NODES = 256, 1000
+#: Tokens of a block, and of the blocks that are held together.
+BLOCK_TOKENS, PLACE_TOKENS = 1 << 20, 1 << 22
 
 
 def token_sets(texts: list[str | None], n: int) -> list[np.ndarray]:
@@ -206,13 +219,13 @@ def _postings(docs: DataFrame, n: int, percent: int, frequent: Frequent) -> Data
             counts.append(len(s))
         if keys:
             which = np.repeat(np.arange(len(keys)), counts)
-            yield pa.RecordBatch.from_arrays([_signed(np.concatenate(sigs)), pa.array(keys, pa.binary()).take(pa.array(which)), pa.array((np.array(sizes, np.int64)[which] << 32) | np.concatenate(most)), pa.array(np.concatenate([np.arange(c, dtype=np.int32) for c in counts]))], names=["sig", "node", "nq", "i"])
+            yield pa.RecordBatch.from_arrays([_signed(np.concatenate(sigs)), pa.array(keys, pa.binary()).take(pa.array(which)), pa.array((np.array(sizes, np.int64)[which] << 32) | np.concatenate(most))], names=["sig", "node", "nq"])
 
-    return _sets(docs.select("text"), n, emit, "sig long, node binary, nq long, i int")
+    return _sets(docs.select("text"), n, emit, "sig long, node binary, nq long")
 
 
-def _slot(node):
-    return F.shiftright(F.conv(F.hex(F.substring(node, 1, 3)), 16, 10).cast("int"), 24 - _SLOT_BITS)
+def _slot(node, bits: int):
+    return F.shiftright(F.conv(F.hex(F.substring(node, 1, 4)), 16, 10).cast("long"), 32 - bits)
 
 
 def _members(docs: DataFrame, n: int) -> DataFrame:
@@ -226,14 +239,24 @@ def _members(docs: DataFrame, n: int) -> DataFrame:
     return _sets(docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text"), n, emit, f"doc_id {dict(docs.dtypes)['doc_id']}, text_key long, node binary, n long")
 
 
-def _whole_sets(docs: DataFrame, n: int, pairs: DataFrame) -> DataFrame:
-    """node and tokens, for the nodes of ``pairs`` (and a few others, whose hashes fall into the same slots)."""
-    wanted = np.zeros(1 << _SLOT_BITS, bool)
-    ends = pairs.select(_slot(F.col("u")).alias("s")).unionByName(pairs.select(_slot(F.col("v")).alias("s")))
-    wanted[ends.distinct().toArrow().column(0).to_numpy()] = True
+def _whole_sets(docs: DataFrame, n: int, nodes: DataFrame) -> DataFrame:
+    """node and tokens, for ``nodes`` (node, distinct) and a few others, whose hashes fall into the same slots.
+
+    The slots go to the driver as the words of a bitmap, at most 2**20 of them; beyond some ten million
+    nodes ever more sets travel that nobody wants, at worst all, once.
+    """
+    bits = min(_NODE_SLOT_BITS, max(16, (64 * nodes.count()).bit_length()))
+    slot = _slot(F.col("node"), bits)
+    words = nodes.select(slot.alias("s")).groupBy(F.shiftright("s", 5).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(s & 31 AS int)))").alias("m")).toArrow()
+    wanted = np.zeros(1 << (bits - 5), np.uint32)
+    wanted[words.column("w").to_numpy()] = words.column("m").to_numpy().astype(np.uint32)
+
+    def is_wanted(key: bytes) -> bool:
+        at = int.from_bytes(key[:4], "big") >> (32 - bits)
+        return bool(wanted[at >> 5] >> np.uint32(at & 31) & np.uint32(1))
 
     def emit(batch, rows):
-        found = [(key, np.sort(t.view(np.int64))) for key, t, again in rows if key is not None and not again and wanted[int.from_bytes(key[:3], "big") >> (24 - _SLOT_BITS)]]
+        found = [(key, np.sort(t.view(np.int64))) for key, t, again in rows if key is not None and not again and is_wanted(key)]
         if found:
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.binary()), pa.array([x[1] for x in found], pa.list_(pa.int64()))], names=["node", "tokens"])
 
@@ -277,7 +300,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFr
     ends = placed.select("place", F.col("u").alias("node")).unionByName(placed.select("place", F.col("v").alias("node")))
     buckets = ends.distinct().count() // PLACE_NODES + 1
     at = F.pmod(F.col("place"), F.lit(buckets)).cast("int")
-    sets = written(_whole_sets(docs, n, placed), "sets")
+    sets = written(_whole_sets(docs, n, ends.select("node").distinct()), "sets")
     sent = ends.select(at.alias("at"), "node").distinct().join(sets, "node")
 
     def check(pair: pa.Table, found: pa.Table):
@@ -299,6 +322,116 @@ def _verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFr
     return placed.select(at.alias("at"), "u", "v").groupBy("at").cogroup(sent.groupBy("at")).applyInArrow(check, "u binary, v binary")
 
 
+def _heads(lists: DataFrame, seed: int) -> DataFrame:
+    """The ``HEADS`` nodes of each list that as many hashes choose, in the form of ``lists``."""
+    member = F.struct(*(c for c in lists.columns if c != "sig"))
+    chosen = lists.groupBy("sig").agg(*(F.min(F.struct(F.xxhash64("node", F.lit(seed + r)).alias("h"), member.alias("m"))).alias(f"h{r}") for r in range(HEADS)))
+    return chosen.select("sig", F.explode(F.array_distinct(F.array(*(F.col(f"h{r}.m") for r in range(HEADS))))).alias("m")).select("sig", "m.*")
+
+
+def _labelled(lists: DataFrame, label: DataFrame) -> DataFrame:
+    """The rows of ``lists`` whose list holds several labels, with the node's label (of a node without links, itself)."""
+    rows = lists.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    several = rows.groupBy("sig").agg(F.min("label").alias("a"), F.max("label").alias("z")).filter("a != z").select("sig")
+    return written(rows.join(several, "sig", "left_semi"), "mixed")
+
+
+def _open_pairs(labelled: DataFrame) -> tuple[int, int]:
+    """How many pairs of nodes of different labels the lists hold, and how many rows."""
+    each = labelled.groupBy("sig", "label").agg(F.count("*").alias("m"))
+    lists = each.groupBy("sig").agg(F.sum("m").alias("c"), F.sum(F.col("m").cast("double") * F.col("m")).alias("same"))
+    r = lists.agg(F.sum((F.col("c").cast("double") * F.col("c") - F.col("same")) / 2), F.sum("c")).first()
+    return int(r[0] or 0), int(r[1] or 0)
+
+
+def _in_blocks(labelled: DataFrame, percent: int) -> DataFrame:
+    """node, n, label, band (of sizes) and b, its block: nodes of one least signature and band, of one
+    label where this fills blocks by itself, dealt to blocks of about ``BLOCK_NODES`` and ``BLOCK_TOKENS``."""
+    band = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(100 / percent)))).cast("int")
+    nodes = labelled.groupBy("node").agg(F.min("sig").alias("key"), F.first("label").alias("label"), F.first("n").alias("n")).withColumn("band", band)
+    own = nodes.groupBy("key", "band", "label").agg(F.count("*").alias("m")).select("key", "band", "label", F.when(F.col("m") >= BLOCK_NODES, F.col("label")).alias("own"))
+    nodes = nodes.join(own, ["key", "band", "label"])
+    group = ["key", "band", F.coalesce("own", F.lit(b"")).alias("own")]
+    crowd = nodes.select(*group, "n").groupBy("key", "band", "own").agg(F.ceil(F.greatest(F.count("*") / BLOCK_NODES, F.sum("n") / BLOCK_TOKENS)).alias("parts"))
+    dealt = nodes.withColumn("own", group[2]).join(crowd, ["key", "band", "own"])
+    return dealt.select("node", "n", "label", "band", F.xxhash64("key", "band", "own", F.pmod(F.xxhash64("node"), "parts")).alias("b"))
+
+
+def _block_pairs(labelled: DataFrame, nodes: DataFrame, percent: int, matches: int = MATCHES) -> DataFrame:
+    """Pairs (x, y) of blocks that may hold a link: they share enough lists, their sizes and places in these
+    lists allow the overlap, and there is more than one label."""
+    rows = labelled.select("sig", "node", "n", "sure", "q", "label").join(nodes.select("node", "band", "b"), "node")
+    rows = rows.groupBy("sig", "b", "band").agg(F.min("n").alias("n"), F.max("q").alias("q"), F.min("sure").alias("sure"), F.min("label").alias("a"), F.max("label").alias("z"))
+    x = rows.withColumn("to", F.explode(F.sequence("band", F.col("band") + 2))).alias("x")
+    y = rows.alias("y")
+    ordered = (F.col("x.band") < F.col("y.band")) | (F.col("x.b") <= F.col("y.b"))
+    several = (F.least("x.a", "y.a") != F.greatest("x.z", "y.z"))
+    place = (F.least("x.q", "y.q") + matches - 1) * (100 + percent) >= (F.col("x.n") + F.col("y.n")) * percent
+    met = x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.to") == F.col("y.band")) & ordered & several & place)
+    pairs = met.groupBy(F.col("x.b").alias("x"), F.col("y.b").alias("y")).agg(F.count("*").alias("c"), F.min(F.least("x.sure", "y.sure")).alias("sure"))
+    return pairs.filter("c >= sure").select("x", "y")
+
+
+def links_between(one: tuple, other: tuple, state: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links between the sets of two blocks, (rows, token numbers, starts and ends of the rows) each, that join
+    components: ``state`` holds the component of every row and is brought up to date."""
+    rows, flat, starts, ends = other
+    sizes = ends - starts
+    present = np.zeros(max(int(one[1].max(initial=0)), int(flat.max(initial=0))) + 1, bool)
+    found = []
+    for i, s, e in zip(one[0], one[2], one[3]):
+        apart = state[rows] != state[i]
+        if not apart.any():
+            continue
+        mine = one[1][s:e]
+        present[mine] = True
+        shared = np.add.reduceat(present[flat], starts, dtype=np.int64)
+        present[mine] = False
+        for j in rows[apart & (100 * shared >= percent * (len(mine) + sizes - shared))]:
+            if state[j] != state[i]:
+                found.append((int(i), int(j)))
+                state[state == state[j]] = state[i]
+    return found
+
+
+def _linked_blocks(labelled: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """Links that join the components of ``labelled`` as all links of its lists would."""
+    nodes = written(_in_blocks(labelled, percent), "nodes")
+    pairs = written(_block_pairs(labelled, nodes, percent), "block-pairs")
+    blocks = nodes.groupBy("b").agg(F.count("*").alias("m"), F.sum("n").alias("t"))
+    ends = pairs.select(F.xxhash64("x", "y").alias("place"), "x", "y").select("place", F.explode(F.array_distinct(F.array("x", "y"))).alias("b"))
+    sums = ends.join(blocks, "b").agg(F.sum("m"), F.sum("t")).first()
+    buckets = max((sums[0] or 0) // PLACE_NODES, (sums[1] or 0) // PLACE_TOKENS) + 1
+    at = F.pmod(F.col("place"), F.lit(buckets)).cast("int")
+    asked = ends.select(at.alias("at"), "b").distinct()
+    wanted = nodes.join(asked.select("b").distinct(), "b", "left_semi").select("node", "b", "label")
+    sets = written(wanted.join(_whole_sets(docs, n, wanted.select("node")), "node"), "block-sets")
+    sent = asked.join(sets, "b").select("at", "b", "node", "label", "tokens")
+
+    def compare(pair: pa.Table, found: pa.Table):
+        column = found.column("tokens").combine_chunks()
+        edges, flat = column.offsets.to_numpy(), np.unique(column.values.to_numpy(), return_inverse=True)[1]
+        state = np.unique(np.array(found.column("label").to_pylist(), object), return_inverse=True)[1]
+        block = found.column("b").to_numpy()
+        order = np.argsort(block, kind="stable")
+        names, first = np.unique(block[order], return_index=True)
+        parts = dict(zip(names.tolist(), np.split(order, first[1:])))
+
+        def part(name):
+            rows = parts[name]
+            lengths = (edges[1:] - edges[:-1])[rows]
+            ends = np.cumsum(lengths)
+            return rows, np.concatenate([flat[edges[r] : edges[r + 1]] for r in rows]), ends - lengths, ends
+
+        made = {name: part(name) for name in parts}
+        links = [x for a, b in zip(pair.column("x").to_pylist(), pair.column("y").to_pylist()) for x in links_between(made[a], made[b], state, percent)]
+        node = found.column("node").to_pylist()
+        return pa.table({"u": pa.array([node[i] for i, _ in links], pa.binary()), "v": pa.array([node[j] for _, j in links], pa.binary())})
+
+    asks = pairs.select(F.xxhash64("x", "y").alias("place"), "x", "y").select(at.alias("at"), "x", "y")
+    return asks.groupBy("at").cogroup(sent.groupBy("at")).applyInArrow(compare, "u binary, v binary")
+
+
 def ngram_components(docs: DataFrame, n: int = 4, percent: int = 85, frequent_least: int = 16, frequent_most: int = 2**18) -> DataFrame:
     """doc_id, text_key (of the text), n_shingles and root (the component's key; null for an empty set), one row for each document.
 
@@ -307,38 +440,33 @@ def ngram_components(docs: DataFrame, n: int = 4, percent: int = 85, frequent_le
     frequent = frequent_tokens(docs, n, percent, frequent_least, frequent_most)
     together = _postings(docs, n, percent, frequent).repartition("sig").dropDuplicates(["sig", "node"])
     lists = together.withColumn("c", F.count("*").over(Window.partitionBy("sig"))).filter("c > 1")
-    lists = lists.select("sig", "node", F.shiftright("nq", 34).alias("n"), F.shiftright("nq", 32).bitwiseAND(F.lit(3)).alias("sure"), F.col("nq").bitwiseAND(F.lit(2**32 - 1)).alias("q"), "i", "c")
+    lists = lists.select("sig", "node", F.shiftright("nq", 34).alias("n"), F.shiftright("nq", 32).bitwiseAND(F.lit(3)).alias("sure"), F.col("nq").bitwiseAND(F.lit(2**32 - 1)).alias("q"), "c")
     lists = written(_with_blocks(written(lists, "lists")), "blocks")
 
-    member = F.struct("node", "n", "sure", "q", "b")
-    heads = lists.filter(F.col("c") > HEADS).groupBy("sig").agg(*(F.min(F.struct(F.xxhash64("node", F.lit(r)).alias("h"), member.alias("m"))).alias(f"h{r}") for r in range(HEADS)))
-    heads = heads.select("sig", F.explode(F.array_distinct(F.array(*(F.col(f"h{r}.m") for r in range(HEADS))))).alias("m")).select("sig", "m.*")
+    long_, short = lists.filter(F.col("c") > HEADS), lists.filter(F.col("c") <= HEADS)
     met = None
-    for rows, others, once in ((lists.filter(F.col("c") > HEADS), heads, F.col("x.node") != F.col("y.node")), (lists.filter(F.col("c") <= HEADS), lists.filter(F.col("c") <= HEADS), F.col("x.node") < F.col("y.node"))):
+    for rows, others, once in ((long_, _heads(long_, 0), F.col("x.node") != F.col("y.node")), (short, short, F.col("x.node") < F.col("y.node"))):
         some = _sides(rows.alias("x").join(others.alias("y"), (F.col("x.sig") == F.col("y.sig")) & once & _near(percent)))
         met = some if met is None else met.unionByName(some)
-    first = written(_verified(_candidates(met, percent), docs, n, percent), "links")
-
-    label = written(connected_components(first), "labels").withColumnRenamed("root", "label")
-    labelled = lists.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    mixed = labelled.groupBy("sig").agg(F.min("label").alias("a"), F.max("label").alias("b")).filter("a != b").select("sig")
-    band = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(100 / percent)))).cast("int")
-    labelled = written(labelled.join(mixed, "sig", "left_semi").withColumn("band", band), "mixed")
-    # Near copies of one text share most signatures. In long lists, what has MATCHES earlier
-    # ones in common among the first of both is not met again.
-    crowded = F.col("c") > LONG_LIST
-    first_of = labelled.filter(crowded).groupBy("node").agg(F.slice(F.array_sort(F.collect_list(F.struct("i", "sig"))), 1, FIRST_OF).alias("f"))
-    long_ = labelled.filter(crowded).join(first_of, "node").withColumn("earlier", F.transform(F.filter("f", lambda e: e["i"] < F.col("i")), lambda e: e["sig"])).drop("f")
-    cross = None
-    for rows, new in ((labelled.filter(~crowded), F.lit(True)), (long_, F.size(F.array_intersect("x.earlier", "y.earlier")) < MATCHES)):
-        x = rows.withColumn("band", F.explode(F.array(F.col("band"), F.col("band") + 1, F.col("band") + 2))).alias("x")
-        y = rows.alias("y")
-        smaller = (F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.node") < F.col("y.node")))
-        met = x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.band") == F.col("y.band")) & smaller & _near(percent) & (F.col("x.label") != F.col("y.label")) & new)
-        cross = _sides(met) if cross is None else cross.unionByName(_sides(met))
-    second = _verified(_candidates(cross, percent), docs, n, percent)
-
-    roots = written(connected_components(first.unionByName(second)), "roots")
+    links = written(_verified(_candidates(met, percent), docs, n, percent), "links")
+
+    turn, left = 0, float("inf")
+    while True:
+        label = written(connected_components(links), "labels")
+        labelled = _labelled(lists, label.withColumnRenamed("root", "label"))
+        pairs, rows = _open_pairs(labelled)
+        if pairs <= WORTH * HEADS * rows or pairs > LEFT * left:
+            break
+        turn, left = turn + 1, pairs
+        heads = _heads(labelled.filter(F.col("c") > HEADS), turn * HEADS)
+        some = labelled.alias("x").join(heads.alias("y"), (F.col("x.sig") == F.col("y.sig")) & (F.col("x.label") != F.col("y.label")) & _near(percent))
+        new = _verified(_candidates(_sides(some), percent), docs, n, percent)
+        links = written(label.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(new), "links")
+    # Of a component, a label row for each node stands for its links.
+    roots = label
+    if pairs:
+        last = _linked_blocks(labelled, docs, n, percent)
+        roots = written(connected_components(label.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(last)), "roots")
     whole = _members(docs, n).join(roots, "node", "left")
     return whole.select("doc_id", "text_key", F.col("n").alias("n_shingles"), F.coalesce("root", "node").alias("root"))
 
