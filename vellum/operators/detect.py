@@ -5,6 +5,7 @@ from __future__ import annotations
 import codecs
 import io
 import mimetypes
+import re
 import zipfile
 from dataclasses import dataclass, replace
 
@@ -34,40 +35,108 @@ TYPES = {
 MAGIC = (
     (b"%PDF-", 0, b"", TYPES["pdf"]),
     (b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1", 0, b"", TYPES["msg"]),
-    (b"\x89PNG\r\n\x1a\n", 0, b"", "image/png"),
     (b"\xff\xd8\xff", 0, b"", "image/jpeg"),
-    (b"GIF8", 0, b"", "image/gif"),
+    (b"\0\0\0\x0cjP  \r\n\x87\n", 0, b"", "image/jp2"),
+    (b"\x89PNG", 0, b"", "image/png"),
+    (b"GIF", 0, b"", "image/gif"),
     (b"RIFF", 8, b"WEBP", "image/webp"),
-    (b"RIFF", 8, b"WAVE", "audio/x-wav"),
-    (b"RIFF", 8, b"AVI ", "video/x-msvideo"),
-    (b"II*\x00", 0, b"", "image/tiff"),
-    (b"MM\x00*", 0, b"", "image/tiff"),
+    (b"II*\0", 8, b"CR\2", "image/x-canon-cr2"),
+    (b"MM\0*", 8, b"CR\2", "image/x-canon-cr2"),
+    (b"II*\0", 0, b"", "image/tiff"),
+    (b"MM\0*", 0, b"", "image/tiff"),
     (b"BM", 0, b"", "image/bmp"),
-    (b"ID3", 0, b"", "audio/mpeg"),
-    (b"\xff\xfb", 0, b"", "audio/mpeg"),
-    (b"fLaC", 0, b"", "audio/x-flac"),
-    (b"OggS", 0, b"", "audio/ogg"),
-    (b"", 4, b"ftypM4A", "audio/m4a"),
+    (b"II\xbc", 0, b"", "image/vnd.ms-photo"),
+    (b"8BPS", 0, b"", "image/vnd.adobe.photoshop"),
+    (b"\0\0\1\0", 0, b"", "image/vnd.microsoft.icon"),
     (b"", 4, b"ftypavif", "image/avif"),
+    (b"", 4, b"ftypavis", "image/avif"),
     (b"", 4, b"ftyphei", "image/heif"),
     (b"", 4, b"ftypmif1", "image/heif"),
+    (b"", 4, b"ftypmsf1", "image/heif"),
+    (b"\xff\x0a", 0, b"", "image/jxl"),
+    (b"\0\0\0\x0cJXL \r\n\x87\n", 0, b"", "image/jxl"),
+    (b"AT&TFORM", 12, b"DJV", "image/vnd.djvu"),
+    (b"", 4, b"ftypM4V", "video/x-m4v"),
+    (b"", 4, b"ftypM4A", "audio/m4a"),
+    (b"", 4, b"ftypqt", "video/quicktime"),
+    (b"", 4, b"moov", "video/quicktime"),
+    (b"", 4, b"mdat", "video/quicktime"),
     (b"", 4, b"ftyp", "video/mp4"),
+    (b"\x1aE\xdf\xa3\x93B\x82\x88matroska", 0, b"", "video/x-matroska"),
+    (b"\x1aE\xdf\xa3", 31, b"matroska", "video/x-matroska"),
     (b"\x1aE\xdf\xa3", 0, b"", "video/webm"),
+    (b"RIFF", 8, b"AVI", "video/x-msvideo"),
+    (b"0&\xb2u\x8ef\xcf\x11\xa6\xd9", 0, b"", "video/x-ms-wmv"),
+    *((b"\0\0\1" + bytes([k]), 0, b"", "video/mpeg") for k in range(0xB0, 0xC0)),
+    (b"FLV\1", 0, b"", "video/x-flv"),
+    (b"MThd", 0, b"", "audio/midi"),
+    (b"ID3", 0, b"", "audio/mpeg"),
+    (b"\xff\xfb", 0, b"", "audio/mpeg"),
+    (b"OggS", 28, b"OpusHead", "audio/opus"),
+    (b"OggS", 0, b"", "audio/ogg"),
+    (b"fLaC", 0, b"", "audio/x-flac"),
+    (b"RIFF", 8, b"WAVE", "audio/x-wav"),
+    (b"#!AMR\n", 0, b"", "audio/amr"),
+    (b"\xff\xf1", 0, b"", "audio/aac"),
+    (b"\xff\xf9", 0, b"", "audio/aac"),
+    (b"FORM", 8, b"AIFF", "audio/x-aiff"),
+    (b"FORM", 8, b"AIFC", "audio/x-aiff"),
+    (b"DSD ", 0, b"", "audio/x-dsf"),
+    (b"MAC ", 0, b"", "audio/x-ape"),
 )
 SIGNALS = ("content", "extension", "declared", "none")
 
 
+#: Of the interpreter alone, so that no machine's own lists change a result.
+_OTHER_TYPES = mimetypes.MimeTypes(())
+
+
 def type_of_extension(ext: str | None) -> str | None:
-    return ext and (TYPES.get(ext) or mimetypes.guess_type(f"x.{ext}")[0])
+    return ext and (TYPES.get(ext) or _OTHER_TYPES.guess_type(f"x.{ext}")[0])
+
+
+_CONTROLS = bytes(b for b in range(32) if not 9 <= b < 14)
 
 
 def looks_textual(head: bytes) -> bool:
     if b"\0" in head:
         return False
-    return not head or 100 * sum(b < 9 or 14 <= b < 32 for b in head) < len(head)
+    return not head or 100 * (len(head) - len(head.translate(None, _CONTROLS))) < len(head)
+
+
+#: Encodings that are tried where the bytes are no UTF-8, and the characters that speak for each.
+CHARSETS = (
+    ("shift_jis", "\u3040-\u30ff\uff66-\uff9d"),
+    ("euc-jp", "\u3040-\u30ff"),
+    ("euc-kr", "\uac00-\ud7a3"),
+    ("big5", "\u4e00-\u9fa5"),
+    ("gb18030", "\u4e00-\u9fa5"),
+    ("windows-1251", "\u0410-\u044f"),
+    ("windows-1253", "\u0386-\u03ce"),
+    ("windows-1255", "\u05d0-\u05ea"),
+)
+
+
+def _guessed_charset(data: bytes) -> str:
+    """Of the encodings in which most characters beyond ASCII are its script's, in words of two and more and with
+    few capitals, the first; else windows-1252."""
+    for name, script in CHARSETS:
+        try:
+            said = codecs.getincrementaldecoder(name)("strict").decode(data)
+        except UnicodeDecodeError:
+            continue
+        beyond = [c for c in said if c > "\x7f"]
+        own = re.findall(f"[{script}]", said)
+        runs = re.findall(f"[{script}]{{2,}}", said)
+        if name.startswith("windows") and 2 * len(own) < sum(c.isascii() and c.isalpha() for c in said):
+            continue  # a text in such a script has few other letters
+        if len(own) * 10 >= 6 * len(beyond) and sum(map(len, runs)) * 10 >= 9 * len(own) and 2 * sum(c.isupper() for c in own) <= len(own):
+            return name
+    return "windows-1252"
 
 
 def charset_of(data: bytes) -> str:
+    """By a byte order mark, as UTF-8 if it decodes, else by the scripts that encodings would yield."""
     for bom, name in ((codecs.BOM_UTF8, "utf-8"), (codecs.BOM_UTF16_LE, "utf-16le"), (codecs.BOM_UTF16_BE, "utf-16be")):
         if data.startswith(bom):
             return name
@@ -75,14 +144,7 @@ def charset_of(data: bytes) -> str:
         codecs.getincrementaldecoder("utf-8")().decode(data)
         return "utf-8"
     except UnicodeDecodeError:
-        pass
-    try:
-        from charset_normalizer import from_bytes
-
-        best = from_bytes(data).best()
-        return (best.encoding if best else "windows-1252").replace("_", "-").lower()
-    except ImportError:
-        return "windows-1252"
+        return _guessed_charset(data)
 
 
 def decoded(data: bytes, hints: Hints) -> str:

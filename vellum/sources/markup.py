@@ -6,13 +6,13 @@ import html as html_lib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from html.parser import HTMLParser
 
 from ..functions.text import decode_entities, squeeze, unescape
 from ..operators.detect import decoded
 from ..plans.model import ConvertError, Document, Hints, emphasis, heading, link, paragraph, raw, strong, text
+from .scan import html_markup, xml_markup
 
-_XML = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<\?.*?(?:\?>|\Z)|<!DOCTYPE(?:[^\[>]|\[.*?\]\s*(?=>))*>|<(/?)([^\s/>!?]+)((?:[^>\"']|\"[^\"]*\"|'[^']*')*?)(/?)>", re.S | re.I)
+_TAG_NAME = re.compile(r"[^\s/>!?]+")
 _ATTRIBUTE = re.compile(r"([^\s=/>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)')")
 
 
@@ -51,26 +51,24 @@ def closed_elements(xml: str) -> Iterator[Node]:
                 stack[-1].text += " " + node.text
         return node
 
-    for m in _XML.finditer(xml):
-        between = unescape(xml[at : m.start()])
-        at = m.end()
+    empty = True
+    for start, end, kind, said in xml_markup(xml):
+        empty = False
+        between = unescape(xml[at:start]) + (said if kind == "cdata" else "")
+        at = end
         if stack and between:
             stack[-1].text += between
             stack[-1].own += between
-        if m[1] is not None and stack:
-            stack[-1].text += m[1]
-            stack[-1].own += m[1]
-        elif m[3] and m[2]:
-            if stack:
-                yield close()
-        elif m[3]:
-            attributes = {}
-            for k, a, b in _ATTRIBUTE.findall(m[4]):
+        if kind == "close" and stack:
+            yield close()
+        elif kind in ("open", "empty"):
+            name, attributes = _TAG_NAME.match(said)[0], {}
+            for k, a, b in _ATTRIBUTE.findall(said, len(name)):
                 attributes.setdefault(local(k), unescape(a or b))
-            stack.append(Node((*(stack[-1].path if stack else ()), local(m[3])), attributes))
-            if m[5]:
+            stack.append(Node((*(stack[-1].path if stack else ()), local(name)), attributes))
+            if kind == "empty":
                 yield close()
-    if not _XML.search(xml):
+    if empty:
         raise ConvertError("malformed", "malformed xml: no element")
     while stack:
         yield close()
@@ -147,14 +145,16 @@ def strip_non_prose(page: str) -> str:
     return _STRIP.sub("", page)
 
 
-class _Markdown(HTMLParser):
+_VALUES = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+
+
+class _Markdown:
     """Markdown of a page's body."""
 
     BLOCKS = {"p", "div", "section", "article", "main", "header", "footer", "nav", "aside", "form", "figure", "figcaption", "address", "dl", "dt", "dd", "body", "html", "fieldset", "details", "summary"}
     MARKS = {"b": "**", "strong": "**", "i": "*", "em": "*"}
 
     def __init__(self):
-        super().__init__(convert_charrefs=True)
         self.out: list[str] = []  # finished blocks of the innermost container
         self.line: list[str] = []
         self.frames: list[tuple] = []
@@ -163,9 +163,26 @@ class _Markdown(HTMLParser):
         self.links: list[str | None] = []
         self.rows: list[list[list[str]]] = []
 
+    def feed(self, page: str, tick=None) -> None:
+        at = 0
+        for k, (start, end, name, closes, rest) in enumerate(html_markup(page)):
+            if tick and k % 1024 == 0:
+                tick()
+            if start > at:
+                self.handle_data(html_lib.unescape(page[at:start]))
+            at = end
+            if closes and name:
+                self.handle_endtag(name)
+            elif name:
+                self.handle_starttag(name, [(x.lower(), html_lib.unescape(a or b or c)) for x, a, b, c in _VALUES.findall(rest)])
+                if rest[-1:] == "/" and (len(rest) == 1 or rest[-2] in " \t\r\n\"'"):
+                    self.handle_endtag(name)
+        if page[at:]:
+            self.handle_data(html_lib.unescape(page[at:]))
+
     def flush(self) -> None:
         said = "".join(self.line)
-        said = said.strip("\n") if self.pre else re.sub(r" *\n *", "\n", re.sub(r"[ \t\r\f\v]+", " ", said)).strip()
+        said = said.strip("\n") if self.pre else re.sub(r" *\0 *", "  \n", re.sub(r" *\n *", "\n", re.sub(r"[ \t\r\f\v]+", " ", said))).strip()
         self.line = []
         if said and not re.fullmatch(r"[*\s]*", said):
             self.out.append(said)
@@ -202,7 +219,7 @@ class _Markdown(HTMLParser):
                 self.handle_endtag("li")
             self._open("li")
         elif tag == "br":
-            self.line.append("  \n" if not self.pre else "\n")
+            self.line.append("\n" if self.pre else "\0")
         elif tag == "hr":
             self.flush()
             self.out.append("* * *")
@@ -234,10 +251,13 @@ class _Markdown(HTMLParser):
         elif tag == "blockquote" and (inner := self._close(tag)):
             self.out.append("\n".join(f"> {x}" if x else ">" for x in "\n\n".join(inner).split("\n")))
         elif tag == "li" and (inner := self._close(tag)) is not None:
-            if inner and self.lists:
+            if self.lists:
                 kind, n = self.lists[-1]
                 mark = "*   " if kind == "ul" else f"{n}. ".ljust(4)
                 self.lists[-1][1] += 1
+                if not inner:
+                    self.out.append(mark.rstrip())
+                    return
                 self.out.append(mark + re.sub(r"\n(?=[^\n])", "\n    ", "\n".join(inner) if len(inner) < 2 or inner[1][:1] in "*123456789" else "\n\n".join(inner)))
         elif tag in ("ul", "ol"):
             if self.frames and any(f[0] == "li" for f in self.frames) and self.frames[-1][0] == "li" and self.frames[-2:-1] and self.frames[-2][0] == tag:
@@ -271,13 +291,17 @@ class _Markdown(HTMLParser):
             self.line.append(f"]({href})" if href else "")
 
     def handle_data(self, data):
+        data = data.replace("\0", "\ufffd")
         self.line.append(data if self.pre else re.sub(r"\s+", " ", re.sub(r"[\\`*_\[\]]", r"\\\g<0>", data)))
 
 
-def html_to_markdown(page: str) -> str:
+def html_to_markdown(page: str, tick=None) -> str:
+    """``tick`` is called now and then, and may raise."""
     parser = _Markdown()
-    parser.feed(page)
-    parser.close()
+    parser.feed(page, tick)
+    for kind, _ in reversed(list(parser.frames)):
+        if kind in ("li", "ul", "ol") and parser.frames and parser.frames[-1][0] == kind:
+            parser.handle_endtag(kind)
     parser.flush()
     while parser.frames:
         parser.out = parser.frames.pop()[1] + parser.out
@@ -292,7 +316,7 @@ def parse_html(data: bytes, hints: Hints, cx) -> Document:
             doc.metadata.author = content
         elif name in ("description", "keywords"):
             doc.metadata.put(name, content)
-    body = html_to_markdown(strip_non_prose(page)).strip()
+    body = html_to_markdown(strip_non_prose(page), cx.budget.check_time).strip()
     if body:
         doc.blocks.append(raw(body))
     else:
