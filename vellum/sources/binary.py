@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import struct
+import unicodedata
 import zlib
 
 from ..functions.text import heading_level, page_list, rejoin
@@ -19,7 +20,7 @@ class _Pdf:
     def __init__(self, data: bytes, cx):
         self.objects = {int(m[1]): m[3] for m in _OBJECT.finditer(data)}
         self.trailer = data[data.rfind(b"trailer") :] if b"trailer" in data else data
-        self.cx = cx
+        self.cx, self.known = cx, {}
         for body in list(self.objects.values()):
             if re.search(rb"/Type\s*/ObjStm", body):
                 self._unpack(body)
@@ -53,8 +54,42 @@ class _Pdf:
         m = re.search(rb"/" + key + rb"\s*(\[[^\]]*\]|\d+\s+\d+\s+R)", body)
         return [int(x) for x in re.findall(rb"(\d+)\s+\d+\s+R", m[1])] if m else []
 
-    def pages(self) -> list[bytes]:
-        """Contents of the pages in their order."""
+    def value(self, body: bytes, key: bytes) -> bytes:
+        """What ``key`` names in a dictionary: a referenced object, an inner dictionary or array, or a name or number."""
+        m = re.search(rb"/" + key + rb"(?![A-Za-z0-9])\s*(?:(\d+)\s+\d+\s+R|(<<|\[)|(/?[^\s/<>\[\]()]+))", body)
+        if not m:
+            return b""
+        if m[1]:
+            return self.objects.get(int(m[1]), b"")
+        if m[3]:
+            return m[3]
+        depth, at = 0, m.start(2)
+        for x in re.finditer(rb"<<|>>|\[|\]|\((?:\\.|[^\\)])*\)", body[at:], re.S):
+            depth += (x[0] in (b"<<", b"[")) - (x[0] in (b">>", b"]"))
+            if not depth:
+                return body[at : at + x.end()]
+        return body[at:]
+
+    def fonts(self, page: int) -> dict[bytes, "_Font"]:
+        """The fonts that a page names, its own or those of the pages above it."""
+        seen: set[int] = set()
+        while page in self.objects and page not in seen:
+            seen.add(page)
+            named = self.value(self.value(self.objects[page], b"Resources"), b"Font")
+            if named:
+                return {m[1]: self._font(int(m[2])) for m in re.finditer(rb"(/[^\s/<>\[\]()]+)\s+(\d+)\s+\d+\s+R", named)}
+            page = next(iter(self.refs(self.objects[page], b"Parent")), -1)
+        return {}
+
+    def _font(self, number: int) -> "_Font":
+        if number not in self.known:
+            body = self.objects.get(number, b"")
+            unicode_map = self.refs(body, b"ToUnicode")
+            self.known[number] = _Font(self.stream(self.objects.get(unicode_map[0], b"")) if unicode_map else b"", self.value(body, b"Encoding"), b"/Type0" in body)
+        return self.known[number]
+
+    def pages(self) -> list[tuple[bytes, dict[bytes, "_Font"]]]:
+        """Contents and fonts of the pages in their order."""
         root = self.refs(self.trailer, b"Root") or [k for k, b in self.objects.items() if re.search(rb"/Type\s*/Catalog", b)]
         order, todo, seen = [], [], set()
         if root and root[0] in self.objects:
@@ -77,7 +112,7 @@ class _Pdf:
                 body = self.objects.get(c, b"")
                 inner = self.refs(b"/X " + body.strip(), b"X") if body.strip().startswith(b"[") else []
                 parts += [self.stream(self.objects.get(i, b"")) for i in inner] or [self.stream(body)]
-            out.append(b"\n".join(parts))
+            out.append((b"\n".join(parts), self.fonts(k)))
         return out
 
     def info(self) -> dict[str, str]:
@@ -91,27 +126,93 @@ class _Pdf:
 _ESCAPES = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f"}
 
 
-def pdf_string(literal: bytes) -> str:
+def pdf_bytes(literal: bytes) -> bytes:
     if literal[:1] == b"<":
-        digits = re.sub(rb"\s", b"", literal[1:-1])
-        raw = bytes.fromhex((digits + b"0" * (len(digits) % 2)).decode())
-    else:
-        raw = re.sub(rb"\\([0-7]{1,3}|\r?\n|.)", lambda m: bytes([int(m[1], 8) & 255]) if m[1][:1].isdigit() else b"" if m[1].strip() == b"" else _ESCAPES.get(m[1], m[1]), literal[1:-1], flags=re.S)
+        digits = re.sub(rb"[^0-9A-Fa-f]", b"", literal[1:-1])
+        return bytes.fromhex((digits + b"0" * (len(digits) % 2)).decode())
+    return re.sub(rb"\\([0-7]{1,3}|\r?\n|.)", lambda m: bytes([int(m[1], 8) & 255]) if m[1][:1].isdigit() else b"" if m[1].strip() == b"" else _ESCAPES.get(m[1], m[1]), literal[1:-1], flags=re.S)
+
+
+def pdf_string(literal: bytes) -> str:
+    raw = pdf_bytes(literal)
     return raw[2:].decode("utf-16-be", "replace") if raw.startswith(b"\xfe\xff") else raw.decode("cp1252", "replace")
 
 
+#: Names of glyphs that are no letters, and of the accents that stand behind a letter's.
+GLYPHS = {
+    "space": " ", "exclam": "!", "quotedbl": '"', "numbersign": "#", "dollar": "$", "percent": "%", "ampersand": "&", "quotesingle": "'",
+    "parenleft": "(", "parenright": ")", "asterisk": "*", "plus": "+", "comma": ",", "hyphen": "-", "minus": "-", "period": ".", "slash": "/",
+    "zero": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9",
+    "colon": ":", "semicolon": ";", "less": "<", "equal": "=", "greater": ">", "question": "?", "at": "@", "bracketleft": "[",
+    "backslash": "\\", "bracketright": "]", "underscore": "_", "braceleft": "{", "bar": "|", "braceright": "}",
+    "quoteleft": "\u2018", "quoteright": "\u2019", "quotedblleft": "\u201c", "quotedblright": "\u201d", "endash": "\u2013", "emdash": "\u2014",
+    "bullet": "\u2022", "ellipsis": "\u2026", "Euro": "\u20ac", "sterling": "\xa3", "section": "\xa7", "copyright": "\xa9", "degree": "\xb0",
+    "fi": "fi", "fl": "fl", "ff": "ff", "ffi": "ffi", "ffl": "ffl", "germandbls": "\xdf", "ae": "\xe6", "AE": "\xc6", "oe": "\u0153", "OE": "\u0152",
+    "oslash": "\xf8", "Oslash": "\xd8", "dotlessi": "\u0131", "lslash": "\u0142", "Lslash": "\u0141",
+}
+ACCENTS = {"grave": "\u0300", "acute": "\u0301", "circumflex": "\u0302", "tilde": "\u0303", "macron": "\u0304", "breve": "\u0306", "dotaccent": "\u0307", "dieresis": "\u0308", "ring": "\u030a", "hungarumlaut": "\u030b", "caron": "\u030c", "cedilla": "\u0327", "ogonek": "\u0328"}
+
+
+def glyph(name: str) -> str:
+    """The text of a glyph, by its name: a letter, perhaps with an accent, a listed one, or one by its code point."""
+    name = name.split(".")[0]
+    if name in GLYPHS or len(name) == 1:
+        return GLYPHS.get(name, name)
+    m = re.fullmatch(r"uni([0-9A-F]{4})|u([0-9A-F]{4,6})", name)
+    if m:
+        return chr(int(m[1] or m[2], 16)) if int(m[1] or m[2], 16) < 0x110000 else ""
+    return unicodedata.normalize("NFC", name[0] + ACCENTS[name[1:]]) if name[1:] in ACCENTS else ""
+
+
+class _Font:
+    """How a font's strings read: by its map to Unicode, else by the differences from the usual encoding."""
+
+    def __init__(self, unicode_map: bytes, encoding: bytes, composite: bool):
+        self.size, self.map = 2 if composite else 1, {}
+        read = lambda h: bytes.fromhex(re.sub(rb"\s", b"", h).decode()).decode("utf-16-be", "replace")
+        for block in re.finditer(rb"beginbfchar(.*?)endbfchar", unicode_map, re.S):
+            for a, b in re.findall(rb"<([0-9A-Fa-f]+)>\s*<([0-9A-Fa-f\s]+)>", block[1]):
+                self.size = max(1, len(a) // 2)
+                self.map[int(a, 16)] = read(b)
+        for block in re.finditer(rb"beginbfrange(.*?)endbfrange", unicode_map, re.S):
+            for a, b, one, many in re.findall(rb"<([0-9A-Fa-f]+)>\s*<([0-9A-Fa-f]+)>\s*(?:<([0-9A-Fa-f\s]+)>|\[(.*?)\])", block[1], re.S):
+                self.size = max(1, len(a) // 2)
+                low, high = int(a, 16), min(int(b, 16), int(a, 16) + 0xFFFF)
+                each = [read(x) for x in re.findall(rb"<([0-9A-Fa-f\s]+)>", many)] if many else []
+                start = read(one) if one else ""
+                for k in range(low, high + 1):
+                    said = each[k - low] if k - low < len(each) else start[:-1] + chr(min(ord(start[-1]) + k - low, 0x10FFFF)) if start else ""
+                    if said:
+                        self.map[k] = said
+        if not self.map and not composite:
+            code = 0
+            for x in re.findall(rb"/?[^\s/\[\]<>()]+", encoding[encoding.find(b"/Differences") + 12 :] if b"/Differences" in encoding else b""):
+                if x[:1] == b"/":
+                    if said := glyph(x[1:].decode("latin-1")):
+                        self.map[code] = said
+                    code += 1
+                elif x.isdigit():
+                    code = int(x)
+        self.plain = not self.map and not composite
+
+    def text(self, raw: bytes) -> str:
+        if self.size == 1:
+            return "".join(self.map.get(b) or bytes([b]).decode("cp1252", "replace") for b in raw)
+        return "".join(self.map.get(int.from_bytes(raw[i : i + self.size], "big"), "") for i in range(0, len(raw), self.size))
+
+
 _OPERAND = re.compile(rb"(\((?:\\.|[^\\()]|\((?:\\.|[^\\()])*\))*\)|<[0-9A-Fa-f\s]*>|\[|\]|[-+]?[0-9]*\.?[0-9]+|/[^\s/<>\[\]()]+|[A-Za-z'\"*]+[0-9]?\*?)", re.S)
 
 
-def page_lines(content: bytes) -> list[str]:
+def page_lines(content: bytes, fonts: dict[bytes, _Font] | None = None) -> list[str]:
     """Text of a page's content stream, line by line, in the stream's order."""
-    lines, line, operands, inside = [], "", [], False
+    lines, line, operands, inside, font = [], "", [], False, None
 
     def shown(items) -> str:
         out = ""
         for x in items:
             if x[:1] in (b"(", b"<"):
-                out += pdf_string(x)
+                out += pdf_string(x) if font is None or font.plain else font.text(pdf_bytes(x))
             elif re.fullmatch(rb"[-+]?[0-9.]+", x) and float(x) < -200:
                 out += " "
         return out
@@ -124,6 +225,8 @@ def page_lines(content: bytes) -> list[str]:
             inside = False
             lines.append(line)
             line = ""
+        elif x == b"Tf":
+            font = (fonts or {}).get(next((o for o in operands if o[:1] == b"/"), b""))
         elif inside and x in (b"Tj", b"TJ"):
             line += shown(operands)
         elif inside and x in (b"'", b'"'):
@@ -182,9 +285,9 @@ def parse_pdf(data: bytes, hints: Hints, cx) -> Document:
     info, doc, scanned = pdf.info(), Document(), []
     doc.titled(info.get("Title")).metadata.author = info.get("Author")
     doc.metadata.created, doc.metadata.modified = info.get("CreationDate"), info.get("ModDate")
-    for i, page in enumerate(pages, 1):
+    for i, (page, fonts) in enumerate(pages, 1):
         cx.budget.check_time()
-        lines = _without_gaps(page_lines(page))
+        lines = _without_gaps(page_lines(page, fonts))
         if any(x.strip() for x in lines):
             doc.blocks += page_blocks(lines)
         else:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import datetime
 import io
 import posixpath
 import re
@@ -12,7 +11,9 @@ from dataclasses import replace
 
 from ..functions.text import safe_name, squeeze
 from ..plans.model import ConvertError, Document, Hints, heading, link, malformed, paragraph, plain, strong, emphasis, table, text
+from .binary import compound_streams
 from .markup import Node, closed_elements
+from .workbooks import ERROR_NAMES, Grid, format_kind, number_text, xls_sheets, xlsb_sheets
 
 
 def opened(data: bytes, form: str) -> zipfile.ZipFile:
@@ -23,7 +24,13 @@ def opened(data: bytes, form: str) -> zipfile.ZipFile:
 
 
 def part(archive: zipfile.ZipFile, name: str, cx, form: str) -> str | None:
-    """A member as text; what it expands to is charged, whatever size it declares."""
+    """A member as text."""
+    raw = raw_part(archive, name, cx, form)
+    return None if raw is None else raw.decode("utf-8", "replace")
+
+
+def raw_part(archive: zipfile.ZipFile, name: str, cx, form: str) -> bytes | None:
+    """A member; what it expands to is charged, whatever size it declares."""
     try:
         info = archive.getinfo(name)
     except KeyError:
@@ -36,7 +43,7 @@ def part(archive: zipfile.ZipFile, name: str, cx, form: str) -> str | None:
     except (RuntimeError, NotImplementedError, zipfile.BadZipFile, OSError, EOFError) as e:
         raise malformed(form, f"{name}: {e}") from e
     cx.budget.expand(len(raw))
-    return raw.decode("utf-8", "replace")
+    return raw
 
 
 def core_properties(xml: str | None, doc: Document) -> None:
@@ -230,19 +237,6 @@ def parse_pptx(data: bytes, hints: Hints, cx) -> Document:
     return doc
 
 
-def serial_date(value: float) -> str:
-    """An Excel serial number as a date, with its time unless that is midnight."""
-    at = datetime.datetime(1899, 12, 30) + datetime.timedelta(seconds=round(value * 86400))
-    return at.strftime("%Y-%m-%d") if at.time() == datetime.time() else at.strftime("%Y-%m-%dT%H:%M:%S")
-
-
-def number_text(value: float) -> str:
-    return str(int(value)) if value == int(value) and abs(value) < 1e15 else repr(value)
-
-
-_DATE_FORMATS = {*range(14, 23), *range(45, 48)}
-
-
 def _xlsx_sheets(archive, cx):
     get = lambda name: part(archive, name, cx, "spreadsheet")
     book = get("xl/workbook.xml")
@@ -250,23 +244,26 @@ def _xlsx_sheets(archive, cx):
         raise malformed("spreadsheet", "no xl/workbook.xml")
     rels = relationships(get("xl/_rels/workbook.xml.rels"))
     shared = ["".join(x) for x in _shared(get("xl/sharedStrings.xml"))]
-    dates, custom, in_cells = [], set(), False
+    styles, custom, in_cells = [], {}, False
     for m in re.finditer(r"<(?:\w+:)?(numFmt|cellXfs|xf)\b([^>]*)>|</(?:\w+:)?cellXfs>", get("xl/styles.xml") or ""):
         value = lambda k: (re.search(rf'\b{k}="([^"]*)"', m[2] or "") or [None, ""])[1]  # noqa: B023, E731
         if m[1] == "numFmt":
-            bare = re.sub(r'\[[^\]]*\]|"[^"]*"|&quot;.*?&quot;|\\.', "", value("formatCode")).lower()
-            if re.search(r"[ymdhs]", bare) and "general" not in bare:
-                custom.add(int(value("numFmtId") or 0))
+            custom[int(value("numFmtId") or 0)] = value("formatCode")
         elif m[1] == "xf" and in_cells:
             k = int(value("numFmtId") or 0)
-            dates.append(k in custom or k in _DATE_FORMATS)
+            styles.append(format_kind(k, custom.get(k)))
         else:
             in_cells = m[1] == "cellXfs"
-    for node in closed_elements(book):
+    elements = list(closed_elements(book))
+    since_1904 = any(n.name == "workbookpr" and n.attributes.get("date1904") in ("1", "true") for n in elements)
+    for node in elements:
         if node.name == "sheet":
-            target = rels.get(node.attributes.get("id", ""), "")
-            path = target.lstrip("/") if target.startswith("/") else posixpath.normpath(f"xl/{target}")
-            yield node.attributes.get("name", ""), _xlsx_rows(get(path) or "", shared, dates)
+            path = _target(rels.get(node.attributes.get("id", ""), ""))
+            yield node.attributes.get("name", ""), _xlsx_grid(get(path) or "", shared, styles, since_1904, cx.limits.max_table_rows + 1)
+
+
+def _target(target: str) -> str:
+    return target.lstrip("/") if target.startswith("/") else posixpath.normpath(f"xl/{target}")
 
 
 def _shared(xml: str | None):
@@ -279,8 +276,8 @@ def _shared(xml: str | None):
             texts = []
 
 
-def _xlsx_rows(xml: str, shared: list[str], dates: list[bool]):
-    row: dict[int, str] = {}
+def _xlsx_grid(xml: str, shared: list[str], styles: list[str], since_1904: bool, most: int) -> Grid:
+    grid, row, col = Grid(most), 0, -1
     value, inline = "", ""
     for n in closed_elements(xml):
         if n.name == "v":
@@ -288,37 +285,47 @@ def _xlsx_rows(xml: str, shared: list[str], dates: list[bool]):
         elif n.name == "t" and n.under("is"):
             inline += n.own
         elif n.name == "c":
-            kind, at = n.attributes.get("t", "n"), n.attributes.get("r", "")
-            letters = re.match(r"[A-Z]*", at)[0]
-            col = 0
-            for c in letters:
-                col = 26 * col + ord(c) - 64
-            col = col - 1 if letters else max(row, default=-1) + 1
-            if kind == "s" and value.strip().isdigit() and int(value) < len(shared):
-                said = shared[int(value)]
+            kind, at = n.attributes.get("t", "n"), re.match(r"([A-Z]*)(\d*)", n.attributes.get("r", ""))
+            if at[1]:
+                col = 0
+                for c in at[1]:
+                    col = 26 * col + ord(c) - 64
+                col -= 1
+            else:
+                col += 1
+            row = int(at[2]) - 1 if at[2] else row
+            said = value
+            if kind == "s":
+                said = shared[int(value)] if value.strip().isdigit() and int(value) < len(shared) else value
             elif kind == "inlineStr":
                 said = inline
             elif kind == "b":
                 said = "true" if value.strip() == "1" else "false"
+            elif kind == "e":
+                said = ERROR_NAMES.get(value.strip(), value)
             elif kind == "n" and value.strip():
                 style = n.attributes.get("s", "")
                 try:
-                    number = float(value)
-                    said = serial_date(number) if style.isdigit() and int(style) < len(dates) and dates[int(style)] else number_text(number)
+                    said = number_text(float(value), styles[int(style)] if style.isdigit() and int(style) < len(styles) else "", since_1904)
                 except (ValueError, OverflowError):
-                    said = value
-            else:
-                said = value
-            row[col] = said
+                    pass
+            grid.put(row, col, said)
             value = inline = ""
         elif n.name == "row":
-            yield [row.get(i, "") for i in range(max(row, default=-1) + 1)]
-            row = {}
+            row = (int(n.attributes["r"]) if n.attributes.get("r", "").isdigit() else row + 1)
+            col = -1
+    return grid
+
+
+def _times(attributes: dict[str, str], name: str) -> int:
+    said = attributes.get(name, "")
+    return int(said) if said.isdigit() else 1
 
 
 def _ods_sheets(archive, cx):
     xml = part(archive, "content.xml", cx, "spreadsheet") or ""
-    rows, row, cell, sheets = [], [], [], []
+    most = cx.limits.max_table_rows + 1
+    grid, row, at, column, cell = Grid(most), [], 0, 0, []
     for n in closed_elements(xml):
         a = n.attributes
         if n.name == "p" and n.under("table-cell"):
@@ -326,47 +333,57 @@ def _ods_sheets(archive, cx):
         elif n.name in ("table-cell", "covered-table-cell"):
             kind = a.get("value-type")
             said = number_text(float(a["value"])) if kind in ("float", "currency", "percentage") and "value" in a else a.get("date-value") if kind == "date" else a.get("boolean-value") if kind == "boolean" else None
-            times = int(a.get("number-columns-repeated", 1))
             said = said or "\n".join(cell)
-            row += [said] * (times if said else min(times, 64))
+            times = _times(a, "number-columns-repeated")
+            if said:
+                row += [(column + k, said) for k in range(min(times, 1 << 14))]
+            column += times
             cell = []
         elif n.name == "table-row":
-            while row and not row[-1]:
-                row.pop()
-            rows += [row] * min(int(a.get("number-rows-repeated", 1)), 1 if not row else 10_000)
-            row = []
+            times = _times(a, "number-rows-repeated")
+            if row:
+                for k in [*range(min(times, most)), times - 1]:  # rows that are only counted need no cells but the last's
+                    for c, said in row:
+                        grid.put(at + k, c, said)
+            at, row, column = at + times, [], 0
         elif n.name == "table":
-            sheets.append((a.get("name", ""), rows))
-            rows = []
-    return sheets
+            yield a.get("name", ""), grid
+            grid, at = Grid(most), 0
 
 
-def parse_spreadsheet(data: bytes, hints: Hints, cx) -> Document:
+def _workbook_sheets(data: bytes, cx):
+    """Name and cells of each sheet, of whichever kind of workbook."""
+    most, tick = cx.limits.max_table_rows + 1, cx.budget.check_time
     if not data.startswith(b"PK"):
-        raise malformed("spreadsheet", "binary workbooks (xls) are not read")
+        streams = dict(compound_streams(data))
+        if "EncryptedPackage" in streams:
+            raise ConvertError("encrypted", "spreadsheet is encrypted")
+        if "Workbook" not in streams:
+            raise malformed("spreadsheet", "no workbook in the compound file")
+        return xls_sheets(streams["Workbook"], most, tick)
     archive = opened(data, "spreadsheet")
     names = archive.namelist()
     if "xl/workbook.bin" in names:
-        raise malformed("spreadsheet", "binary workbooks (xlsb) are not read")
+        rels = relationships(part(archive, "xl/_rels/workbook.bin.rels", cx, "spreadsheet"))
+        return xlsb_sheets(lambda name: raw_part(archive, name, cx, "spreadsheet"), rels, _target, most, tick)
+    return _ods_sheets(archive, cx) if "content.xml" in names else _xlsx_sheets(archive, cx)
+
+
+def parse_spreadsheet(data: bytes, hints: Hints, cx) -> Document:
     doc = Document().titled(hints.filename)
-    for name, rows in _ods_sheets(archive, cx) if "content.xml" in names else _xlsx_sheets(archive, cx):
+    for name, grid in _workbook_sheets(data, cx):
         cx.budget.check_time()
+        cx.budget.expand(grid.height * grid.width)
         doc.blocks.append(heading(2, text(name)))
-        kept, total = [], 0
-        for row in rows:
-            total += 1
-            if len(kept) <= cx.limits.max_table_rows:
-                kept.append(row)
-                cx.budget.expand(len(row))
+        kept = list(grid.rows())
         while kept and not any(c.strip() for c in kept[-1]):
             kept.pop()
-            total -= 1
         if not kept:
             doc.blocks.append(paragraph(text("(empty sheet)")))
             continue
+        if grid.height > cx.limits.max_table_rows:
+            doc.warn("truncated", f"sheet {name}: {grid.height} rows, capped at {cx.limits.max_table_rows}")
         head = len(kept) > 1 and any(c.strip() for c in kept[0])
-        if total > len(kept):
-            doc.warn("truncated", f"sheet {name}: {len(kept)} of {total} rows read (max_table_rows)")
         doc.blocks.append(table(kept[1:] if head else kept, kept[0] if head else None))
     return doc
 

@@ -18,13 +18,13 @@ def zipped(parts: dict[str, str | bytes]) -> bytes:
 W = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
 
 
-def docx(body: str, core: str | None = None, links: dict[str, str] | None = None) -> bytes:
+def docx(body: str, core: str | None = None, links: dict[str, str] | None = None, more: dict[str, str] | None = None) -> bytes:
     parts = {"[Content_Types].xml": "<Types/>", "word/document.xml": f'<?xml version="1.0"?><w:document {W}><w:body>{body}</w:body></w:document>'}
     if core:
         parts["docProps/core.xml"] = f'<cp:coreProperties xmlns:cp="http://x" xmlns:dc="http://d" xmlns:dcterms="http://t">{core}</cp:coreProperties>'
     if links:
         parts["word/_rels/document.xml.rels"] = "<Relationships>" + "".join(f'<Relationship Id="{k}" Target="{v}"/>' for k, v in links.items()) + "</Relationships>"
-    return zipped(parts)
+    return zipped(parts | (more or {}))
 
 
 def run(text: str, *marks: str) -> str:
@@ -73,6 +73,89 @@ def xlsx(sheets: dict[str, str], shared: list[str] = (), date_style: bool = True
     return zipped(parts | {f"xl/worksheets/s{i}.xml": f"<worksheet><sheetData>{sheets[n]}</sheetData></worksheet>" for i, n in enumerate(names)})
 
 
+Cell = str | float | bool
+
+
+def _record(kind: int, body: bytes) -> bytes:
+    return struct.pack("<HH", kind, len(body)) + body
+
+
+def xls(sheets: dict[str, list[list[Cell]]], date_columns: tuple[int, ...] = ()) -> bytes:
+    """An old workbook: strings shared, whole numbers short, others long; errors begin with #, formulas with =."""
+    strings: list[str] = []
+    text = lambda s: struct.pack("<HB", len(s), 1) + s.encode("utf-16-le")
+    bodies = []
+    for rows in sheets.values():
+        out = _record(0x809, bytes(16))
+        for r, row in enumerate(rows):
+            for c, v in enumerate(row):
+                place = struct.pack("<HHH", r, c, int(c in date_columns and r > 0))
+                if isinstance(v, bool):
+                    out += _record(0x205, place + bytes([v, 0]))
+                elif isinstance(v, int):
+                    out += _record(0x27E, place + struct.pack("<i", v << 2 | 2))
+                elif isinstance(v, float):
+                    out += _record(0x203, place + struct.pack("<d", v))
+                elif v.startswith("#"):
+                    out += _record(0x205, place + bytes([0x2A, 1]))
+                elif v.startswith("="):
+                    out += _record(0x06, place + b"\0\0\0\0\0\0\xff\xff" + bytes(8)) + _record(0x207, text(v[1:]))
+                elif v:
+                    strings.append(v)
+                    out += _record(0xFD, place + struct.pack("<I", len(strings) - 1))
+        bodies.append(out + _record(0x0A, b""))
+    shared = b"".join(text(s) for s in strings)
+    middle = _record(0xE0, bytes(20)) + _record(0xE0, struct.pack("<HH", 0, 14) + bytes(16))
+    middle += _record(0xFC, struct.pack("<II", len(strings), len(strings)) + shared) + _record(0x0A, b"")
+    names = [struct.pack("<BB", 0, 0) + struct.pack("<BB", len(n), 1) + n.encode("utf-16-le") for n in sheets]
+    at = len(_record(0x809, bytes(16))) + sum(8 + len(n) for n in names) + len(middle)
+    head = _record(0x809, bytes(16))
+    for n, b in zip(names, bodies):
+        head += _record(0x85, struct.pack("<I", at) + n)
+        at += len(b)
+    return compound({"Workbook": head + middle + b"".join(bodies)})
+
+
+def xlsb(sheets: dict[str, list[list[Cell]]], date_columns: tuple[int, ...] = ()) -> bytes:
+    def record(kind: int, body: bytes = b"") -> bytes:
+        head = bytes([kind]) if kind < 128 else bytes([kind & 127 | 128, kind >> 7])
+        n = len(body)
+        return head + (bytes([n]) if n < 128 else bytes([n & 127 | 128, n >> 7])) + body
+
+    wide = lambda s: struct.pack("<I", len(s)) + s.encode("utf-16-le")
+    strings: list[str] = []
+    parts = {}
+    for k, rows in enumerate(sheets.values()):
+        out = b""
+        for r, row in enumerate(rows):
+            out += record(0, struct.pack("<I", r) + bytes(13))
+            for c, v in enumerate(row):
+                place = struct.pack("<II", c, int(c in date_columns and r > 0))
+                if isinstance(v, bool):
+                    out += record(4, place + bytes([v]))
+                elif isinstance(v, int):
+                    out += record(2, place + struct.pack("<i", v << 2 | 2))
+                elif isinstance(v, float):
+                    out += record(5, place + struct.pack("<d", v))
+                elif v.startswith("#"):
+                    out += record(3, place + b"\x2a")
+                elif v.startswith("="):
+                    out += record(8, place + wide(v[1:]))
+                elif v:
+                    strings.append(v)
+                    out += record(7, place + struct.pack("<I", len(strings) - 1))
+        parts[f"xl/worksheets/s{k}.bin"] = out
+    book = b"".join(record(156, struct.pack("<II", 0, k + 1) + wide(f"r{k}") + wide(n)) for k, n in enumerate(sheets))
+    xf = lambda number: record(47, struct.pack("<HH", 0, number) + bytes(12))
+    return zipped({
+        "xl/workbook.bin": book,
+        "xl/_rels/workbook.bin.rels": "<Relationships>" + "".join(f'<Relationship Id="r{k}" Target="worksheets/s{k}.bin"/>' for k in range(len(sheets))) + "</Relationships>",
+        "xl/sharedStrings.bin": b"".join(record(19, b"\0" + wide(s)) for s in strings),
+        "xl/styles.bin": record(617) + xf(0) + xf(14) + record(618),
+        **parts,
+    })
+
+
 def pdf(*pages: list[str]) -> bytes:
     objects = ["<< /Type /Catalog /Pages 2 0 R >>", f"<< /Type /Pages /Kids [{' '.join(f'{3 + 2 * i} 0 R' for i in range(len(pages)))}] /Count {len(pages)} >>"]
     for i, lines in enumerate(pages):
@@ -82,6 +165,27 @@ def pdf(*pages: list[str]) -> bytes:
     return f"%PDF-1.4\n{body}trailer\n<< /Size {len(objects) + 1} /Root 1 0 R >>\n%%EOF\n".encode()
 
 
+def pdf_with_fonts(mapped: str, differing: str) -> bytes:
+    """One page: a line in a font whose two-byte codes only its map tells, and one whose encoding names its glyphs."""
+    codes = {c: k for k, c in enumerate(dict.fromkeys(mapped), 1)}
+    units = lambda c: c.encode("utf-16-be").hex().upper()
+    cmap = "begincmap\n" + f"{len(codes)} beginbfchar\n" + "\n".join(f"<{k:04X}> <{units(c)}>" for c, k in codes.items()) + "\nendbfchar\nendcmap"
+    own = {c: k for k, c in enumerate(dict.fromkeys(differing), 128)}
+    names = " ".join(f"/uni{ord(c):04X}" for c in own)
+    content = f"BT /F1 12 Tf 72 720 Td <{''.join(f'{codes[c]:04X}' for c in mapped)}> Tj 0 -18 Td /F2 12 Tf <{''.join(f'{own[c]:02X}' for c in differing)}> Tj ET"
+    objects = [
+        "<< /Type /Catalog /Pages 2 0 R >>",
+        "<< /Type /Pages /Kids [3 0 R] /Count 1 /Resources << /Font << /F1 5 0 R /F2 7 0 R >> >> >>",
+        "<< /Type /Page /Parent 2 0 R /Contents 4 0 R >>",
+        f"<< /Length {len(content)} >>\nstream\n{content}\nendstream",
+        "<< /Type /Font /Subtype /Type0 /Encoding /Identity-H /ToUnicode 6 0 R >>",
+        f"<< /Length {len(cmap)} >>\nstream\n{cmap}\nendstream",
+        f"<< /Type /Font /Subtype /Type1 /Encoding << /Type /Encoding /Differences [ 128 {names} ] >> >>",
+    ]
+    body = "".join(f"{i} 0 obj\n{o}\nendobj\n" for i, o in enumerate(objects, 1))
+    return f"%PDF-1.4\n{body}trailer\n<< /Size {len(objects) + 1} /Root 1 0 R >>\n%%EOF\n".encode()
+
+
 PNG = b"\x89PNG\r\n\x1a\n\0\0\0\rIHDR\0\0\0\1\0\0\0\1\x08\6\0\0\0\x1f\x15\xc4\x89\0\0\0\0IEND\xaeB`\x82"
 
 
