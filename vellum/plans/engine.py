@@ -3,6 +3,10 @@
 A DataFrame has ``content`` (binary or string) and any of the hint columns
 mimetype, extension, charset, filename, url; all its columns are carried
 along. A failure is a row's ``error``, never the job's.
+
+The steps are also to be had one by one: ``detect`` names the formats of each
+row, ``to_ir`` parses it into a document, ``blocks`` gives a document's blocks
+as rows, ``render`` makes Markdown of documents, changed or not.
 """
 
 from __future__ import annotations
@@ -14,16 +18,23 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 from ..operators.detect import Detection, detect
 from ..operators.registry import Converter, Registry
 from ..operators.render import Renderer
 from ..operators.template import CompiledTemplates
-from .model import Budget, ConvertError, Document, Hints, Limits, Metadata, Options
+from .model import Budget, ConvertError, Document, Hints, Limits, Metadata, Options, block_count
 
 HINTS = ("mimetype", "extension", "charset", "filename", "url")
 _WARNINGS = "array<struct<kind:string,message:string>>"
 CONVERSION = f"markdown string, converter string, detected_via string, title string, warnings {_WARNINGS}, error struct<code:string,message:string>"
+ERROR = "error struct<code:string,message:string>"
+DETECTED = "guesses array<struct<mimetype:string,extension:string,charset:string>>, mismatch string, signal string"
+METADATA = "metadata struct<author:string,created:string,modified:string,language:string,extra:array<struct<key:string,value:string>>>"
+PARSED = f"document string, converter string, detected_via string, title string, {METADATA}, block_count int, warnings {_WARNINGS}, {ERROR}"
+RENDERED = f"markdown string, warnings {_WARNINGS}, {ERROR}"
 BLOCKS = "block_ord int, parent_ord int, depth int, kind string, level int, text string, block string"
 
 
@@ -65,8 +76,9 @@ class DocumentEngine:
         inner = Registry()  # members of archives are not bound to the formats of the outer engine
         return Context(self.options.limits, Budget(self.options.limits), 0, lambda data, hints, cx: inner.run(data, detect(data, hints).guesses, cx)[0])
 
-    def to_ir(self, data: bytes, hints: Hints = Hints()) -> tuple[Document, str, Detection]:
-        cx = self._context()
+    def parse(self, data: bytes, hints: Hints = Hints(), cx: Context | None = None) -> tuple[Document, str, Detection]:
+        """A document, its converter's name and how it was detected; ``cx`` takes the place of a new context."""
+        cx = cx or self._context()
         if len(data) > cx.limits.max_input_bytes:
             raise Budget.over("max_input_bytes", len(data), cx.limits.max_input_bytes)
         found = detect(data, hints)
@@ -80,22 +92,22 @@ class DocumentEngine:
         markdown = self.templates.render(doc, renderer, source, now) if self.templates else renderer.document(doc)
         return markdown, renderer.warnings
 
-    def convert_one(self, data: bytes, hints: Hints = Hints()) -> Conversion:
-        doc, name, found = self.to_ir(data, hints)
-        markdown, more = self.render_document(doc, hints)
+    def convert_one(self, data: bytes, hints: Hints = Hints(), now: str | None = None, cx: Context | None = None) -> Conversion:
+        doc, name, found = self.parse(data, hints, cx)
+        markdown, more = self.render_document(doc, hints, now)
         return Conversion(markdown, doc, name, found.signal, (*doc.warnings, *more))
 
     # many documents
 
-    def _rows(self, df: DataFrame, work, added: str) -> DataFrame:
+    def _rows(self, df: DataFrame, work, added: str, given_in: str = "content") -> DataFrame:
         """``work(data, hints)`` gives rows to stand beside each input row."""
-        kept = [c for c in df.columns if c != "content"]
+        kept = [c for c in df.columns if c != given_in]
         hints = [c for c in HINTS if c in df.columns]
         types = {f.name: f.dataType.simpleString() for f in df.schema}
         schema = ", ".join([*(f"`{c}` {types[c]}" for c in kept), added])
-        columns = [x.strip().split()[0] for x in _split(added)]
-        arrow = [_arrow_type(x.strip().split(None, 1)[1]) for x in _split(added)]
-        content = F.col("content").cast("binary").alias("content")
+        columns = [f.name for f in StructType.fromDDL(added)]
+        arrow = [to_arrow_type(f.dataType) for f in StructType.fromDDL(added)]
+        content = F.col(given_in).cast("binary").alias(given_in)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -111,24 +123,62 @@ class DocumentEngine:
 
         return df.select(*kept, content).mapInArrow(run, schema)
 
-    def convert(self, df: DataFrame) -> DataFrame:
-        """markdown, converter, detected_via, title, warnings and error beside the columns of ``df``."""
+    def convert(self, df: DataFrame, now: str | None = None) -> DataFrame:
+        """markdown, converter, detected_via, title, warnings and error beside the columns of ``df``; templates see
+        the hints as ``source`` and ``now``."""
 
         def work(data: bytes, hints: Hints):
             try:
-                c = self.convert_one(data, hints)
+                c = self.convert_one(data, hints, now)
             except ConvertError as e:
-                return [(None, None, None, None, [], {"code": e.code, "message": e.message})]
-            return [(c.markdown, c.converter, c.detected_via, c.document.title, [{"kind": k, "message": m} for k, m in c.warnings], None)]
+                return [(None, None, None, None, [], _error(e))]
+            return [(c.markdown, c.converter, c.detected_via, c.document.title, _pairs(c.warnings), None)]
 
         return self._rows(df, work, CONVERSION)
 
+    def detect(self, df: DataFrame) -> DataFrame:
+        """guesses, in the order in which they are tried, mismatch and signal beside the columns of ``df``."""
+
+        def work(data: bytes, hints: Hints):
+            found = detect(data, hints)
+            return [([{"mimetype": g.mimetype, "extension": g.extension, "charset": g.charset} for g in found.guesses], found.mismatch, found.signal)]
+
+        return self._rows(df, work, DETECTED)
+
+    def to_ir(self, df: DataFrame) -> DataFrame:
+        """document (JSON, see ``document_from_json``), converter, detected_via, title, metadata, block_count, warnings and error."""
+
+        def work(data: bytes, hints: Hints):
+            try:
+                doc, name, found = self.parse(data, hints)
+            except ConvertError as e:
+                return [(None, None, None, None, None, None, [], _error(e))]
+            m = doc.metadata
+            metadata = {"author": m.author, "created": m.created, "modified": m.modified, "language": m.language, "extra": [{"key": k, "value": v} for k, v in m.extra]}
+            return [(as_json(doc), name, found.signal, doc.title, metadata, block_count(doc.blocks), _pairs(doc.warnings), None)]
+
+        return self._rows(df, work, PARSED)
+
+    def render(self, df: DataFrame, now: str | None = None) -> DataFrame:
+        """markdown, warnings (of the rendering) and error, of the documents in ``df``'s column ``document``."""
+
+        def work(data: bytes, hints: Hints):
+            try:
+                markdown, warnings = self.render_document(document_from_json(data.decode()), hints, now)
+            except ConvertError as e:
+                return [(None, [], _error(e))]
+            except (ValueError, KeyError, TypeError, AttributeError) as e:
+                return [(None, [], {"code": "invalid_input", "message": f"no document: {e}"})]
+            return [(markdown, _pairs(warnings), None)]
+
+        return self._rows(df, work, RENDERED, "document")
+
     def blocks(self, df: DataFrame) -> DataFrame:
         """One row for each block, in document order, with the block as JSON; documents that fail have none."""
 
         def work(data: bytes, hints: Hints):
             try:
-                doc, _, _ = self.to_ir(data, hints)
+                doc, _, _ = self.parse(data, hints)
             except ConvertError:
                 return []
             return flattened(doc)
@@ -183,21 +233,12 @@ def document_from_json(said: str) -> Document:
     return doc(json.loads(said))
 
 
-def _split(schema: str) -> list[str]:
-    out, depth, part = [], 0, ""
-    for c in schema:
-        depth += (c == "<") - (c == ">")
-        if c == "," and not depth:
-            out.append(part)
-            part = ""
-        else:
-            part += c
-    return [*out, part]
+def _error(e: ConvertError) -> dict:
+    return {"code": e.code, "message": e.message}
 
 
-def _arrow_type(said: str) -> pa.DataType:
-    pair = pa.struct([("kind", pa.string()), ("message", pa.string())])
-    return {"string": pa.string(), "int": pa.int32(), _WARNINGS: pa.list_(pair), "struct<code:string,message:string>": pa.struct([("code", pa.string()), ("message", pa.string())])}[said]
+def _pairs(warnings) -> list[dict]:
+    return [{"kind": k, "message": m} for k, m in warnings]
 
 
 def available_formats() -> list[str]:
