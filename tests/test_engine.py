@@ -136,7 +136,7 @@ def test_templates():
 
 
 def test_documents_travel_as_json():
-    doc, _, _ = DocumentEngine().to_ir(S.zipped({"a.txt": "hi", "b.csv": "k\n1"}), Hints.of(filename="z.zip"))
+    doc, _, _ = DocumentEngine().parse(S.zipped({"a.txt": "hi", "b.csv": "k\n1"}), Hints.of(filename="z.zip"))
     again = document_from_json(as_json(doc))
     assert DocumentEngine().render_document(again) == DocumentEngine().render_document(doc)
     assert block_count(doc.blocks) == 4
@@ -167,5 +167,77 @@ def test_ods_and_sheet_details():
     c = convert("s.ods", ods)
     assert (c.converter, c.markdown) == ("spreadsheet", "## S\n\n| k | v |\n| --- | --- |\n| 2 | 2024-01-02 |\n")
     assert c.warnings[0][0] == "type_mismatch"
-    with pytest.raises(ConvertError, match="not read"):
+    with pytest.raises(ConvertError, match="malformed"):
         convert("old.xls", S.compound({"Workbook": b"x"}))
+    with pytest.raises(ConvertError, match="no workbook"):
+        convert("old.xls", S.compound({"Other": b"x"}))
+
+
+SHEETS = {"One": [["name", "day", "ok"], ["Ä x", 45000, True], [2.5, 45000.5, "#N/A"], ["=sum", 7, False]], "Empty": []}
+SHEETS_SAID = "## One\n\n| name | day | ok |\n| --- | --- | --- |\n| Ä x | 2023-03-15 | true |\n| 2\\.5 | 2023-03-15T12:00:00 | \\#NA |\n| sum | 1900-01-06 | false |\n\n## Empty\n\n(empty sheet)\n"
+
+
+@pytest.mark.parametrize(("name", "data"), [("a.xls", S.xls(SHEETS, (1,))), ("a.xlsb", S.xlsb(SHEETS, (1,)))])
+def test_binary_workbooks(name, data):
+    c = convert(name, data)
+    assert (c.converter, c.markdown) == ("spreadsheet", SHEETS_SAID)
+    short = convert(name, data, {"limits": {"max_table_rows": 2}})
+    assert short.warnings[0] == ("truncated", "sheet One: 4 rows, capped at 2") and "sum" not in short.markdown
+    for cut in range(0, len(data), 97):  # damaged files fail as documents, not as jobs
+        try:
+            convert(name, data[:cut])
+        except ConvertError:
+            pass
+
+
+def test_strings_that_continue_in_another_record():
+    from vellum.sources.workbooks import _Parts, format_kind, number_text, rk
+
+    assert _Parts([b"\1a\0b\0", b"\0cd"]).string(4) == "abcd"
+    assert _Parts([b"\0ab", b"\1c\0d\0"]).string(4) == "abcd"
+    assert [format_kind(*x) for x in ((14, None), (46, None), (0, None), (170, "[h]:mm"), (170, '"day" 0.0'), (170, "yyyy"))] == ["date", "duration", "", "duration", "", "date"]
+    assert (number_text(1.5, "duration"), number_text(3.0), number_text(0.1), number_text(0, "date", True)) == ("36.0000 h", "3", "0.1", "1904-01-01")
+    assert (rk(7 << 2 | 2), rk(150 << 2 | 3), rk(0x3FF00000)) == (7.0, 1.5, 1.0)
+
+
+def test_sheets_begin_where_cells_do():
+    rows = '<row r="3"><c r="C3"><v>1</v></c><c r="E3"><v>2</v></c></row><row r="5"><c r="D5" t="e"><v>#REF!</v></c></row>'
+    assert convert("w.xlsx", S.xlsx({"S": rows})).markdown == "## S\n\n| 1 |  | 2 |\n| --- | --- | --- |\n|  |  |  |\n|  | \\#Ref |  |\n"
+
+
+def test_pdf_fonts():
+    from vellum.sources.binary import _Font, glyph
+
+    assert convert("a.pdf", S.pdf_with_fonts("Größe: 10 Ω, not more", "and “that” is all.")).markdown == "Größe: 10 Ω, not more and “that” is all.\n"
+    assert [glyph(x) for x in ("eacute", "A", "uni20AC", "Ccedilla", "fi", "nope", "a.sc")] == ["é", "A", "€", "Ç", "fi", "", "a"]
+    assert _Font(b"1 beginbfrange <20> <22> <0041> <30> <31> [<0061> <00620063>] endbfrange", b"", False).text(b" !\x2201z") == "ABCabcz"
+
+
+def test_broken_markup_takes_linear_time():
+    import time
+
+    from vellum.sources.markup import closed_elements, html_to_markdown
+
+    began = time.time()
+    assert html_to_markdown('<a "' * 30000) == ""
+    assert html_to_markdown('<p class="x>text</p> more') == "text\n\nmore"
+    assert html_to_markdown("<ul><li>" * 3).split() == ["*"] * 3
+    assert html_to_markdown("<!-- a -->" * 20000 + "a<br>b") == "a  \nb"
+    assert [n.name for n in closed_elements('<a "' * 30000 + ">")] == ["a"]
+    assert [(n.name, n.text) for n in closed_elements("<!DOCTYPE a [<!ENTITY e 'x>'>]><a b='>'><c/>x<![CDATA[<y>]]></a>")] == [("c", ""), ("a", "x<y>")]
+    assert time.time() - began < 5
+
+
+def test_charsets():
+    from vellum.operators.detect import charset_of
+
+    for said, encoding, want in (("Привет, как дела сегодня", "cp1251", "windows-1251"), ("日本語のテキスト、これは", "shift_jis", "shift_jis"), ("日本語のテキスト、これは", "euc-jp", "euc-jp"), ("한국어 문장입니다 그리고", "euc-kr", "euc-kr"), ("café déjà vu naïve", "cp1252", "windows-1252"), ("größer", "utf-8", "utf-8")):
+        assert charset_of(said.encode(encoding)) == want
+
+
+def test_callers_context():
+    engine = DocumentEngine()
+    cx = engine._context()
+    cx.budget.expanded = cx.limits.max_expanded_bytes
+    with pytest.raises(ConvertError, match="max_expanded_bytes"):
+        engine.convert_one(S.docx(S.para(S.run("x"))), Hints.of(filename="a.docx"), cx=cx)

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from vellum import catalog
+from vellum import catalog, catalog_engine, catalog_formats  # noqa: F401
 from vellum.functions import columns as C
 from vellum.functions import text as T
 from vellum.plans.engine import DocumentEngine

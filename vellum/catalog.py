@@ -4,14 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import columns as C
 from .operators import frames
-from .operators.detect import TYPES
 from .plans.engine import DocumentEngine
-from .plans.model import Options
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -116,58 +114,17 @@ def escape_url(spark, sf_dir):
 
 
 EXT_SQL = r"lower(regexp_extract(regexp_extract(regexp_replace(url, '[?#].*$', ''), '://[^/]*/(?:.*/)?([^/]*)$', 1), '\.([^.]+)$', 1))"
-TYPE_SQL = "CASE ext " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in TYPES.items()) + " END"
-
-
-def _type(ext: Column) -> Column:
-    return F.create_map(*(F.lit(x) for pair in TYPES.items() for x in pair))[ext]
-
-
 @query(f"SELECT page_id, {EXT_SQL} AS extension FROM pages")
 def normalize_ext(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", C.extension(F.col("url")).alias("extension"))
 
 
-@query(f"""SELECT page_id, mime, coalesce(nullif(concat_ws('/', mime, CASE WHEN ext != '' THEN '.' || ext END), ''), 'unknown') AS label FROM (SELECT page_id, ext, {TYPE_SQL} AS mime FROM (SELECT page_id, {EXT_SQL} AS ext FROM pages))""")
-def type_label(spark, sf_dir):
-    ext = C.extension(F.col("url"))
-    said = F.concat_ws("/", "mime", F.when(F.col("ext") != "", F.concat(F.lit("."), "ext")))
-    rows = table(spark, sf_dir, "pages").select("page_id", ext.alias("ext")).withColumn("mime", _type(F.col("ext")))
-    return rows.select("page_id", "mime", F.when(said == "", "unknown").otherwise(said).alias("label"))
-
-
-@query(f"""SELECT page_id, CASE WHEN html LIKE '%PDF-%' AND starts_with(html, '%PDF-') THEN 'content' WHEN {TYPE_SQL} IS NOT NULL THEN 'extension' WHEN ext != '' THEN 'declared' ELSE 'none' END AS signal FROM (SELECT *, {EXT_SQL} AS ext FROM pages)""")
-def detect_signal(spark, sf_dir):
-    rows = table(spark, sf_dir, "pages").withColumn("ext", C.extension(F.col("url")))
-    return rows.select("page_id", F.when(F.col("html").startswith("%PDF-"), "content").when(_type(F.col("ext")).isNotNull(), "extension").when(F.col("ext") != "", "declared").otherwise("none").alias("signal"))
-
-
-@query("""WITH claims AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'text/plain' WHEN 1 THEN 'application/pdf' WHEN 2 THEN 'application/zip' ELSE 'application/octet-stream' END AS a, CASE doc_id % 3 WHEN 0 THEN 'text/html' WHEN 1 THEN 'application/epub+zip' ELSE 'application/pdf' END AS b FROM documents)
-SELECT doc_id, CASE WHEN a = b OR a = 'application/octet-stream' OR b = 'application/octet-stream' OR a IN ('application/zip', 'application/x-zip-compressed') AND (contains(b, 'officedocument') OR contains(b, 'epub')) OR starts_with(a, 'text/') AND starts_with(b, 'text/') THEN NULL ELSE 'declared ' || a || ', content looks like ' || b END AS mismatch FROM claims""")
-def detect_mismatch(spark, sf_dir):
-    k = F.col("doc_id")
-    a = F.when(k % 4 == 0, "text/plain").when(k % 4 == 1, "application/pdf").when(k % 4 == 2, "application/zip").otherwise("application/octet-stream")
-    b = F.when(k % 3 == 0, "text/html").when(k % 3 == 1, "application/epub+zip").otherwise("application/pdf")
-    rows = table(spark, sf_dir, "documents").select("doc_id", a.alias("a"), b.alias("b"))
-    a, b, octets = F.col("a"), F.col("b"), "application/octet-stream"
-    same = (a == b) | (a == octets) | (b == octets) | a.isin("application/zip", "application/x-zip-compressed") & (b.contains("officedocument") | b.contains("epub")) | a.startswith("text/") & b.startswith("text/")
-    return rows.select("doc_id", F.when(~same, F.concat(F.lit("declared "), a, F.lit(", content looks like "), b)).alias("mismatch"))
-
-
-@query(r"""SELECT page_id, NOT contains(h, chr(0)) AND (strlen(h) = 0 OR length(regexp_replace(h, '[^\x01-\x08\x0E-\x1F]', '', 'g')) * 100 < strlen(h)) AS textual FROM (SELECT page_id, CASE WHEN page_id % 5 = 0 THEN chr(1) || chr(2) || left(html, 90) ELSE left(html, 8192) END AS h FROM pages)""")
+@query(r"""SELECT page_id, NOT contains(h, chr(0)) AND (strlen(h) = 0 OR length(regexp_replace(h, '[^\x01-\x08\x0E-\x1F]', '', 'g')) * 100 < strlen(h)) AS textual FROM (SELECT page_id, CASE WHEN page_id % 5 = 0 THEN chr(1) || chr(2) || html ELSE left(html, 8192) END AS h FROM pages)""")
 def looks_textual(spark, sf_dir):
-    head = F.when(F.col("page_id") % 5 == 0, F.concat(F.lit("\x01\x02"), F.substring("html", 1, 90))).otherwise(F.substring("html", 1, 8192))
+    head = F.when(F.col("page_id") % 5 == 0, F.concat(F.lit("\x01\x02"), "html")).otherwise(F.substring("html", 1, 8192))
     return table(spark, sf_dir, "pages").select("page_id", C.looks_textual(head).alias("textual"))
 
 
-@query("SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'utf-8' WHEN 1 THEN 'utf-16le' ELSE 'utf-16be' END AS charset FROM documents")
-def sniff_charset(spark, sf_dir):
-    k, text = F.col("doc_id"), F.coalesce("text", F.lit(""))
-    data = F.when(k % 3 == 0, F.encode(text, "UTF-8")).when(k % 3 == 1, F.concat(F.unhex(F.lit("FFFE")), F.encode(text, "UTF-16LE"))).otherwise(F.concat(F.unhex(F.lit("FEFF")), F.encode(text, "UTF-16BE")))
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.hex(F.substring(data, 1, 3)).alias("h"), F.is_valid_utf8(data.cast("string")).alias("ok"))
-    return rows.select("doc_id", F.when(F.col("h").startswith("EFBBBF"), "utf-8").when(F.col("h").startswith("FFFE"), "utf-16le").when(F.col("h").startswith("FEFF"), "utf-16be").when(F.col("ok"), "utf-8").otherwise("windows-1252").alias("charset"))
-
-
 @query(r"""SELECT page_id, CASE WHEN said = '' THEN 'unnamed' ELSE said END AS name FROM (SELECT page_id, array_to_string(list_filter(list_transform(string_split(replace(n, '\', '/'), '/'), lambda p: regexp_replace(string_split(p, ':')[1], '[\x00-\x1f\x7f]', '', 'g')), lambda p: p NOT IN ('', '.', '..')), '/') AS said FROM (SELECT page_id, '..\' || replace(url, '://', '/../') || chr(7) AS n FROM pages))""")
 def sanitize_member_name(spark, sf_dir):
     name = F.concat(F.lit("..\\"), F.replace("url", F.lit("://"), F.lit("/../")), F.lit("\x07"))
@@ -208,26 +165,6 @@ def html_to_markdown(spark, sf_dir):
 
 # JSON and CSV
 
-@query("""SELECT event_type, '| event_id | k |' || chr(10) || '| --- | --- |' || chr(10) || string_agg('| ' || event_id || ' | ' || coalesce(json_extract_string(props, '$.k'), '') || ' |', chr(10) ORDER BY event_id) AS markdown FROM events GROUP BY event_type""")
-def json_table(spark, sf_dir):
-    value = F.coalesce(F.get_json_object("props", "$.k"), F.lit(""))
-    line = F.concat(F.lit("| "), F.col("event_id").cast("string"), F.lit(" | "), value, F.lit(" |"))
-    rows = frames.joined(table(spark, sf_dir, "events"), ["event_type"], ["event_id"], line, "\n", "body")
-    return rows.select("event_type", F.concat(F.lit("| event_id | k |\n| --- | --- |\n"), "body").alias("markdown"))
-
-
-@query("""SELECT event_type, string_agg(DISTINCT k, ',' ORDER BY k) AS columns FROM (SELECT event_type, unnest(json_keys(props)) AS k FROM events) GROUP BY event_type""")
-def json_columns_union(spark, sf_dir):
-    keys = table(spark, sf_dir, "events").select("event_type", F.explode(F.json_object_keys("props")).alias("k"))
-    return keys.groupBy("event_type").agg(F.array_join(F.array_sort(F.collect_set("k")), ",").alias("columns"))
-
-
-@query()
-def json_fenced(spark, sf_dir):
-    rows = table(spark, sf_dir, "events").select("event_id", F.concat(F.lit('{"event": ['), "props", F.lit("]}")).alias("content"), F.lit("event.json").alias("filename"))
-    return DocumentEngine().convert(rows).select("event_id", "converter", "markdown")
-
-
 DELIMITED = "array_to_string(list_transform(range(3), lambda i: n_name || d || n_nationkey || d || i), chr(10))"
 D_SQL = "CASE n_nationkey % 5 WHEN 0 THEN ',' WHEN 1 THEN ';' WHEN 2 THEN chr(9) WHEN 3 THEN '|' ELSE ' ' END"
 
@@ -298,53 +235,18 @@ def table_width_pad(spark, sf_dir):
 
 # blocks
 
-def _front(mark: str, between: str, pairs: list[tuple[str, Column]]) -> Column:
-    lines = F.filter(F.array(*(F.when(v != "", F.concat(F.lit(k + between), C.quoted(v))) for k, v in pairs)), lambda x: x.isNotNull())
-    return F.concat(F.lit(mark + "\n"), F.array_join(lines, "\n"), F.lit("\n" + mark))
-
-
-@query(f"""SELECT doc_id, '---' || chr(10) || 'title: ' || {s_quoted("left(text, 40)")} || chr(10) || 'language: ' || {s_quoted('lang')} || chr(10) || 'source: ' || {s_quoted('source')} || chr(10) || '---' AS front FROM documents""")
-def yaml_front_matter(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", _front("---", ": ", [("title", F.substring("text", 1, 40)), ("language", F.col("lang")), ("source", F.col("source"))]).alias("front"))
-
-
-@query(f"""SELECT doc_id, '+++' || chr(10) || 'title = ' || {s_quoted("left(text, 40)")} || chr(10) || 'language = ' || {s_quoted('lang')} || chr(10) || '+++' AS front FROM documents""")
-def toml_front_matter(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", _front("+++", " = ", [("title", F.substring("text", 1, 40)), ("language", F.col("lang"))]).alias("front"))
-
-
 @query(f"""SELECT p_partkey, repeat('#', least(6, greatest(1, p_size % 9 + 2 - 1))::INT) || ' ' || {s_escape('p_name')} AS heading FROM part""")
 def heading_offset_clamp(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", C.heading(F.col("p_size") % 9 - 1, F.col("p_name"), offset=2).alias("heading"))
 
 
-@query("""SELECT doc_id, f || chr(10) || t || chr(10) || f AS block FROM (SELECT doc_id, t, repeat('`', (greatest(2, coalesce(list_max(list_transform(regexp_extract_all(t, '`+'), lambda x: length(x))), 0)) + 1)::INT) AS f FROM (SELECT doc_id, repeat('`', (doc_id % 6)::INT) || left(text, 60) AS t FROM documents))""")
+@query("""SELECT doc_id, f || chr(10) || t || chr(10) || f AS block FROM (SELECT doc_id, t, repeat('`', (greatest(2, coalesce(list_max(list_transform(regexp_extract_all(t, '`+'), lambda x: length(x))), 0)) + 1)::INT) AS f FROM (SELECT doc_id, repeat('`', (doc_id % 6)::INT) || text AS t FROM documents))""")
 def code_fence(spark, sf_dir):
-    t = F.concat(F.repeat(F.lit("`"), (F.col("doc_id") % 6).cast("int")), F.substring("text", 1, 60))
+    t = F.concat(F.repeat(F.lit("`"), (F.col("doc_id") % 6).cast("int")), "text")
     rows = table(spark, sf_dir, "documents").select("doc_id", t.alias("t"))
     return rows.select("doc_id", F.concat(C.fence(F.col("t")), F.lit("\n"), "t", F.lit("\n"), C.fence(F.col("t"))).alias("block"))
 
 
-@query("""SELECT conv_id, turn, regexp_replace(regexp_replace(replace(text, '. ', '.' || chr(10) || chr(10)), '(?m)^(.+)$', '> \\1', 'g'), '(?m)^$', '>', 'g') AS quote FROM conversations""".replace("\\\\", "\\"))
-def quote_block(spark, sf_dir):
-    said = F.replace("text", F.lit(". "), F.lit(".\n\n"))
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.regexp_replace(F.regexp_replace(said, "(?m)^(.+)$", r"> $1"), "(?m)^$", ">").alias("quote"))
-
-
-@query("""SELECT conv_id, string_agg((turn + 1) || '. ' || role || ': ' || regexp_replace(text, chr(10) || '([^' || chr(10) || '])', chr(10) || repeat(' ', length((turn + 1) || '. ')) || '\\1', 'g'), chr(10) ORDER BY turn, role, text) AS list FROM conversations GROUP BY conv_id""".replace("\\\\", "\\"))
-def list_block(spark, sf_dir):
-    mark = F.concat((F.col("turn") + 1).cast("string"), F.lit(". "))
-    rows = table(spark, sf_dir, "conversations").withColumn("mark", mark).withColumn("gap", F.repeat(F.lit(" "), F.length("mark")))
-    body = F.regexp_replace(F.col("text"), F.lit("\n(?=[^\n])"), F.concat(F.lit("\n"), F.col("gap")))
-    return frames.joined(rows, ["conv_id"], ["turn", "role", "text"], F.concat("mark", "role", F.lit(": "), body), "\n", "list")
-
-
-@query(f"""SELECT page_id, CASE WHEN page_id % 2 = 0 THEN '![' || {s_escape("'page ' || page_id")} || '](' || url || ')' ELSE '*[image: ' || {s_escape("'page ' || page_id")} || ']*' END AS image FROM pages""")
-def image_block(spark, sf_dir):
-    alt = C.escape(F.concat(F.lit("page "), F.col("page_id").cast("string")))
-    return table(spark, sf_dir, "pages").select("page_id", F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("!["), alt, F.lit("]("), C.escape_url(F.col("url")), F.lit(")"))).otherwise(F.concat(F.lit("*[image: "), alt, F.lit("]*"))).alias("image"))
-
-
 @query(f"""SELECT doc_id, count(*) AS blocks, sum(length(paragraph))::BIGINT AS chars FROM (SELECT doc_id, unnest(string_split({TWO}, chr(10) || chr(10))) AS paragraph FROM documents) WHERE {s_trim('paragraph')} != '' GROUP BY doc_id""")
 def block_count(spark, sf_dir):
     rows = frames.paragraphs(table(spark, sf_dir, "documents"), _spaced(), "doc_id")
@@ -359,26 +261,15 @@ def output_byte_cap(spark, sf_dir):
     return frames.capped(lines, ["doc_id"], ["ord"], F.col("p"), 1500).select("doc_id", "ord", "bytes_so_far")
 
 
-@query("""SELECT doc_id, CASE WHEN strlen(text) > 4000 THEN 'limit_exceeded' END AS code FROM documents""")
-def input_size_gate(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.when(F.octet_length("text") > 4000, "limit_exceeded").alias("code"))
-
-
-@query("""SELECT kind, count(*) AS n FROM (SELECT 'truncated' AS kind FROM documents WHERE strlen(text) > 4000 UNION ALL SELECT 'heuristic_applied' FROM documents WHERE text LIKE '%|%' UNION ALL SELECT 'no_text_layer' FROM documents WHERE length(text) < 100) GROUP BY kind""")
-def warning_counts(spark, sf_dir):
-    kinds = F.filter(F.array(F.when(F.octet_length("text") > 4000, "truncated"), F.when(F.col("text").contains("|"), "heuristic_applied"), F.when(F.length("text") < 100, "no_text_layer")), lambda x: x.isNotNull())
-    return table(spark, sf_dir, "documents").select(F.explode(kinds).alias("kind")).groupBy("kind").agg(F.count("*").alias("n"))
-
-
 # lines of pages
 
 def _lines(spark, sf_dir) -> DataFrame:
-    line = F.when(F.col("ord") % 4 == 0, F.concat((F.col("ord") + 1).cast("string"), F.lit(".2 "), F.substring("raw", 1, 30))).when(F.col("ord") % 4 == 1, F.upper(F.replace(F.substring("raw", 1, 20), F.lit("ß"), F.lit("s")))).when(F.col("ord") % 4 == 2, "").otherwise(F.concat("raw", F.lit("-")))
+    line = F.when(F.col("ord") % 4 == 0, F.concat((F.col("ord") + 1).cast("string"), F.lit(".2 "), "raw")).when(F.col("ord") % 4 == 1, F.upper(F.replace("raw", F.lit("ß"), F.lit("s")))).when(F.col("ord") % 4 == 2, "").otherwise(F.concat("raw", F.lit("-")))
     rows = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("ord", "raw"))
     return rows.select("doc_id", "ord", line.alias("line"))
 
 
-LINES_SQL = "lines AS (SELECT doc_id, ord, CASE ord % 4 WHEN 0 THEN (ord + 1) || '.2 ' || left(raw, 30) WHEN 1 THEN upper(replace(left(raw, 20), 'ß', 's')) WHEN 2 THEN '' ELSE raw || '-' END AS line FROM (SELECT doc_id, unnest(range(len(l)))::INT AS ord, unnest(l) AS raw FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)))"
+LINES_SQL = "lines AS (SELECT doc_id, ord, CASE ord % 4 WHEN 0 THEN (ord + 1) || '.2 ' || raw WHEN 1 THEN upper(replace(raw, 'ß', 's')) WHEN 2 THEN '' ELSE raw || '-' END AS line FROM (SELECT doc_id, unnest(range(len(l)))::INT AS ord, unnest(l) AS raw FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)))"
 LEVEL_SQL = r"""levels AS (SELECT doc_id, ord, line, c, CASE WHEN NOT (strlen(c) BETWEEN 3 AND 80 AND NOT regexp_matches(c, '[.,;:]$') AND len(regexp_split_to_array(c, '\s+')) <= 12 AND regexp_matches(c, '\pL')) THEN NULL WHEN num != '' THEN least(4, length(num) - length(replace(num, '.', ''))) + 1 WHEN NOT regexp_matches(c, '[\p{Ll}\p{Lt}\p{Lm}\p{Lo}]') THEN 2 END::INT AS level FROM (SELECT *, regexp_extract(c, '^([0-9.)]*[0-9][0-9.)]*) .*\S', 1) AS num FROM (SELECT *, """ + s_trim("line") + " AS c FROM lines)))"
 
 
@@ -400,128 +291,3 @@ def pdf_page_blocks(spark, sf_dir):
 def pdf_rejoin(spark, sf_dir):
     ordered = F.array_sort(F.collect_list(F.struct("ord", "line")))
     return _lines(spark, sf_dir).groupBy("doc_id").agg(C.rejoin(F.transform(ordered, lambda x: x["line"])).alias("said"))
-
-
-@query("""SELECT n_regionkey, array_to_string(l[1:3], ', ') || CASE WHEN len(l) > 3 THEN ', … and ' || (len(l) - 3) || ' more' ELSE '' END AS pages FROM (SELECT n_regionkey, list(n_nationkey ORDER BY n_nationkey) AS l FROM nation GROUP BY n_regionkey)""")
-def pdf_page_list(spark, sf_dir):
-    rows = table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.sort_array(F.collect_list("n_nationkey")).alias("l"))
-    more = F.when(F.size("l") > 3, F.concat(F.lit(", … and "), (F.size("l") - 3).cast("string"), F.lit(" more"))).otherwise("")
-    return rows.select("n_regionkey", F.concat(F.array_join(F.slice(F.transform("l", lambda x: x.cast("string")), 1, 3), ", "), more).alias("pages"))
-
-
-# lookups inside containers
-
-@query("""SELECT s.ord, s.idref, m.n_name AS chapter, m.n_nationkey IS NULL AS missing FROM (SELECT s_suppkey AS ord, (s_suppkey * 7 % 30)::INT AS idref FROM supplier) s LEFT JOIN nation m ON m.n_nationkey = s.idref WHERE s.idref NOT IN (SELECT r_regionkey FROM region)""")
-def epub_spine_join(spark, sf_dir):
-    spine = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("ord"), (F.col("s_suppkey") * 7 % 30).cast("int").alias("idref"))
-    skipped = table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("idref"))
-    manifest = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("idref"), F.col("n_name").alias("chapter"))
-    rows = spine.join(skipped, "idref", "left_anti").join(manifest.withColumn("known", F.lit(True)), "idref", "left")
-    return rows.select("ord", "idref", "chapter", F.col("known").isNull().alias("missing"))
-
-
-@query("""SELECT o_orderkey, CASE WHEN c_name IS NULL THEN o_orderpriority ELSE '[' || o_orderpriority || '](#' || c_name || ')' END AS run FROM orders LEFT JOIN customer ON c_custkey = o_custkey AND c_acctbal > 0""")
-def docx_rels_join(spark, sf_dir):
-    rels = table(spark, sf_dir, "customer").filter("c_acctbal > 0").select(F.col("c_custkey").alias("o_custkey"), F.concat(F.lit("#"), "c_name").alias("href"))
-    rows = table(spark, sf_dir, "orders").join(rels, "o_custkey", "left")
-    return rows.select("o_orderkey", F.when(F.col("href").isNull(), F.col("o_orderpriority")).otherwise(F.concat(F.lit("["), "o_orderpriority", F.lit("]("), "href", F.lit(")"))).alias("run"))
-
-
-@query("""SELECT n_regionkey, string_agg('slide' || n_nationkey || '.xml', ' ' ORDER BY n_nationkey) AS slides FROM nation GROUP BY n_regionkey""")
-def pptx_slide_sort(spark, sf_dir):
-    names = table(spark, sf_dir, "nation").select("n_regionkey", F.concat(F.lit("slide"), F.col("n_nationkey").cast("string"), F.lit(".xml")).alias("name"))
-    numbered = names.withColumn("n", F.regexp_extract("name", r"(\d+)\.xml$", 1).cast("int"))
-    return frames.joined(numbered, ["n_regionkey"], ["n"], F.col("name"), " ", "slides")
-
-
-@query(f"""SELECT d.doc_id, {s_escape("left(text, 20)")} || CASE WHEN l.quality IS NULL THEN '' ELSE chr(10) || chr(10) || '*quality ' || l.quality || '*' END AS block FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""")
-def enrich_caption_join(spark, sf_dir):
-    labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 20).alias("said")).join(labels, "doc_id", "left")
-    caption = F.when(F.col("quality").isNull(), "").otherwise(F.concat(F.lit("\n\n*quality "), F.col("quality").cast("string"), F.lit("*")))
-    return rows.select("doc_id", F.concat(C.escape(F.col("said")), caption).alias("block"))
-
-
-@query("""SELECT o_orderpriority AS kind, min(o_orderkey) AS first_key FROM orders GROUP BY o_orderpriority""")
-def guess_dedupe(spark, sf_dir):
-    first = Window.partitionBy("o_orderpriority").orderBy("o_orderkey")
-    rows = table(spark, sf_dir, "orders").withColumn("n", F.row_number().over(first)).filter("n = 1")
-    return rows.select(F.col("o_orderpriority").alias("kind"), F.col("o_orderkey").alias("first_key"))
-
-
-@query("""SELECT event_id, strftime(CAST('1899-12-30' AS DATE) + (40000 + event_id % 5000)::INT, '%Y-%m-%d') AS day FROM events""")
-def sheet_serial_date(spark, sf_dir):
-    return table(spark, sf_dir, "events").select("event_id", F.date_format(F.date_add(F.lit("1899-12-30").cast("date"), (F.lit(40000) + F.col("event_id") % 5000).cast("int")), "yyyy-MM-dd").alias("day"))
-
-
-# whole conversions by the engine
-
-@query()
-def engine_convert_text(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("content"), F.lit("document.txt").alias("filename"))
-    return DocumentEngine().convert(rows)
-
-
-@query()
-def engine_blocks(spark, sf_dir):
-    rows = table(spark, sf_dir, "pages").select("page_id", F.col("html").alias("content"), F.lit("page.html").alias("filename"))
-    return DocumentEngine().blocks(rows)
-
-
-@query()
-def engine_templated(spark, sf_dir):
-    options = {"templates": {"document": "---\nsource: {{ source.filename }}\n---\n\n{{ body }}", "blocks": {"paragraph": "{{ block.text | upper }}"}}}
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("content"), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("filename"))
-    return DocumentEngine(options).convert(rows).select("doc_id", "markdown", "error")
-
-
-@query()
-def registry_dispatch(spark, sf_dir):
-    """The same text under different names: which converter takes it."""
-    k = F.col("doc_id") % 6
-    ext = F.when(k == 0, "txt").when(k == 1, "csv").when(k == 2, "json").when(k == 3, "xml").when(k == 4, "html").otherwise("eml")
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("content"), ext.alias("extension"))
-    return DocumentEngine(Options()).convert(rows).select("doc_id", "extension", "converter", "detected_via", "error")
-
-
-def _built(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A file of each binary format for every nation."""
-    import pyarrow as pa
-
-    from .sources import samples as S
-
-    def build(batches):
-        for b in batches:
-            for key, name in zip(*(b.column(c).to_pylist() for c in (0, 1))):
-                files = {
-                    "docx": S.docx(S.para(S.run(name), style="Heading1") + S.para(S.run("Key "), S.run(str(key), "b")) + S.word_table(["key"], [str(key)])),
-                    "pptx": S.pptx([S.slide(name), S.slide(str(key))], {1: S.slide("note")}),
-                    "epub": S.epub({"a": (name, "One."), "b": ("Next", str(key))}, ["b", "a"]),
-                    "xlsx": S.xlsx({name: f'<row><c r="A1" t="s"><v>0</v></c><c r="B1" t="s"><v>1</v></c></row><row><c r="A2"><v>{key}</v></c><c r="B2" s="1"><v>{40000 + key}</v></c></row>'}, ["key", "day"]),
-                    "zip": S.zipped({"a.txt": name, "b.csv": f"k\n{key}\n", "c.zip": S.zipped({"d.md": f"# {name}"})}),
-                    "pdf": S.pdf([name.upper(), f"Its number is {key} and no", "other."], []),
-                    "png": S.PNG,
-                    "jpg": S.jpeg_exif({0x013B: name, 0x0110: str(key)}),
-                    "wav": S.wav(800 * (key + 1)),
-                    "msg": S.message(subject=name, sender="a@example.invalid", body=f"Number {key}.", attachment="x.pdf"),
-                    "ipynb": f'{{"cells": [{{"cell_type": "markdown", "source": "# {name}"}}, {{"cell_type": "code", "source": ["print({key})"], "outputs": []}}]}}'.encode(),
-                    "rss": f"<rss><channel><title>t</title><item><title>{name}</title><link>http://x.invalid/{key}</link></item></channel></rss>".encode(),
-                    "xml": f'<nation key="{key}"><name>{name}</name></nation>'.encode(),
-                }
-                yield pa.RecordBatch.from_arrays([pa.array([key] * len(files), pa.int32()), pa.array([f"{name.lower()}.{e}" for e in files]), pa.array(list(files.values()), pa.binary())], names=["n_nationkey", "filename", "content"])
-
-    return table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("int"), "n_name").mapInArrow(build, "n_nationkey int, filename string, content binary")
-
-
-@query()
-def engine_convert_binary(spark, sf_dir):
-    return DocumentEngine().convert(_built(spark, sf_dir))
-
-
-@query()
-def engine_two_phase(spark, sf_dir):
-    """Blocks of each file as a table, captions joined to its images, and the table put together again."""
-    blocks = DocumentEngine().blocks(_built(spark, sf_dir))
-    captions = blocks.filter("kind = 'image'").select("n_nationkey", "filename", "block_ord", F.concat(F.lit("picture of "), F.col("n_nationkey").cast("string")).alias("caption"))
-    rows = blocks.join(captions, ["n_nationkey", "filename", "block_ord"], "left").withColumn("line", F.coalesce("caption", "text", F.lit("")))
-    return frames.joined(rows.filter("depth = 0"), ["n_nationkey", "filename"], ["block_ord"], F.col("line"), "\n", "said")
