@@ -9,6 +9,7 @@ import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: A word, for Java's and DuckDB's regular expressions: no ASCII white space in it.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -20,11 +21,13 @@ _scratch: list[tuple[SparkSession, str]] = []
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where that is unset (tests, a single machine) is a folder of our own made.
+    Only where that is unset and all run on this machine (tests) is a folder of our own made.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if base:
         return base.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_dirs:
         _own_dirs[app] = "file://" + tempfile.mkdtemp(prefix="vellum-")
@@ -56,6 +59,15 @@ def _clean() -> None:
             return
 
 
+#: Rows up to which a table is broadcast.
+BROADCAST_ROWS = 20_000
+
+
+def few(df: DataFrame) -> DataFrame:
+    """``df`` for a join: broadcast if its rows are few, as counted; a larger table is joined by shuffle."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
 def tidy(run):
     """``run`` for mapInArrow, after which the worker, which stays for later tasks, gives freed memory back."""
 

@@ -1,20 +1,25 @@
 """Mixing sources to target weights by a low-discrepancy schedule.
 
 A source's documents, in an order shuffled by a hash, form a line of words;
-blocks of equal length are cut from the line, which is repeated as often as
-the source may be. The schedule is a row of slots: slot i belongs to the
-source on whose stretch of the cumulative targets the i-th golden-ratio point
-falls, so that every stretch of the schedule has the sources near their
-weights. A slot's rank among those of its source is the number of the block
-that it takes; the last block ends at the target.
+blocks of equal length are cut from the line, which may be walked up to
+``most`` times. The schedule is a row of slots, as many as blocks make up all
+targets: slot i belongs to the source on whose stretch of the cumulative
+targets the i-th golden-ratio point falls. The points decide how many slots a
+source gets; any stretch of the schedule has the sources near their weights,
+the whole schedule within a few blocks. A slot's rank among those of its
+source is the number of the block that it takes; a line that has been walked
+``most`` times gives no more. What comes out are spans of documents in the
+order of the slots.
 
 Running sums over a source and ranks over the slots of a source are taken in
 two levels (within buckets, over buckets), so a source with a third of all
 rows is dealt to many tasks. Only DataFrame functions are used.
 
 Defined cases: null and empty texts have size 0 and are never taken; a null
-source is a source of its own, the last; repeated rows are mixed each for
-itself; other columns are ignored; an empty table gives no rows.
+source is a source of its own, the last; rows with one id stand on the line by
+their sizes, and repeated rows are mixed each for itself, in any order among
+themselves; a null id stands by its text; a very long text spans as many
+blocks as it needs; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -22,19 +27,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, written
+from .common import WORD, few, written
 
 WEIGHTS = (5, 2, 1)
-BUCKET_ROWS = 20_000
-BROADCAST_ROWS = 20_000
+BUCKET_ROWS = 8_000
+#: Words of a block.
+BLOCK = 64
 _CELLS = 4096
 _CHUNK = 8192
-_GOLDEN = "0.6180339887498948482"
+#: Points are multiples of 1 / _POINTS; _GOLDEN is _POINTS over the golden ratio, and odd, so that a period has every point once.
+_POINTS, _GOLDEN = 2**31, 1327217885
 
 
 def sized(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size (words)."""
-    return docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    """doc_id, source, key (which shuffles), size (words)."""
+    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.col("text"), F.lit("")))
+    return docs.select("doc_id", "source", key.alias("key"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
 
 
 def with_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = 3) -> DataFrame:
@@ -57,18 +65,12 @@ def with_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int
     return per.withColumn("target", F.when(F.col("full"), F.col("cap")).otherwise(level * F.col("weight"))).select("k", "source", "source_size", "weight", "target")
 
 
-def _few(df: DataFrame) -> DataFrame:
-    """Broadcast if its rows are few, as counted; a larger table is joined by shuffle."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
-
-
 def on_lines(sizes: DataFrame, sources: DataFrame) -> DataFrame:
     """``sizes`` with k, source_size, target and ``at``: the words before each document on its source's shuffled line."""
-    few = _few(sources)
-    rows = sizes.join(few, sizes["source"].eqNullSafe(few["source"])).select("doc_id", "size", "k", "source_size", "target")
+    wide = few(sources)
+    rows = sizes.join(wide, sizes["source"].eqNullSafe(wide["source"])).select("doc_id", "key", "size", "k", "source_size", "target")
     buckets = max(1, sizes.count() // BUCKET_ROWS)
-    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    rows = rows.withColumn("key", key).withColumn("bucket", F.floor(F.conv(F.substring("key", 1, 8), 16, 10).cast("double") * buckets / 2**32))
+    rows = rows.withColumn("bucket", F.floor(F.conv(F.substring("key", 1, 8), 16, 10).cast("double") * buckets / 2**32))
     sums = rows.groupBy("k", "bucket").agg(F.sum("size").alias("s"))
     before = sums.withColumn("before", F.sum("s").over(Window.partitionBy("k").orderBy("bucket")) - F.col("s")).drop("s")
     within = Window.partitionBy("k", "bucket").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -78,46 +80,47 @@ def on_lines(sizes: DataFrame, sources: DataFrame) -> DataFrame:
 def schedule(sources: DataFrame, block: int) -> DataFrame:
     """slot, k, rank: the source of each slot and the block of its line that the slot takes."""
     spark = sources.sparkSession
-    stop = F.floor(F.col("target") + 0.5).cast("long")
-    needs = sources.select("k", "target", F.ceil(stop / block).cast("long").alias("need")).filter("need > 0")
-    slots = needs.agg(F.sum("need")).first()[0] or 0
+    total, n = sources.agg(F.sum("source_size"), F.count("*")).first()
+    slots = -(-(total or 0) // block)
+    cells = max(_CELLS, 1 << (4 * n).bit_length())
     run = Window.orderBy("k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    all_ = F.sum("target").over(Window.partitionBy())
-    spans = needs.withColumns({"hi": F.sum("target").over(run) / all_, "last": F.max("k").over(Window.partitionBy()) == F.col("k")})
-    spans = spans.withColumns({"lo": F.coalesce(F.lag("hi").over(Window.orderBy("k")), F.lit(0.0)), "hi": F.when(F.col("last"), 1.0).otherwise(F.col("hi"))})
-    cells = spans.withColumn("cell", F.explode(F.sequence(F.floor(F.col("lo") * _CELLS), F.floor(F.col("hi") * _CELLS))))
-    point = ((F.col("id") + 1).cast("decimal(18,0)") * F.lit(_GOLDEN).cast("decimal(19,19)")) % 1
-    points = spark.range(slots).select(F.col("id").alias("slot"), point.cast("double").alias("x")).withColumn("cell", F.floor(F.col("x") * _CELLS))
-    dealt = points.join(cells, "cell").filter("x >= lo AND x < hi").select("slot", "k", "need", F.floor(F.col("slot") / _CHUNK).alias("chunk"))
+    spans = sources.withColumns({"hi": F.sum("target").over(run) / F.sum("target").over(Window.partitionBy()), "last": F.max("k").over(Window.partitionBy()) == F.col("k")})
+    spans = spans.withColumn("hi", F.when(F.col("last"), F.lit(_POINTS)).otherwise(F.floor(F.col("hi") * _POINTS + 0.5).cast("long")))
+    spans = spans.withColumn("lo", F.coalesce(F.lag("hi").over(Window.orderBy("k")), F.lit(0))).filter("lo < hi").select("k", "lo", "hi")
+    wide = _POINTS // cells
+    spans = spans.withColumn("cell", F.explode(F.sequence(F.floor(F.col("lo") / wide), F.floor((F.col("hi") - 1) / wide))))
+    points = spark.range(slots).select(F.col("id").alias("slot"), ((F.col("id") + 1) % _POINTS * _GOLDEN % _POINTS).alias("x")).withColumn("cell", F.floor(F.col("x") / wide))
+    dealt = points.join(spans, "cell").filter("x >= lo AND x < hi").select("slot", "k", F.floor(F.col("slot") / _CHUNK).alias("chunk"))
     sums = dealt.groupBy("k", "chunk").agg(F.count("*").alias("n"))
     before = sums.withColumn("before", F.sum("n").over(Window.partitionBy("k").orderBy("chunk")) - F.col("n")).drop("n")
     within = Window.partitionBy("k", "chunk").orderBy("slot")
-    ranked = dealt.withColumn("rank", F.row_number().over(within) - 1).join(before, ["k", "chunk"]).withColumn("rank", F.col("rank") + F.col("before"))
-    ranked = ranked.filter("rank < need").select("slot", "k", "rank")
-    got = sums.groupBy("k").agg(F.sum("n").alias("n"))
-    # The points fall near the shares, not on them: a source's few missing slots follow at the end.
-    late = needs.join(got, "k", "left").withColumn("n", F.coalesce("n", F.lit(0))).filter("n < need")
-    late = late.select(F.lit(slots).alias("slot"), "k", F.explode(F.sequence("n", F.col("need") - 1)).alias("rank"))
-    return ranked.unionByName(late)
+    ranked = dealt.withColumn("rank", F.row_number().over(within) - 1).join(before, ["k", "chunk"])
+    return ranked.select("slot", "k", (F.col("rank") + F.col("before")).alias("rank"))
+
+
+def spans_in_slots(lines: DataFrame, sources: DataFrame, most: int = 3, block: int = BLOCK) -> DataFrame:
+    """slot, k, rank, doc_id, at, size, turn, first, words: what each slot takes of the documents of ``lines``,
+    ``words`` words of a document from its ``first`` (from 0) on, for the ``turn``-th time."""
+    turns = lines.filter("size > 0").select("k", "at", "doc_id", "size", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda e: e * F.col("source_size") + F.col("at"))).alias("turn", "from"))
+    turns = turns.withColumn("to", F.col("from") + F.col("size"))
+    parts = turns.withColumn("rank", F.explode(F.sequence(F.floor(F.col("from") / block), F.floor((F.col("to") - 1) / block))))
+    begin, end = F.greatest(F.col("from"), F.col("rank") * block), F.least(F.col("to"), (F.col("rank") + 1) * block)
+    parts = parts.select("k", "rank", "at", "doc_id", "size", "turn", (begin - F.col("from")).alias("first"), (end - begin).alias("words"))
+    return parts.join(schedule(sources, block), ["k", "rank"])
 
 
-def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = 3, block: int = 256) -> DataFrame:
-    """doc_id, size, source_size, target, taken: one row for each document."""
-    return _mixed(written(sized(docs), "sizes"), weights, most, block).select("doc_id", "size", "source_size", "target", "taken")
+def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = 3, block: int = BLOCK) -> DataFrame:
+    """doc_id, size, source_size, target, taken, first_slot (null if nothing is taken): one row for each document."""
+    lines, spans = _mixed(written(sized(docs), "sizes"), weights, most, block)
+    taken = spans.groupBy("k", "at").agg(F.sum("words").alias("taken"), F.min("slot").alias("first_slot"))
+    rows = lines.withColumn("filled", F.col("size") > 0).join(taken.withColumn("filled", F.lit(True)), ["k", "at", "filled"], "left")
+    return rows.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "first_slot")
 
 
-def _mixed(sizes: DataFrame, weights: tuple[int, ...], most: int, block: int) -> DataFrame:
+def _mixed(sizes: DataFrame, weights: tuple[int, ...], most: int, block: int) -> tuple[DataFrame, DataFrame]:
     sources = written(with_targets(sizes, weights, most), "sources")
     lines = written(on_lines(sizes, sources), "lines")
-    stop = F.floor(F.col("target") + 0.5).cast("long")
-    turns = lines.filter("size > 0").withColumn("stop", stop).withColumn("from", F.explode(F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda e: e * F.col("source_size") + F.col("at"))))
-    turns = turns.filter("`from` < stop").withColumn("to", F.least(F.col("from") + F.col("size"), "stop"))
-    parts = turns.withColumn("rank", F.explode(F.sequence(F.floor(F.col("from") / block), F.floor((F.col("to") - 1) / block))))
-    taken = parts.join(schedule(sources, block), ["k", "rank"])
-    words = F.least(F.col("to"), (F.col("rank") + 1) * block) - F.greatest(F.col("from"), F.col("rank") * block)
-    taken = taken.groupBy("k", "at").agg(F.sum(words).alias("taken"))
-    placed = lines.withColumn("filled", F.col("size") > 0)
-    return placed.join(taken.withColumn("filled", F.lit(True)), ["k", "at", "filled"], "left").withColumn("taken", F.coalesce("taken", F.lit(0)).cast("long"))
+    return lines, spans_in_slots(lines, sources, most, block)
 
 
 def _first_words(text: Column, n: Column) -> Column:
@@ -127,36 +130,44 @@ def _first_words(text: Column, n: Column) -> Column:
     return F.regexp_replace(F.array_join(F.slice(pieces, F.lit(1), (n + lead).cast("int")), ""), r"[\x20\x09-\x0D]+\z", "")
 
 
-def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = 3, block: int = 256) -> DataFrame:
-    """Rows like those of ``docs``: each document as often as the mix takes it whole, and once cut after its
-    n-th word if n words are taken besides. Rows that are alike are taken together; n_chars follows the text.
+def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = 3, block: int = BLOCK) -> DataFrame:
+    """Rows like those of ``docs``, in the order of the schedule's slots: a document once for each time that the mix
+    walks over it, the last time cut after the words that are taken. Rows that are alike are taken together: each
+    stands where the first of them does. n_chars follows the text. Nulls, ties and clashing names: as above; any
+    column may be missing but doc_id, text and source.
     """
-    key = F.xxhash64("doc_id", "source", "text")
-    sizes = written(docs.select(key.alias("doc_id"), "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")), "sizes")
-    taken = _mixed(sizes, weights, most, block).groupBy(F.col("doc_id").alias("_key")).agg(F.sum("taken").alias("_taken"), F.first("size").alias("_size")).filter("_taken > 0")
-    one = docs.withColumn("_key", key)
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "source", "text", F.xxhash64("doc_id", "source", "text").alias("id"))
+    sizes = written(whole.select(F.col("id").alias("doc_id"), "source", F.md5(F.col("id").cast("string")).alias("key"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")), "sizes")
+    lines, spans = _mixed(sizes, weights, most, block)
+    copies = spans.groupBy("k", "at", "turn").agg(F.first("doc_id").alias("id"), F.first("size").alias("size"), F.sum("words").alias("words"), F.min("slot").alias("slot"))
     if sizes.groupBy("doc_id").count().filter("count > 1").limit(1).count():
-        one = one.dropDuplicates(["_key"])
-    rows = one.join(taken, "_key")
-    whole, rest = F.floor(F.col("_taken") / F.col("_size")), F.col("_taken") % F.col("_size")
-    copies = F.concat(F.array_repeat(F.lit(0).cast("long"), whole.cast("int")), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<long>")))
-    rows = rows.withColumn("_cut", F.explode(copies))
-    rows = rows.withColumn("text", F.when(F.col("_cut") > 0, _first_words(F.col("text"), F.col("_cut"))).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"]))
-    return rows.select(*docs.columns)
-
-
-ORACLE = r"""
-WITH sizes AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^ \t-\r]+')), 0)::BIGINT AS size FROM documents),
+        whole = whole.dropDuplicates(["id"])
+    rows = copies.join(whole, "id").withColumn("text", F.when(F.col("words") < F.col("size"), _first_words(F.col("text"), F.col("words"))).otherwise(F.col("text")))
+    # Slots are numbered without gaps, so ranges of them need no sample of the rows.
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    slots = F.lit(-(-(sizes.agg(F.sum("size")).first()[0] or 0) // block) or 1)
+    rows = rows.repartitionById(parts, F.least(F.floor(F.col("slot") * parts / slots), F.lit(parts - 1)).cast("int")).sortWithinPartitions("slot")
+    changed = {"text": F.col("text"), "n_chars": F.length("text")}
+    types = dict(docs.dtypes)
+    return rows.select(*((changed[c].cast(types[c]) if c in changed else F.col(f"row.`{c}`")).alias(c) for c in docs.columns))
+
+
+ORACLE = rf"""
+WITH sizes AS (SELECT doc_id, source, md5(coalesce(doc_id::VARCHAR, text, '')) AS key, coalesce(len(regexp_extract_all(text, '[^ \t-\r]+')), 0)::BIGINT AS size FROM documents),
 per AS (SELECT source, sum(size)::BIGINT AS source_size FROM sizes GROUP BY source),
 ranked AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS k FROM per),
 weighed AS (SELECT *, CASE k % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0 ELSE 1.0 END AS weight, 3.0::DOUBLE * source_size AS cap FROM ranked),
 filling AS (SELECT *, sum(source_size::DOUBLE) OVER () AS total, sum(weight) OVER () AS weights, sum(cap) OVER o - cap AS caps_before, sum(weight) OVER o - weight AS weights_before
   FROM weighed WINDOW o AS (ORDER BY cap / weight, k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
 filled AS (SELECT *, cap / weight <= (total - caps_before) / (weights - weights_before) AS is_full FROM filling),
-targets AS (SELECT source, source_size, CASE WHEN is_full THEN cap ELSE weight * (total - coalesce(sum(cap) FILTER (is_full) OVER (), 0)) / (weights - coalesce(sum(weight) FILTER (is_full) OVER (), 0)) END AS target FROM filled),
-lines AS (SELECT doc_id, size, source_size, target, floor(target + 0.5)::BIGINT AS stop, (sum(size) OVER (PARTITION BY s.source ORDER BY md5(coalesce(doc_id::VARCHAR, '')), doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size)::BIGINT AS place
-  FROM sizes s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target, CASE WHEN size = 0 THEN 0 ELSE size * (stop // source_size) + greatest(0, least(size, stop % source_size - place)) END::BIGINT AS taken FROM lines
+targets AS (SELECT k, source, source_size, CASE WHEN is_full THEN cap ELSE weight * (total - coalesce(sum(cap) FILTER (is_full) OVER (), 0)) / (weights - coalesce(sum(weight) FILTER (is_full) OVER (), 0)) END AS target FROM filled),
+ends AS (SELECT k, CASE WHEN k = max(k) OVER () THEN {_POINTS} ELSE floor(sum(target) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) / sum(target) OVER () * {_POINTS} + 0.5)::BIGINT END AS hi FROM targets),
+spans AS (SELECT k, coalesce(lag(hi) OVER (ORDER BY k), 0) AS lo, hi FROM ends),
+points AS (SELECT i AS slot, (i + 1) % {_POINTS} * {_GOLDEN} % {_POINTS} AS x FROM (SELECT unnest(range((SELECT ((coalesce(sum(source_size), 0) + {BLOCK} - 1) // {BLOCK})::BIGINT FROM targets))) AS i)),
+slots AS (SELECT slot, k, row_number() OVER (PARTITION BY k ORDER BY slot) - 1 AS rank FROM points JOIN spans ON x >= lo AND x < hi),
+stops AS (SELECT k, least(count(slot) * {BLOCK}, 3 * any_value(source_size))::BIGINT AS stop FROM targets LEFT JOIN slots USING (k) GROUP BY k),
+lines AS (SELECT doc_id, t.k, size, source_size, target, stop, (sum(size) OVER (PARTITION BY t.k ORDER BY key, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size)::BIGINT AS place
+  FROM sizes s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source JOIN stops USING (k))
+SELECT doc_id, size, source_size, target, (greatest(0, least(size, stop - place)) + greatest(0, least(size, stop - place - source_size)) + greatest(0, least(size, stop - place - 2 * source_size)))::BIGINT AS taken, CASE WHEN size > 0 AND place < stop THEN slot END AS first_slot
+FROM lines LEFT JOIN slots ON slots.k = lines.k AND slots.rank = lines.place // {BLOCK}
 """
