@@ -14,7 +14,6 @@ PATH = public_tokenizers.path("word_bpe_49k.json")
 
 def library(path):
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     return lambda s: t.encode(s or "", add_special_tokens=False).ids
 
 
@@ -24,8 +23,9 @@ def test_ids_are_the_librarys(name):
 
     r = random.Random(2)
     path = public_tokenizers.path(name)
-    alphabet = " ab's  \n\t éß1.,'ll don't Σς́\x1c\r<|endoftext|>字 #$%"
-    texts = ["".join(r.choice(alphabet) for _ in range(r.randint(0, 40))) for _ in range(3000)] + [None, "x" * 5000]
+    alphabet = [*" ab's  \n\t éß1.,'ll don't Σς́\x1c\r字 #$%İ\xa0\u2003", "<|endoftext|>", "İ.", "<|startoftext|>"]
+    texts = ["".join(r.choice(alphabet) for _ in range(r.randint(0, 40))) for _ in range(4000)]
+    texts += [None, "x" * 5000, "İ.", "x <|endoftext|> y", "a \n<|endoftext|>\n b", "<|endoftext|", " <|endoftext|><|endoftext|> ", "word.\n\nWord!  two"]
     mine, theirs = Encoder(path, memory=500), library(path)
     for k in range(0, len(texts), 100):
         for t, raw in zip(texts[k : k + 100], mine.encode(texts[k : k + 100])):
@@ -86,3 +86,35 @@ def test_two_replace_the_smallest():
     assert best_two_fit({7: 1, 2: 1, 1: 0, 5: 0}, 10) == [(1, [7, 2])]
     # 6 + 3 leaves 1; instead of 3, the two 2s fill the bin.
     assert best_two_fit({6: 1, 3: 1, 2: 2}, 10)[0] == (1, [6, 2, 2])
+
+
+def plain_two_fit(lengths, capacity):
+    """Bin by bin over a list of all pieces: greedy with the longest that fit, then the last one for the best two."""
+    left, bins = sorted(lengths), []
+    while left:
+        bin_, gap = [], capacity
+        for x in reversed(list(left)):
+            if x <= gap:
+                left.remove(x)
+                bin_.append(x)
+                gap -= x
+        if gap:
+            room = gap + bin_[-1]
+            best = max(((a + b, a) for i, a in enumerate(left) for b in left[i + 1 :] if a + b <= room), default=(0, 0))
+            if best[0] > bin_[-1]:
+                left.append(bin_.pop())
+                for x in (best[1], best[0] - best[1]):
+                    left.remove(x)
+                    bin_.append(x)
+                left.sort()
+        bins.append(sum(bin_))
+    return sorted(bins)
+
+
+def test_plan_against_bins_one_by_one():
+    r = np.random.RandomState(5)
+    for _ in range(60):
+        capacity = int(r.randint(8, 40))
+        lengths = r.randint(1, capacity + 1, r.randint(1, 40)).tolist()
+        plan = best_two_fit(Counter(lengths), capacity)
+        assert sorted(sum(b) for n, b in plan for _ in range(n)) == plain_two_fit(lengths, capacity)

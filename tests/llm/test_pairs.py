@@ -4,10 +4,11 @@ from collections import Counter, defaultdict
 
 import numpy as np
 
-from vellum.llm.common import shingle_hashes, words_of
+from vellum.llm.common import mix64, shingle_hashes, words_of
 from vellum.llm.components import connected_components
-from vellum.llm.fingerprint import edited, fingerprints, near_classes, printed, with_next
-from vellum.llm.ngram_join import Frequent, ngram_groups, one_of_each_group, signatures, slack
+from vellum.llm.fingerprint import edited, fingerprints, near_counts, printed, searched, with_next
+from vellum.llm import fingerprint, ngram_join
+from vellum.llm.ngram_join import Frequent, links_between, ngram_groups, one_of_each_group, signatures, slack
 
 
 def shingles(text, n):
@@ -70,6 +71,41 @@ def test_components_of_a_crowd(spark):
         same(ngram_groups(docs, frequent_least=least).collect(), docs.collect(), 4, 85)
 
 
+def test_blocks_and_rounds(spark, monkeypatch):
+    """The same crowd with blocks of a few nodes and tokens, with many rounds of heads and with none."""
+    r = np.random.RandomState(8)
+    base = [f"w{i}" for i in range(50)]
+    texts = []
+    for i in range(120):
+        words = list(base)
+        for k in r.choice(50, r.randint(1, 3), replace=False):
+            words[k] = f"x{r.randint(500)}"
+        texts.append(" ".join(words[: 50 - r.randint(4)]))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    monkeypatch.setattr(ngram_join, "BLOCK_NODES", 7)
+    monkeypatch.setattr(ngram_join, "PLACE_NODES", 20)
+    monkeypatch.setattr(ngram_join, "HEADS", 1)
+    for worth, left in ((0, 1.0), (1e9, 0)):
+        monkeypatch.setattr(ngram_join, "WORTH", worth)
+        monkeypatch.setattr(ngram_join, "LEFT", left)
+        same(ngram_groups(docs, frequent_least=4).collect(), docs.collect(), 4, 85)
+
+
+def test_links_between_blocks_join_what_all_links_join():
+    r = np.random.RandomState(6)
+    for _ in range(50):
+        n, m = r.randint(1, 8, 2)
+        sets = [np.unique(r.randint(0, 12, r.randint(1, 12))) for _ in range(n + m)]
+        ends = np.cumsum([len(x) for x in sets])
+        flat, starts = np.concatenate(sets), ends - [len(x) for x in sets]
+        part = lambda rows: (np.array(rows), np.concatenate([sets[i] for i in rows]), np.cumsum([len(sets[i]) for i in rows]) - [len(sets[i]) for i in rows], np.cumsum([len(sets[i]) for i in rows]))
+        state = np.arange(n + m)
+        found = links_between(part(range(n)), part(range(n, n + m)), state, 60)
+        linked = {(i, j) for i in range(n) for j in range(n, n + m) if 100 * len(np.intersect1d(sets[i], sets[j])) >= 60 * len(np.union1d(sets[i], sets[j]))}
+        assert set(found) <= linked and len(found) == n + m - len(set(state.tolist()))
+        assert all(state[i] == state[j] for i, j in linked)
+
+
 def test_linked_sets_share_signatures():
     r = np.random.RandomState(1)
     for _ in range(300):
@@ -146,7 +182,7 @@ def test_likeness_tells_edits_from_strangers(spark):
     assert np.mean([r.near_edited > r.near_next for r in found]) > 0.97
 
 
-def test_radius_search_finds_all(spark):
+def test_radius_search_finds_all(spark, monkeypatch):
     r = np.random.RandomState(4)
     base = r.randint(0, 256, (30, 16)).astype(np.uint8)
     rows = [*base, *base[:5]]
@@ -156,11 +192,46 @@ def test_radius_search_finds_all(spark):
             bits[r.choice(128, r.randint(1, 10), replace=False)] ^= 1
             rows.append(np.packbits(bits))
     prints = [bytes(x).hex() for x in rows]
-    found = near_classes(spark.createDataFrame([(p,) for p in prints], "fingerprint string"), radius=6, blocks=8).collect()
     distinct = sorted(set(prints))
     raw = [np.frombuffer(bytes.fromhex(p), np.uint8) for p in distinct]
-    want = {(distinct[i], distinct[j]) for i in range(len(raw)) for j in range(i + 1, len(raw)) if np.unpackbits(raw[i] ^ raw[j]).sum() <= 6}
-    assert {(x.a, x.b) for x in found} == want and len(found) == len(want)
+    for radius, blocks in ((6, 8), (3, 4), (0, 2)):
+        want = Counter()
+        for i in range(len(raw)):
+            for j in range(i):
+                if np.unpackbits(raw[i] ^ raw[j]).sum() <= radius:
+                    want[distinct[i]] += 1
+                    want[distinct[j]] += 1
+        df = spark.createDataFrame([(p,) for p in prints], "fingerprint string")
+        found = near_counts(df, radius, blocks).collect()
+        assert {x.fingerprint: x.n_near for x in found} == want and len(found) == len(want)
+        monkeypatch.setattr(fingerprint, "RUN", 3)  # long runs in parts
+        assert {x.fingerprint: x.n_near for x in near_counts(df, radius, blocks).collect()} == want
+        monkeypatch.undo()
+
+
+def test_search_of_odd_rows(odd, none):
+    rows = searched(odd).collect()
+    assert len(rows) == odd.count() and searched(none).collect() == []
+    prints = {r.fingerprint for r in rows}
+    bits = lambda p: np.unpackbits(np.frombuffer(bytes.fromhex(p), np.uint8))
+    for r in rows:
+        assert r.n_near == sum((bits(r.fingerprint) != bits(p)).sum() <= 6 for p in prints) - 1
+
+
+def test_bits_are_signs_of_votes():
+    text = "The quick brown fox jumps over the the lazy dog"
+    words = text.lower().split()
+    hashes = [int(x[0]) for x in words_of(words)]
+    votes = [0] * 128
+    terms = [(h, max(1, len(w) - 2)) for h, w in zip(hashes, words)]
+    mix = lambda x: int(mix64(np.array([x % 2**64], np.uint64))[0])
+    terms += [(mix(a * 3 + b), 6) for a, b in zip(hashes, hashes[1:])]
+    for h, weight in terms:
+        for half, x in enumerate((h, mix(h + 0x9E3779B97F4A7C15))):
+            for byte in range(8):
+                for bit in range(8):
+                    votes[64 * half + 8 * byte + bit] += weight if x >> (8 * byte + 7 - bit) & 1 else -weight
+    assert np.unpackbits(fingerprints([text])[0]).tolist() == [int(v > 0) for v in votes]
 
 
 def test_fingerprints_of_rows(odd):

@@ -6,16 +6,19 @@ word weighs by its length, as long words say more; a pair weighs ``PAIR``.
 
 The search permutes blocks of the bits: with more blocks than the radius, two
 fingerprints within it agree on some choice of (blocks - radius) whole blocks;
-a table for each choice, keyed by these blocks, finds every such pair. Equal
-fingerprints are one class, so copies never meet each other. Classes that
-share a key are few unless the radius is too wide for the corpus; a key's
-classes are dealt over ``SALT`` parts of which each meets each.
+a table for each choice, keyed by these blocks, brings every such pair
+together. Equal fingerprints are one class, so copies never meet each other. A
+pair counts in the first table that brings it together, and what comes out is
+each class's number of others in the radius, so no row stands for a pair. A
+key with more than ``RUN`` classes, as a family of near copies has, is dealt
+to parts, each of which meets each.
 
 Defined cases: null and empty texts, and texts without a word, have the
 fingerprint of no votes (all bits 0); equal texts have equal fingerprints;
 repeated ids are ordered by a hash of their text; a null id comes last; a
-table of one row is its own next document; other columns are ignored; an
-empty table gives no rows.
+table of one row is its own next document; a very long text votes in one piece,
+in memory that follows its length; other columns are ignored; an empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -29,11 +32,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, tidy, words_of, written
-from .token_files import _deflated
+from .common import few, mix64, tidy, words_of, written
+from .token_files import by_id
 from .tokens import GROUP_CHARS, in_groups
 
-BITS, PAIR, SALT = 128, 6, 4
+BITS, PAIR, RUN = 128, 6, 1024
+#: The search's radius, and the blocks of its tables.
+RADIUS, BLOCKS = 6, 8
 _SIGNS = (np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64) * 2 - 1)  # of a byte's bits
 
 
@@ -80,10 +85,8 @@ def with_next(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     kind = dict(docs.dtypes)["doc_id"]
-    order = [F.col("doc_id").desc_nulls_last(), F.col("text_key")]
-    ordered = _deflated(docs).repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    names = ["part", "role", "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "packed"]
-    schema = f"part int, role string, doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, packed binary"
+    names = ["part", "role", "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "text"]
+    schema = f"part int, role string, doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, text string"
 
     def rows(part, ids, texts):
         """Of all ``texts`` but the last, which is only the next of the one before it."""
@@ -92,21 +95,17 @@ def with_next(docs: DataFrame) -> DataFrame:
         sha = [hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in changed]
         hexed = lambda x: [bytes(r).hex() for r in x]
         k = len(changed)
-        return pa.RecordBatch.from_arrays([pa.array([part] * k, pa.int32()), pa.array(["row"] * k), ids, pa.array([len(t) for t in texts[:-1]], pa.int64()), pa.array(sha), pa.array(hexed(prints[:-1])), pa.array(hexed(other)), pa.array(likeness(prints[:-1], other)), pa.array(likeness(prints[:-1], prints[1:])), pa.nulls(k, pa.binary())], names=names)
+        return pa.RecordBatch.from_arrays([pa.array([part] * k, pa.int32()), pa.array(["row"] * k), ids, pa.array([len(t) for t in texts[:-1]], pa.int64()), pa.array(sha), pa.array(hexed(prints[:-1])), pa.array(hexed(other)), pa.array(likeness(prints[:-1], other)), pa.array(likeness(prints[:-1], prints[1:])), pa.nulls(k, pa.string())], names=names)
 
-    def edge(part, role, id_, packed):
-        return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([role]), id_, pa.nulls(1, pa.int64()), *[pa.nulls(1, pa.string())] * 3, *[pa.nulls(1, pa.float64())] * 2, pa.array([packed], pa.binary())], names=names)
+    def edge(part, role, id_, text):
+        return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([role]), id_, pa.nulls(1, pa.int64()), *[pa.nulls(1, pa.string())] * 3, *[pa.nulls(1, pa.float64())] * 2, pa.array([text], pa.string())], names=names)
 
     def run(batches):
-        import zstandard
-
-        unpack = zstandard.ZstdDecompressor().decompress
         part, held = TaskContext.get().partitionId(), None
         for b in batches:
-            packed = b.column(1).to_pylist()
-            texts = [unpack(t).decode("utf-8", "surrogatepass") for t in packed]
+            texts = b.column(1).to_pylist()
             if held is None and len(texts):
-                yield edge(part, "first", b.column(0).slice(0, 1), packed[0])
+                yield edge(part, "first", b.column(0).slice(0, 1), texts[0])
             for s in in_groups(texts, GROUP_CHARS):
                 mine, ids = texts[s], b.column(0).slice(s.start, s.stop - s.start)
                 if held is not None:
@@ -115,30 +114,25 @@ def with_next(docs: DataFrame) -> DataFrame:
                     yield rows(part, ids.slice(0, len(ids) - 1), mine)
                 held = ids.slice(len(ids) - 1, 1), mine[-1]
         if held is not None:
-            import zstandard
+            yield edge(part, "last", *held)
 
-            yield edge(part, "last", held[0], zstandard.ZstdCompressor(level=3).compress(held[1].encode("utf-8", "surrogatepass")))
-
-    done = written(ordered.select("doc_id", "packed").mapInArrow(tidy(run), schema), "fingerprints")
+    done = written(by_id(docs, parts, descending=True).mapInArrow(tidy(run), schema), "fingerprints")
     # Two rows for each range: the next range with rows is found by the ranges' numbers alone.
     firsts = [r["part"] for r in done.filter("role = 'first'").select("part").orderBy("part").collect()]
     following = {p: firsts[(i + 1) % len(firsts)] for i, p in enumerate(firsts)}
     if not firsts:
         return done.select(*names[2:-1])
     to = F.create_map(*(F.lit(x) for pair in following.items() for x in pair))
-    last = done.filter("role = 'last'").select(to[F.col("part")].alias("to"), "part", "doc_id", "packed")
-    first = done.filter("role = 'first'").select(F.col("part").alias("to"), F.col("packed").alias("next_packed"))
+    last = done.filter("role = 'last'").select(to[F.col("part")].alias("to"), "part", "doc_id", "text")
+    first = done.filter("role = 'first'").select(F.col("part").alias("to"), F.col("text").alias("next_text"))
 
     def join(batches):
-        import zstandard
-
-        unpack = zstandard.ZstdDecompressor().decompress
         for b in batches:
-            mine, after = ([unpack(t).decode("utf-8", "surrogatepass") for t in b.column(c).to_pylist()] for c in (2, 3))
+            mine, after = (b.column(c).to_pylist() for c in (2, 3))
             for i in range(len(mine)):
                 yield rows(b.column(0)[i].as_py(), b.column(1).slice(i, 1), [mine[i], after[i]])
 
-    ends = last.join(first, "to").select("part", "doc_id", "packed", "next_packed").mapInArrow(tidy(join), schema)
+    ends = last.join(first, "to").select("part", "doc_id", "text", "next_text").mapInArrow(tidy(join), schema)
     return done.filter("role = 'row'").unionByName(ends).select(*names[2:-1])
 
 
@@ -154,20 +148,74 @@ def printed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(tidy(run), f"doc_id {dict(docs.dtypes)['doc_id']}, fingerprint string")
 
 
-def near_classes(prints: DataFrame, radius: int = 6, blocks: int = 8) -> DataFrame:
-    """Pairs (a, b, distance) of different fingerprints (hex) at most ``radius`` bits apart, a < b, each once.
+def first_tables(radius: int, blocks: int) -> np.ndarray:
+    """The number of the first table whose blocks are all among the set bits, for each set of blocks; -1 if none is."""
+    chosen = [sum(1 << j for j in c) for c in combinations(range(blocks), blocks - radius)]
+    return np.array([next((t for t, c in enumerate(chosen) if agree & c == c), -1) for agree in range(1 << blocks)])
+
+
+def near_counts(prints: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
+    """fingerprint and n_near, the number of other fingerprints (hex) at most ``radius`` bits from it, where there are any.
 
     ``prints`` has a column fingerprint; its rows with equal ones are members of one class.
     """
-    if not radius < blocks <= BITS // 4 or (BITS // 4) % blocks:
-        raise ValueError("blocks must divide the fingerprint's hex digits and exceed the radius")
+    if not radius < blocks <= 8 or (BITS // 4) % blocks:
+        raise ValueError("blocks must divide the fingerprint's hex digits, be at most 8 and exceed the radius")
     width = BITS // 4 // blocks
     classes = written(prints.select("fingerprint").distinct(), "classes")
-    keys = [F.concat(F.lit(f"{i}:"), *(F.substring("fingerprint", j * width + 1, width) for j in chosen)) for i, chosen in enumerate(combinations(range(blocks), blocks - radius))]
-    table = classes.withColumn("part", F.pmod(F.xxhash64("fingerprint"), F.lit(SALT))).withColumn("key", F.explode(F.array(*keys)))
-    a = table.withColumn("other", F.explode(F.array(*(F.lit(i) for i in range(SALT))))).alias("a")
-    b = table.alias("b")
-    half = lambda c, at: F.conv(F.substring(c, at, 16), 16, -10).cast("long")
-    distance = sum(F.bit_count(half("a.fingerprint", at).bitwiseXOR(half("b.fingerprint", at))) for at in (1, 17))
-    met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.other") == F.col("b.part")) & (F.col("a.fingerprint") < F.col("b.fingerprint")) & (distance <= radius))
-    return met.select(F.col("a.fingerprint").alias("a"), F.col("b.fingerprint").alias("b"), distance.cast("int").alias("distance")).distinct()
+    keys = [F.concat(*(F.substring("fingerprint", j * width + 1, width) for j in chosen)) for chosen in combinations(range(blocks), blocks - radius)]
+    table = classes.select(F.unhex("fingerprint").alias("f"), F.posexplode(F.array(*(F.xxhash64(F.lit(t), k) for t, k in enumerate(keys)))).alias("t", "key"))
+    crowds = few(written(table.groupBy("key").agg(F.ceil(F.count("*") / RUN).cast("int").alias("parts")).filter("parts > 1"), "crowds"))
+    rows = table.join(crowds, "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("f"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    one, two = F.least("part", "other"), F.greatest("part", "other")
+    rows = rows.select(F.when(F.col("parts") > 1, F.xxhash64("key", one, two)).otherwise(F.col("key")).alias("place"), "t", "f", "part", (one != two).alias("across"))
+    first = first_tables(radius, blocks)
+    bits, each = BITS // blocks, np.uint64(2 ** (BITS // blocks) - 1)
+
+    def counted(t, f, part, across):
+        """How many partners each of the rows of one place has; f is (rows, 2) in big-endian halves."""
+        n = np.zeros(len(t), np.int64)
+        for i in range(len(t) - 1):
+            x = f[i + 1 :] ^ f[i]
+            near = (np.bitwise_count(x).sum(1) <= radius) & (t[i + 1 :] == t[i]) & (~across[i] | (part[i + 1 :] != part[i]))
+            if near.any():
+                agree = sum(((x[:, (k * bits) // 64] >> np.uint64(64 - bits - (k * bits) % 64)) & each == 0).astype(np.int64) << k for k in range(blocks))
+                near &= first[agree] == t[i]
+                n[i] += near.sum()
+                n[i + 1 :] += near
+        return n
+
+    def run(batches):
+        held = None
+        names = ["f", "n"]
+
+        def emit(place, t, f, part, across):
+            edges = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1], [True]]))
+            for s, e in zip(edges[:-1][np.diff(edges) > 1], edges[1:][np.diff(edges) > 1]):
+                n = counted(t[s:e], f[s:e], part[s:e], across[s:e])
+                some = np.flatnonzero(n)
+                if len(some):
+                    yield pa.RecordBatch.from_arrays([pa.array([f[s + k].astype(">u8").tobytes() for k in some], pa.binary()), pa.array(n[some])], names=names)
+
+        for b in batches:
+            f = np.frombuffer(b"".join(b.column(2).to_pylist()), ">u8").reshape(-1, 2).astype(np.uint64)
+            mine = [b.column(0).to_numpy(), b.column(1).to_numpy(), f, b.column(3).to_numpy(), b.column(4).to_numpy(zero_copy_only=False).astype(bool)]
+            if held is not None:
+                mine = [np.concatenate(x) for x in zip(held, mine)]
+            if len(mine[0]):
+                last = int(np.searchsorted(mine[0], mine[0][-1]))  # the last place may go on in the next batch
+                yield from emit(*(x[:last] for x in mine))
+                held = [x[last:] for x in mine]
+        if held is not None:
+            yield from emit(*held)
+
+    met = rows.repartition("place").sortWithinPartitions("place").mapInArrow(tidy(run), "f binary, n long")
+    return met.groupBy("f").agg(F.sum("n").alias("n_near")).select(F.lower(F.hex("f")).alias("fingerprint"), "n_near")
+
+
+def searched(docs: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
+    """``with_next`` and n_near: how many other fingerprints of the table are within the radius of the row's own."""
+    rows = written(with_next(docs), "prints")
+    near = few(written(near_counts(rows, radius, blocks), "near"))
+    return rows.join(near, "fingerprint", "left").withColumn("n_near", F.coalesce("n_near", F.lit(0).cast("long"))).select(*rows.columns, "n_near")

@@ -19,9 +19,9 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .fingerprint import with_next
+    from .fingerprint import searched
 
-    return with_next(_table(spark, sf_dir, "documents"))
+    return searched(_table(spark, sf_dir, "documents"))
 
 
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

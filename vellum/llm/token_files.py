@@ -7,8 +7,10 @@ is written again. Rows of a file are in order, files are in the order of their
 shards. The sum of each shard's ids gives its place in the whole.
 
 Defined cases: null and empty texts hold the end id alone; a null doc_id comes
-first; rows of one doc_id are ordered by a hash of their text; other columns
-are ignored; an empty table gives empty files.
+first; rows of one doc_id are ordered by a hash of their text, repeated rows in
+any order; a very long text is one frame, in memory that follows its length;
+texts below a block's 128 ids are stored as they are packed, without an index;
+other columns are ignored; an empty table gives empty files.
 """
 
 from __future__ import annotations
@@ -25,22 +27,14 @@ from . import pfor
 from .common import new_path, tidy
 from .tokens import encoder, in_groups
 
-SHARD_BYTES = 64 << 20
 
-
-def _deflated(docs: DataFrame) -> DataFrame:
-    """doc_id, text_key and the compressed text, which is what the shuffle carries."""
-
-    def run(batches):
-        import zstandard
-
-        pack = zstandard.ZstdCompressor(level=3).compress
-        for b in batches:
-            texts = [pack((t or "").encode("utf-8", "surrogatepass")) for t in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.binary())], names=["doc_id", "text_key", "packed"])
-
-    kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInArrow(tidy(run), f"doc_id {kind}, text_key long, packed binary")
+def by_id(docs: DataFrame, parts: int, descending: bool = False) -> DataFrame:
+    """doc_id and text (null: empty) in ``parts`` ranges of doc_id, null last in descending and first in ascending
+    order; rows of one id stand by a hash of their text, like rows are dealt by where they come from."""
+    order = F.col("doc_id").desc_nulls_last() if descending else F.col("doc_id").asc_nulls_first()
+    text = F.coalesce("text", F.lit("")).alias("text")
+    keyed = docs.select("doc_id", text, F.xxhash64("text").alias("key"), F.monotonically_increasing_id().alias("place"))
+    return keyed.repartitionByRange(parts, order, "key", "place").sortWithinPartitions(order, "key", "place").select("doc_id", "text")
 
 
 def write_tokens(docs: DataFrame, tokenizer_path: str, path: str, end_id: int = 0, shards: int | None = None, memory: int = 400_000) -> None:
@@ -50,13 +44,10 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, path: str, end_id: int =
     kind = dict(docs.dtypes)["doc_id"]
 
     def run(batches):
-        import zstandard
-
-        unpack = zstandard.ZstdDecompressor().decompress
         enc, end = encoder(tokenizer_path, memory), np.array([end_id], "<u4").tobytes()
         shard, ordinal, start = TaskContext.get().partitionId(), 0, 0
         for b in batches:
-            texts = [unpack(t).decode("utf-8", "surrogatepass") for t in b.column(1).to_pylist()]
+            texts = b.column(1).to_pylist()
             for part in in_groups(texts):
                 ids = [np.frombuffer(raw + end, "<u4") for raw in enc.encode(texts[part])]
                 sizes = np.array([len(x) for x in ids], np.int64)
@@ -65,8 +56,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, path: str, end_id: int =
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(k, shard, np.int32)), pa.array(np.arange(ordinal, ordinal + k)), b.column(0).slice(part.start, k), pa.array(starts), pa.array(sizes), pa.array(pfor.encode(ids), pa.binary())], names=["shard", "ordinal", "doc_id", "start", "n_tokens", "frame"])
                 ordinal, start = ordinal + k, start + int(sizes.sum())
 
-    ordered = _deflated(docs).repartitionByRange(shards, F.col("doc_id").asc_nulls_first(), "text_key").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text_key")
-    frames = ordered.select("doc_id", "packed").mapInArrow(tidy(run), f"shard int, ordinal long, doc_id {kind}, start long, n_tokens long, frame binary")
+    frames = by_id(docs, shards).mapInArrow(tidy(run), f"shard int, ordinal long, doc_id {kind}, start long, n_tokens long, frame binary")
     frames.write.option("compression", "none").parquet(path)
 
 
