@@ -94,17 +94,16 @@ def escape_cell(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", C.escape(F.col("text"), cell=True).alias("escaped"))
 
 
+@query("SELECT doc_id, replace(replace(text, '|', '\\|'), chr(10), '<br>') AS escaped FROM documents")
+def escape_table_cell(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", C.escape_cell(F.col("text")).alias("escaped"))
+
+
 @query(f"SELECT page_id, {s_squeeze('html')} AS squeezed FROM pages")
 def squeeze(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", C.squeeze(F.col("html")).alias("squeezed"))
 
 
-@query("SELECT doc_id, text AS plain, length(text)::INT AS n FROM (SELECT doc_id, replace(text, chr(10), ' ') AS text FROM documents)")
-def to_plain(spark, sf_dir):
-    said = F.replace("text", F.lit("\n"), F.lit(" "))
-    return table(spark, sf_dir, "documents").select("doc_id", said.alias("plain"), F.length(said).alias("n"))
-
-
 # names and types
 
 @query("""SELECT page_id, CASE WHEN regexp_matches(u, '[ ()]') THEN '<' || regexp_replace(u, '[<>]', '', 'g') || '>' ELSE u END AS target FROM (SELECT page_id, trim(url || ' (' || page_id || ')') AS u FROM pages)""")

@@ -11,7 +11,7 @@ from .catalog_formats import built, listed, said
 from .functions import columns as C
 from .operators import frames
 from .plans.engine import DocumentEngine, as_json, available_formats
-from .plans.model import Document, Metadata, code, emphasis, heading, link, paragraph, raw, strong, text
+from .plans.model import ConvertError, Document, Metadata, code, emphasis, heading, link, paragraph, raw, strong, text
 from .plans.model import table as table_block
 from .sources import samples as S
 
@@ -346,6 +346,27 @@ def template_functions(spark, sf_dir):
     return DocumentEngine(options).render(rows).select("n_nationkey", "markdown")
 
 
+@query("SELECT n_nationkey::INT AS n_nationkey, " + said("first {key}\nsecond\n") + " AS markdown, 'truncated: output truncated at 24 bytes (max_output_bytes)' AS warnings FROM nation")
+def template_capped(spark, sf_dir):
+    """What a document's template makes is cut behind a whole line."""
+    options = {"templates": {"document": "first {{ body | trim }}\nsecond\na third that is too long"}, "limits": {"max_output_bytes": 24}}
+    out = DocumentEngine(options).convert(built(spark, sf_dir, "a.txt", lambda n, k: str(k)))
+    return out.select("n_nationkey", "markdown", listed("warnings").alias("warnings"))
+
+
+@query(_values([("unclosed", "template"), ("unknown filter", "template"), ("unknown block", "template"), ("include", "template"), ("unknown option", "invalid_input"), ("unknown format", "invalid_input")], "kind, code"))
+def option_errors(spark, sf_dir):
+    """Engines that can't be made, and why."""
+    given = [("unclosed", {"templates": {"document": "{% for x in y %}"}}), ("unknown filter", {"templates": {"document": "{{ x | nope }}"}}), ("unknown block", {"templates": {"blocks": {"raw": "x"}}}), ("include", {"templates": {"document": "{% include 'x' %}"}}), ("unknown option", {"limits": {"max_rows": 1}}), ("unknown format", {"enable": ["nope"]})]
+    rows = []
+    for kind, options in given:
+        try:
+            DocumentEngine(options)
+        except ConvertError as e:
+            rows.append((kind, e.code))
+    return spark.createDataFrame(rows, "kind string, code string")
+
+
 # limits and failures
 
 def _bomb(n: str, k: int) -> bytes:
@@ -371,6 +392,8 @@ FAILURES = [
     ("output", "a.txt", lambda n, k: "\n\n".join(["word"] * 9), {"max_output_bytes": 20}, None, None, "word\n\nword\n\nword\n", "truncated: output truncated at 20 bytes (max_output_bytes)"),
     ("unsupported", "a.bin", lambda n, k: b"\0\1\2", {}, "unsupported", "unsupported format (tried: application/octet-stream/.bin, .bin)", None, ""),
     ("malformed", "a.docx", lambda n, k: S.zipped({"word/x": "y"}), {}, "malformed", "malformed docx: no word/document.xml", None, ""),
+    ("encrypted", "a.xls", lambda n, k: S.compound({"EncryptedPackage": b"x"}), {}, "encrypted", "spreadsheet is encrypted", None, ""),
+    ("no words", "a.pdf", lambda n, k: "%PDF-1.4 nothing", {}, None, None, "%PDF-1.4 nothing\n", ""),
     ("null file", "a.txt", lambda n, k: "", {}, None, None, "", ""),
 ]
 

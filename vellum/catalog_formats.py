@@ -168,3 +168,7 @@ format_query("convert_png", ".png", lambda n, k: S.PNG, "*[image: {low}.png]*\n"
 format_query("convert_wav", ".wav", sound, "\\[audio: no transcript\\]\n", "audio", "content", title="{low}.wav", extra="duration={seconds}s;sample_rate=8000 Hz;bitrate=64 kbps", noted="degraded: audio converted from metadata only; enable llm.enrich.audio for a transcript\ntype_mismatch: declared audio/wav, content looks like audio/x-wav")
 format_query("convert_pdf", ".pdf", pdf, "## {name}\n\nIts number is {key}, which is a word too long for the line.\n\n## 1\\.2 Numbered part\n\nText below it.\n", "pdf", "content", title="{low}.pdf", extra="pdf_scanned_pages=2;pdf_page_count=3", blocks=4, noted=f"heuristic_applied: {LAYER}\nno_text_layer: no text on page 2")
 format_query("convert_pdf_fonts", ".pdf", fonts, "Größe von {key}: Ω, und mehr “das” ist alles.\n", "pdf", "content", title="{low}.pdf", noted=f"heuristic_applied: {LAYER}")
+
+SCANNED = ", ".join(map(str, range(1, 13)))
+format_query("convert_pdf_info", ".pdf", lambda n, k: S.pdf(["Words of a page."], info={"Title": f"About \\(no\\) {k}", "Author": f"Ä {n}", "CreationDate": "D:2024"}), "Words of a page.\n", "pdf", "content", title="About (no) {key}", author="Ä {name}", created="D:2024", noted=f"heuristic_applied: {LAYER}")
+format_query("convert_scanned_pdf", ".pdf", lambda n, k: S.pdf(*[[]] * 14), "", "pdf", "content", title="{low}.pdf", extra="pdf_scanned_pages=" + ",".join(map(str, range(1, 15))) + ";pdf_page_count=14", blocks=0, noted=f"no_text_layer: no text on page {SCANNED}, … and 2 more")

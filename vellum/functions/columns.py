@@ -28,6 +28,11 @@ def escape(c: Column, cell: bool = False) -> Column:
     return F.replace(F.replace(c, F.lit("\r"), F.lit("")), F.lit("\n"), F.lit("<br>" if cell else " "))
 
 
+def escape_cell(c: Column) -> Column:
+    """A cell's own Markdown, kept in its cell."""
+    return F.regexp_replace(F.replace(c, F.lit("|"), F.lit("\\|")), r"\r\n?|\n", "<br>")
+
+
 def escape_url(c: Column) -> Column:
     c = trim(c)
     return F.when(c.rlike("[ ()]"), F.concat(F.lit("<"), F.regexp_replace(c, "[<>]", ""), F.lit(">"))).otherwise(c)

@@ -156,13 +156,18 @@ def xlsb(sheets: dict[str, list[list[Cell]]], date_columns: tuple[int, ...] = ()
     })
 
 
-def pdf(*pages: list[str]) -> bytes:
+def pdf(*pages: list[str], info: dict[str, str] | None = None) -> bytes:
     objects = ["<< /Type /Catalog /Pages 2 0 R >>", f"<< /Type /Pages /Kids [{' '.join(f'{3 + 2 * i} 0 R' for i in range(len(pages)))}] /Count {len(pages)} >>"]
     for i, lines in enumerate(pages):
         content = "BT /F1 12 Tf 72 720 Td" + "".join((" 0 -18 Td" if k else "") + f" ({line}) Tj" for k, line in enumerate(lines)) + " ET" if lines else ""
         objects += [f"<< /Type /Page /Parent 2 0 R /Contents {4 + 2 * i} 0 R >>", f"<< /Length {len(content)} >>\nstream\n{content}\nendstream"]
+    about = ""
+    if info:  # the first value as a literal string, others in UTF-16
+        said = [f"({v})" if k == 0 else f"<FEFF{v.encode('utf-16-be').hex()}>" for k, v in enumerate(info.values())]
+        objects.append("<< " + " ".join(f"/{k} {v}" for k, v in zip(info, said)) + " >>")
+        about = f" /Info {len(objects)} 0 R"
     body = "".join(f"{i} 0 obj\n{o}\nendobj\n" for i, o in enumerate(objects, 1))
-    return f"%PDF-1.4\n{body}trailer\n<< /Size {len(objects) + 1} /Root 1 0 R >>\n%%EOF\n".encode()
+    return f"%PDF-1.4\n{body}trailer\n<< /Size {len(objects) + 1} /Root 1 0 R{about} >>\n%%EOF\n".encode()
 
 
 def pdf_with_fonts(mapped: str, differing: str) -> bytes:
