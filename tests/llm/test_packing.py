@@ -118,3 +118,10 @@ def test_plan_against_bins_one_by_one():
         lengths = r.randint(1, capacity + 1, r.randint(1, 40)).tolist()
         plan = best_two_fit(Counter(lengths), capacity)
         assert sorted(sum(b) for n, b in plan for _ in range(n)) == plain_two_fit(lengths, capacity)
+
+
+def test_one_row_for_a_third_of_the_table(spark):
+    one = spark.range(40000).selectExpr("CAST(NULL AS LONG) AS doc_id", "CAST(NULL AS STRING) AS text", "1 AS length", "'x' AS _g", "id AS _deal", "2 AS _r")
+    rows = pack_documents(one, PATH, 100)
+    assert rows.count() == 40000 and rows.select("sequence_id").distinct().count() == 400
+    assert rows.groupBy("sequence_id").agg({"offset": "max"}).filter("`max(offset)` != 99").count() == 0

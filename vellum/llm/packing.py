@@ -9,8 +9,9 @@ repeated while the counts last. Pieces then find their places by their rank
 among the pieces of equal length.
 
 Defined cases: null and empty texts are one piece that holds the end id alone;
-repeated rows and repeated ids are packed each for itself; extra columns of
-the input are ignored (only ``doc_id`` and ``text`` are read); an empty table
+repeated rows and repeated ids are packed each for itself, pieces of one length
+in any order; a very long text is encoded in one piece, in memory that follows
+its length; extra columns of the input are ignored (only ``doc_id`` and ``text`` are read); an empty table
 gives an empty result. Only documents longer than the capacity are cut, and
 sequences carry no token twice.
 """
@@ -135,13 +136,16 @@ def _slots(plan: list[tuple[int, list[int]]]) -> dict[str, np.ndarray]:
 def pack(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
     """``pieces`` (a stored table with a column ``length`` from 1 to ``capacity``) with sequence_id and offset.
 
+    A column ``_deal``, where there is one, tells apart pieces that are alike.
+
     The driver holds the histogram and the plan: both are bounded by the capacity.
     """
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     slots = _slots(best_two_fit(counts, capacity))
     groups = max(1, sum(counts.values()) // RANKED_TOGETHER)
     order = [c for c in ("doc_id", "piece", "ids_crc32") if c in pieces.columns]
-    dealt = pieces.withColumn("_g", F.pmod(F.xxhash64(*order), F.lit(groups)))
+    deal = F.col("_deal") if "_deal" in pieces.columns else F.struct(*order)
+    dealt = pieces.withColumn("_g", F.pmod(F.xxhash64(deal), F.lit(groups)))
     within = Window.partitionBy("length", "_g").orderBy(*order)
     sizes = dealt.groupBy("length", "_g").agg(F.count("*").alias("_n"))
     before = sizes.withColumn("_before", F.sum("_n").over(Window.partitionBy("length").orderBy("_g")) - F.col("_n")).drop("_n")
@@ -163,6 +167,7 @@ def pack(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, with_ids: bool = False, memory: int = 150_000) -> DataFrame:
     """Pieces of all documents with their sequences: doc_id, piece, start, length, ids_crc32, (ids,) sequence_id, offset."""
-    pieces = written(tokenized_pieces(docs, tokenizer_path, capacity, end_id, with_ids, memory), "pieces")
+    # A number of its own for each piece deals out even pieces that are alike.
+    pieces = written(tokenized_pieces(docs, tokenizer_path, capacity, end_id, with_ids, memory).withColumn("_deal", F.monotonically_increasing_id()), "pieces")
     columns = ["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids]
     return pack(pieces, capacity).select(*columns, "sequence_id", "offset")
