@@ -12,17 +12,21 @@ ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&ap
 NUMBER = r"(?i)^[+-]?(inf|infinity|nan|([0-9]+\.?[0-9]*|\.[0-9]+)(e[+-]?[0-9]+)?)$"
 
 
+#: White space as Unicode has it.
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def trim(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.trim(c, F.lit(WHITE))
 
 
 def squeeze(c: Column) -> Column:
-    return F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
+    return F.trim(F.regexp_replace(c, f"[{WHITE}]+", " "))
 
 
 def escape(c: Column, cell: bool = False) -> Column:
     c = F.regexp_replace(c, r"[\\`*\[\]<>|]", r"\\$0")
-    c = F.regexp_replace(c, r"(?<![\p{IsAlphabetic}\p{N}])_|_(?![\p{IsAlphabetic}\p{N}])", r"\\_")
+    c = F.regexp_replace(c, r"_(?:(?<![\p{IsAlphabetic}\p{N}]_)|(?![\p{IsAlphabetic}\p{N}]))", r"\\_")
     c = F.regexp_replace(c, r"^[#+\-]", r"\\$0")
     c = F.regexp_replace(c, r"^([0-9]+)\.", r"$1\\.")
     return F.replace(F.replace(c, F.lit("\r"), F.lit("")), F.lit("\n"), F.lit("<br>" if cell else " "))
@@ -103,7 +107,7 @@ def safe_name(c: Column) -> Column:
 def heading_level(c: Column) -> Column:
     c = trim(c)
     number = F.regexp_extract(c, r"^([0-9.)]*[0-9][0-9.)]*) .*\S", 1)
-    fits = F.octet_length(c).between(3, 80) & ~c.rlike(r"[.,;:]$") & (F.size(F.split(c, r"(?U)\s+")) <= 12) & c.rlike(r"\p{IsAlphabetic}")
+    fits = F.octet_length(c).between(3, 80) & ~c.rlike(r"[.,;:]$") & (F.size(F.split(c, f"[{WHITE}]+")) <= 12) & c.rlike(r"\p{IsAlphabetic}")
     dots = F.length(number) - F.length(F.replace(number, F.lit("."), F.lit("")))
     return F.when(~fits, None).when(number != "", F.least(F.lit(4), dots) + 1).when(~c.rlike(r"[\p{IsAlphabetic}&&[^\p{Lu}]]"), 2)
 
