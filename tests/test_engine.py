@@ -241,3 +241,30 @@ def test_callers_context():
     cx.budget.expanded = cx.limits.max_expanded_bytes
     with pytest.raises(ConvertError, match="max_expanded_bytes"):
         engine.convert_one(S.docx(S.para(S.run("x"))), Hints.of(filename="a.docx"), cx=cx)
+
+
+@pytest.mark.parametrize(
+    ("source", "want"),
+    [
+        ("{{ 1 + 2 * 3 - 4 // 2 }} {{ 7 / 2 }} {{ 7 % 4 }} {{ -2 ** 2 }}", "5 3.5 3 -4"),
+        ("{{ 'a' ~ 1 ~ none }} {{ 'x' if 1 > 2 else 'y' }} {{ 'b' in ['a', 'b'] }} {{ 3 not in [1] }}", "a1 y true true"),
+        ("{{ nope is defined }} {{ nope is not defined }} {{ 3 is odd and not false or 0 }}", "false true true"),
+        ("{% for k, v in d | items %}{{ k }}={{ v }};{% else %}none{% endfor %}{% for x in [] %}{% else %}empty{% endfor %}", "a=1;b=2;empty"),
+        ("{% set n = l | length + 1 %}{{ n }} {{ l[1:] | join('/') }} {{ l[-1] }} {{ l | reverse | first }}", "4 y/z z z"),
+        ("a {%- if true -%} b {%- endif -%} c {{- 'd' -}} e {#- no -#} f", "abcdef"),
+        ("{% raw %}{{ x }}{% endraw %} {{ 'it\\'s' | replace('s', 'S') | title }} {{ 'a\nb' | indent(2) | lines | length }}", "{{ x }} It'S 2"),
+        ("{{ [3, 1, 3] | unique | sort | tojson }} {{ '4.6' | float | round | int }} {{ [1, 2] | sum }}", "[1, 3] 5 3"),
+    ],
+)
+def test_template_language(source, want):
+    from vellum.operators.template import compiled
+
+    assert compiled(source)({"d": {"a": 1, "b": 2}, "l": ["x", "y", "z"]}) == want
+
+
+def test_templates_are_bounded():
+    from vellum.operators.template import compiled
+
+    for bad in ("{{ 'x' * 9999999999 }}", "{{ range(99999999) }}", "{{ 9 ** 99999 }}", "{{ 1 + 'a' }}", "{{ [1] * 9999999 * 9 }}"):
+        with pytest.raises(ConvertError):
+            compiled(bad)({})

@@ -1,11 +1,14 @@
-"""A small template language: ``{{ path | filter }}``, ``{% for %}``, ``{% if %}``, ``range`` and ``gfm_table``.
+"""A small template language: ``{{ expression | filter }}``, ``{% for %}``, ``{% if %}``, ``{% set %}``, ``{% raw %}``.
 
-Values are dictionaries, lists, strings, numbers and truth values; nothing
-else can be reached, and nothing is loaded.
+Expressions have arithmetic, comparisons, ``and``, ``or``, ``not``, ``in``, ``~`` (joins strings), tests (``is defined``),
+``x if y else z``, lists, slices, filters and the functions ``range`` and ``gfm_table``. A minus at the edge of a tag takes
+the white space beside it. Values are dictionaries, lists, strings, numbers and truth values; nothing else can be
+reached, and nothing is loaded.
 """
 
 from __future__ import annotations
 
+import json
 import re
 
 from ..plans.model import ConvertError, Document, Hints, plain
@@ -13,9 +16,42 @@ from ..plans.model import table as make_table
 from .render import Renderer, finished
 
 KNOWN_BLOCKS = ("heading", "paragraph", "list", "table", "code", "quote", "image", "rule", "embedded")
-_PART = re.compile(r"\{\{-?(.*?)-?\}\}|\{%-?(.*?)-?%\}|\{#.*?#\}", re.S)
-_TOKEN = re.compile(r"\s*(?:(\d+)|\"([^\"]*)\"|'([^']*)'|([A-Za-z_]\w*)|(==|!=|[.\[\]()|,]))")
-_FILTERS = {"length": len, "upper": lambda x: str(x).upper(), "lower": lambda x: str(x).lower(), "trim": lambda x: str(x).strip(), "first": lambda x: x[0] if x else "", "last": lambda x: x[-1] if x else ""}
+_PART = re.compile(r"(\{%-?\s*raw\s*-?%\})(.*?)\{%-?\s*endraw\s*-?%\}|\{\{(-?)(.*?)(-?)\}\}|\{%(-?)(.*?)(-?)%\}|\{#(-?).*?(-?)#\}", re.S)
+_TOKEN = re.compile(r"\s*(?:(\d+(?:\.\d+)?)|\"((?:[^\"\\]|\\.)*)\"|'((?:[^'\\]|\\.)*)'|([A-Za-z_]\w*)|(==|!=|<=|>=|//|\*\*|[<>.\[\]()|,~+*/%:-]))")
+_LEVELS = (("==", "!=", "<", "<=", ">", ">="), ("~",), ("+", "-"), ("*", "/", "//", "%"))
+_OPERATORS = {
+    "==": lambda a, b: a == b, "!=": lambda a, b: a != b, "<": lambda a, b: a < b, "<=": lambda a, b: a <= b, ">": lambda a, b: a > b, ">=": lambda a, b: a >= b,
+    "~": lambda a, b: _said(a) + _said(b), "+": lambda a, b: a + b, "-": lambda a, b: a - b, "*": lambda a, b: _times(a, b), "/": lambda a, b: a / b, "//": lambda a, b: a // b,
+    "%": lambda a, b: a % b if not isinstance(a, str) else _fail("% needs numbers"), "**": lambda a, b: a**b if abs(b) < 64 and abs(a) < 1 << 32 else _fail("a power is too large"),
+}
+#: What a template may make of a sequence or a string by repeating it.
+_MOST = 1 << 20
+_FILTERS = {
+    "length": lambda x: len(x or ""), "count": lambda x: len(x or ""), "upper": lambda x: _said(x).upper(), "lower": lambda x: _said(x).lower(), "title": lambda x: _said(x).title(),
+    "capitalize": lambda x: _said(x).capitalize(), "trim": lambda x, c=None: _said(x).strip(c), "first": lambda x: x[0] if x else None, "last": lambda x: x[-1] if x else None,
+    "join": lambda x, by="": by.join(_said(i) for i in x or []), "replace": lambda x, a, b: _said(x).replace(a, b), "reverse": lambda x: x[::-1], "list": lambda x: list(x or []),
+    "items": lambda x: [[k, v] for k, v in (x or {}).items()], "sort": lambda x: sorted(x or []), "unique": lambda x: list(dict.fromkeys(x or [])), "min": lambda x: min(x, default=None),
+    "max": lambda x: max(x, default=None), "sum": lambda x: sum(x or []), "int": lambda x: int(float(x or 0)), "float": lambda x: float(x or 0), "abs": abs, "round": lambda x, n=0: round(float(x), n),
+    "string": lambda x: _said(x), "lines": lambda x: _said(x).splitlines(), "split": lambda x, by=None: _said(x).split(by), "bool": bool, "tojson": lambda x: json.dumps(x, ensure_ascii=False),
+    "indent": lambda x, n=4, first=False: (" " * n if first else "") + _said(x).replace("\n", "\n" + " " * n), "default": lambda x, other="": other if x in (None, "") else x,
+}
+_FILTERS["d"] = _FILTERS["default"]
+_TESTS = {
+    "defined": lambda x: x is not None, "undefined": lambda x: x is None, "none": lambda x: x is None, "string": lambda x: isinstance(x, str), "mapping": lambda x: isinstance(x, dict),
+    "number": lambda x: isinstance(x, (int, float)) and not isinstance(x, bool), "sequence": lambda x: isinstance(x, list), "odd": lambda x: x % 2 == 1, "even": lambda x: x % 2 == 0, "true": lambda x: x is True, "false": lambda x: x is False,
+}
+
+
+def _fail(why: str):
+    raise _bad(why)
+
+
+def _times(a, b):
+    if isinstance(a, (str, list)) or isinstance(b, (str, list)):
+        n, m = (b, len(a)) if isinstance(a, (str, list)) else (a, len(b))
+        if n * m > _MOST:
+            _fail("a repeated value is too long")
+    return a * b
 
 
 def _bad(why: str) -> ConvertError:
@@ -31,9 +67,9 @@ class _Expression:
                 raise _bad(f"cannot read {source!r}")
             at = m.end()
             kind = next(i for i in range(1, 6) if m[i] is not None)
-            self.tokens.append((kind, m[kind]))
+            self.tokens.append((kind, m[kind] if kind not in (2, 3) else re.sub(r"\\(.)", lambda x: {"n": "\n", "t": "\t"}.get(x[1], x[1]), m[kind])))
         self.at = 0
-        self.run = self._compare()
+        self.run = self._choice()
         if self.at < len(self.tokens):
             raise _bad(f"cannot read {source!r}")
 
@@ -43,27 +79,80 @@ class _Expression:
             return self.tokens[self.at - 1][1]
         return None
 
+    def _word(self, *wanted: str) -> str | None:
+        if self.at < len(self.tokens) and self.tokens[self.at][0] == 4 and self.tokens[self.at][1] in wanted:
+            self.at += 1
+            return self.tokens[self.at - 1][1]
+        return None
+
     def _need(self, mark: str) -> None:
         if not self._take(mark):
             raise _bad(f"{mark} expected")
 
-    def _compare(self):
-        negate = self.at < len(self.tokens) and self.tokens[self.at] == (4, "not")
-        self.at += negate
-        a = self._filtered()
-        op = self._take("==", "!=")
-        if op:
-            b = self._filtered()
-            return lambda v, o=op: (a(v) == b(v)) == (o == "==") != negate
-        return (lambda v: not a(v)) if negate else a
-
-    def _arguments(self) -> list:
+    def _choice(self):
+        value = self._either()
+        if not self._word("if"):
+            return value
+        test = self._either()
+        other = self._choice() if self._word("else") else lambda v: None
+        return lambda v: value(v) if test(v) else other(v)
+
+    def _either(self):
+        value = self._both()
+        while self._word("or"):
+            value = lambda v, a=value, b=self._both(): a(v) or b(v)
+        return value
+
+    def _both(self):
+        value = self._not()
+        while self._word("and"):
+            value = lambda v, a=value, b=self._not(): a(v) and b(v)
+        return value
+
+    def _not(self):
+        if self._word("not"):
+            value = self._not()
+            return lambda v: not value(v)
+        value = self._level(0)
+        while word := self._word("in", "is", "not"):
+            negate = word == "not" or word == "is" and bool(self._word("not"))
+            if word == "is":
+                kind, name = self.tokens[self.at] if self.at < len(self.tokens) else (0, "")
+                self.at += 1
+                if kind != 4 or name not in _TESTS:
+                    raise _bad(f"unknown test {name}")
+                value = lambda v, f=value, t=_TESTS[name], n=negate: t(f(v)) != n
+            else:
+                if negate and not self._word("in"):
+                    raise _bad("in expected")
+                value = lambda v, a=value, b=self._level(0), n=negate: (a(v) in (b(v) or [])) != n
+        return value
+
+    def _level(self, level: int):
+        if level == len(_LEVELS):
+            return self._signed()
+        value = self._level(level + 1)
+        while op := self._take(*_LEVELS[level]):
+            value = lambda v, a=value, b=self._level(level + 1), f=_OPERATORS[op]: f(a(v), b(v))
+        return value
+
+    def _signed(self):
+        if self._take("-"):
+            value = self._signed()
+            return lambda v: -value(v)
+        value = self._filtered()
+        if self._take("**"):
+            power = self._signed()
+            return lambda v: _OPERATORS["**"](value(v), power(v))
+        return value
+
+    def _arguments(self, end: str = ")") -> list:
         out = []
-        if not self._take(")"):
-            out.append(self._compare())
+        if not self._take(end):
+            out.append(self._choice())
             while self._take(","):
-                out.append(self._compare())
-            self._need(")")
+                out.append(self._choice())
+            self._need(end)
         return out
 
     def _filtered(self):
@@ -72,41 +161,39 @@ class _Expression:
             kind, name = self.tokens[self.at] if self.at < len(self.tokens) else (0, "")
             self.at += 1
             args = self._arguments() if self._take("(") else []
-            if name == "default":
-                value = lambda v, f=value, a=args: f(v) if f(v) not in (None, "") else a[0](v) if a else ""
-            elif name == "join":
-                value = lambda v, f=value, a=args: (str(a[0](v)) if a else "").join(map(str, f(v) or []))
-            elif kind == 4 and name in _FILTERS:
-                value = lambda v, f=value, g=_FILTERS[name]: g(f(v) if f(v) is not None else "")
-            else:
+            if kind != 4 or name not in _FILTERS:
                 raise _bad(f"unknown filter {name}")
+            value = lambda v, f=value, g=_FILTERS[name], a=args: g(f(v), *(x(v) for x in a))
         return value
 
     def _value(self):
-        if self._take("("):
-            inside = self._compare()
-            self._need(")")
-            return inside
         if self.at >= len(self.tokens):
             raise _bad("a value is missing")
-        kind, said = self.tokens[self.at]
-        self.at += 1
-        if kind == 1:
-            value = lambda v, n=int(said): n
-        elif kind in (2, 3):
-            value = lambda v, s=said: s
-        elif kind == 4 and self._take("("):
-            args = self._arguments()
-            if said == "range":
-                value = lambda v: list(range(*(int(a(v)) for a in args)))
-            elif said == "gfm_table":
-                value = lambda v: gfm_table(args[0](v))
-            else:
-                raise _bad(f"unknown function {said}")
-        elif kind == 4:
-            value = lambda v, k=said: v.get(k) if k not in ("true", "false") else k == "true"
+        if self._take("("):
+            value = self._choice()
+            self._need(")")
+        elif self._take("["):
+            items = self._arguments("]")
+            value = lambda v: [i(v) for i in items]
         else:
-            raise _bad(f"unexpected {said}")
+            kind, said = self.tokens[self.at]
+            self.at += 1
+            if kind == 1:
+                value = lambda v, n=float(said) if "." in said else int(said): n
+            elif kind in (2, 3):
+                value = lambda v, s=said: s
+            elif kind == 4 and self._take("("):
+                args = self._arguments()
+                if said == "range":
+                    value = lambda v: _range(*(int(a(v)) for a in args))
+                elif said == "gfm_table":
+                    value = lambda v: gfm_table(args[0](v))
+                else:
+                    raise _bad(f"unknown function {said}")
+            elif kind == 4:
+                value = (lambda v, k=said: v.get(k)) if said.lower() not in ("true", "false", "none") else (lambda v, k=said.lower(): None if k == "none" else k == "true")
+            else:
+                raise _bad(f"unexpected {said}")
         while mark := self._take(".", "["):
             if mark == ".":
                 kind, name = self.tokens[self.at] if self.at < len(self.tokens) else (0, "")
@@ -114,12 +201,24 @@ class _Expression:
                 if kind not in (1, 4):
                     raise _bad("a name is missing")
                 value = lambda v, f=value, k=name: _item(f(v), k)
+                continue
+            index = None if self._peek(":") else self._choice()
+            if self._take(":"):
+                end = None if self._peek("]") else self._choice()
+                value = lambda v, f=value, i=index, e=end: (f(v) or [])[i(v) if i else None : e(v) if e else None]
             else:
-                index = self._compare()
-                self._need("]")
                 value = lambda v, f=value, i=index: _item(f(v), i(v))
+            self._need("]")
         return value
 
+    def _peek(self, mark: str) -> bool:
+        return self.at < len(self.tokens) and self.tokens[self.at] == (5, mark)
+
+
+def _range(*bounds: int) -> list:
+    found = range(*bounds)
+    return list(found) if len(found) <= _MOST else _fail("a range is too long")
+
 
 def _item(of, key):
     if isinstance(of, dict):
@@ -135,15 +234,20 @@ def _said(value) -> str:
 
 def compiled(source: str):
     """A function from a dictionary of values to text. Reading errors are raised here."""
-    parts, at = [], 0
+    parts, at, trim = [], 0, False
     for m in _PART.finditer(source):
-        parts.append(("text", source[at : m.start()]))
+        between = source[at : m.start()]
+        between = between.lstrip() if trim else between
+        parts.append(("text", between.rstrip() if "-" in (m[3], m[6], m[9]) else between))
+        trim = "-" in (m[5], m[8], m[10])
         if m[1] is not None:
-            parts.append(("value", _Expression(m[1]).run))
-        elif m[2] is not None:
-            parts.append(("tag", m[2].strip()))
+            parts.append(("text", m[2]))
+        elif m[4] is not None:
+            parts.append(("value", _Expression(m[4]).run))
+        elif m[7] is not None:
+            parts.append(("tag", m[7].strip()))
         at = m.end()
-    parts.append(("text", source[at:]))
+    parts.append(("text", source[at:].lstrip() if trim else source[at:]))
     steps = iter(parts)
 
     def sequence(ends: tuple[str, ...]):
@@ -156,11 +260,17 @@ def compiled(source: str):
             if word in ends:
                 return out, word, rest
             if word == "for":
-                m = re.fullmatch(r"([A-Za-z_]\w*)\s+in\s+(.+)", rest.strip(), re.S)
+                m = re.fullmatch(r"([A-Za-z_]\w*(?:\s*,\s*[A-Za-z_]\w*)*)\s+in\s+(.+)", rest.strip(), re.S)
                 if not m:
                     raise _bad(f"cannot read for {rest}")
-                body, _, _ = sequence(("endfor",))
-                out.append(("for", (m[1], _Expression(m[2]).run, body)))
+                body, end, _ = sequence(("else", "endfor"))
+                other = sequence(("endfor",))[0] if end == "else" else []
+                out.append(("for", (re.split(r"\s*,\s*", m[1]), _Expression(m[2]).run, body, other)))
+            elif word == "set":
+                m = re.fullmatch(r"([A-Za-z_]\w*)\s*=\s*(.+)", rest.strip(), re.S)
+                if not m:
+                    raise _bad(f"cannot read set {rest}")
+                out.append(("set", (m[1], _Expression(m[2]).run)))
             elif word == "if":
                 branches, test, end = [], _Expression(rest).run, ""
                 while end != "endif":
@@ -177,17 +287,22 @@ def compiled(source: str):
     tree, _, _ = sequence(())
 
     def run(tree, values) -> str:
-        out = []
+        out, values = [], dict(values)
         for kind, x in tree:
             if kind == "text":
                 out.append(x)
             elif kind == "value":
                 out.append(_said(x(values)))
             elif kind == "for":
-                items = x[1](values) or []
+                items = list(x[1](values) or [])
                 for i, item in enumerate(items):
-                    loop = {"index": i + 1, "index0": i, "first": i == 0, "last": i == len(items) - 1, "length": len(items)}
-                    out.append(run(x[2], {**values, x[0]: item, "loop": loop}))
+                    loop = {"index": i + 1, "index0": i, "revindex": len(items) - i, "first": i == 0, "last": i == len(items) - 1, "length": len(items)}
+                    named = {x[0][0]: item} if len(x[0]) == 1 else dict(zip(x[0], item))
+                    out.append(run(x[2], {**values, **named, "loop": loop}))
+                if not items:
+                    out.append(run(x[3], values))
+            elif kind == "set":
+                values[x[0]] = x[1](values)
             else:
                 out.append(next((run(body, values) for test, body in x if test(values)), ""))
         return "".join(out)
