@@ -48,13 +48,28 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def written_alone(make, label: str, before: str | None = None) -> tuple[DataFrame, str]:
+    """``make()`` as a stored table, and its path. The tables that were stored on the way, and the one at ``before``,
+    are deleted: nothing needs them any more."""
+    first = len(_scratch)
+    df = written(make(), label)
+    (_, path), made = _scratch[-1], _scratch[first:-1]
+    for x in [*made, *(x for x in _scratch if x[1] == before)]:
+        _delete(*x)
+        _scratch.remove(x)
+    return df, path
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 @atexit.register
 def _clean() -> None:
-    for spark, path in _scratch:
+    for x in _scratch:
         try:
-            jvm = spark.sparkContext._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+            _delete(*x)
         except Exception:  # the session is gone; the folder's owner removes it
             return
 
@@ -117,7 +132,11 @@ def word_spans(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word; equal words have equal hashes wherever they stand."""
+    """A 64-bit hash of each word; equal words have equal hashes wherever they stand.
+
+    It is a polynomial modulo 2**64, so words of a thousand bytes and more that are made for it (Thue-Morse
+    sequences) may have one hash; such words count as equal.
+    """
     if not len(starts):
         return np.zeros(0, np.uint64)
     _grow(len(raw) + 1)

@@ -24,11 +24,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import tidy
+from .common import few, tidy
 
-HIDDEN, SPAN, WARM, LANES = 8, 96, 8, 2048
+HIDDEN, SPAN, WARM, LANES = 8, 192, 16, 2048
 #: Documents per label and windows of each that training may see, the windows' length, and how long it goes on.
-SAMPLE, WINDOWS, WINDOW_CHARS = 300, 4, 120
+SAMPLE, WINDOWS, WINDOW_BYTES = 300, 4, 120
 STEPS, BATCH, RATE, SEED = 260, 256, 0.02, 7
 
 
@@ -95,8 +95,8 @@ def train(texts: list[str], of: list[str], hidden: int = HIDDEN, steps: int = ST
     """From windows of text and their labels. Adam on the mean cross-entropy over the letters' positions."""
     labels = sorted(set(of))
     net = new_network(labels, hidden, seed)
-    raws = [t.encode("utf-8", "surrogatepass")[:WINDOW_CHARS] for t in texts]
-    data = np.full((len(raws), WINDOW_CHARS), 32, np.uint8)
+    raws = [t.encode("utf-8", "surrogatepass")[:WINDOW_BYTES].decode("utf-8", "ignore").encode() for t in texts]  # no part of a character
+    data = np.full((len(raws), WINDOW_BYTES), 32, np.uint8)
     for i, raw in enumerate(raws):
         data[i, : len(raw)] = np.frombuffer(raw, np.uint8)
     index = {y: k for k, y in enumerate(labels)}
@@ -217,27 +217,32 @@ def held_out(doc_id: Column) -> Column:
 
 def learned(docs: DataFrame, per_label: int = SAMPLE, label: str = "lang") -> Network | None:
     """A network trained on about ``per_label`` documents of each label, chosen by a hash, and windows from all over each."""
-    usable = docs.filter(~held_out(F.col("doc_id")) & F.col(label).isNotNull() & has_letter(F.col("text")))
-    counts = usable.groupBy(label).agg(F.count("*").alias("_n"))
+    usable = docs.filter(~held_out(F.col("doc_id")) & F.col(f"`{label}`").isNotNull() & has_letter(F.col("text"))).select(F.col(f"`{label}`").alias("y"), "doc_id", "text")
+    counts = few(usable.groupBy("y").agg(F.count("*").alias("n")))
     n = F.length("text")
-    windows = F.array(*(F.substring(F.col("text"), F.floor((n - WINDOW_CHARS) * (i / max(1, WINDOWS - 1)) + 1).cast("int"), F.lit(WINDOW_CHARS)) for i in range(WINDOWS)))
-    windows = F.when(n <= WINDOW_CHARS, F.array("text")).otherwise(windows)
-    chosen = usable.join(F.broadcast(counts), label).filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < F.ceil(F.lit(1 << 30) * F.least(F.lit(1.0), F.lit(per_label) / F.col("_n"))))
-    rows = chosen.select(F.col(label).alias("y"), F.explode(windows).alias("x")).orderBy("y", "x").toArrow()
+    windows = F.array(*(F.substring(F.col("text"), F.floor((n - WINDOW_BYTES) * (i / max(1, WINDOWS - 1)) + 1).cast("int"), F.lit(WINDOW_BYTES)) for i in range(WINDOWS)))
+    windows = F.when(n <= WINDOW_BYTES, F.array("text")).otherwise(windows)
+    chosen = usable.join(counts, "y").filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < F.ceil(F.lit(1 << 30) * F.least(F.lit(1.0), F.lit(per_label) / F.col("n"))))
+    # A repeated row has one hash, so all its copies are chosen or none: once is enough.
+    chosen = chosen.select("y", "doc_id", windows.alias("w")).dropDuplicates()
+    rows = chosen.select("y", F.explode("w").alias("x")).orderBy("y", "x").toArrow()
     if not rows.num_rows:
         return None
     return train(rows.column("x").to_pylist(), rows.column("y").to_pylist())
 
 
 def predicted(docs: DataFrame, net: Network | None, columns: list[str], named: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
-    """``columns`` of ``docs`` with the predicted label and its probability."""
-    kept = [c for c in columns if c != "text"]
-    rows = docs.select(*kept, "text", has_letter(F.col("text")).alias("_letter"))
-    with_text = "text" in columns
+    """``columns`` of ``docs`` with the predicted label and its probability.
+
+    Inside, columns go by their places, so that any name may stand beside others.
+    """
+    kept = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns)]
+    rows = docs.select(*kept, F.col("text").alias("t"), has_letter(F.col("text")).alias("l")) if "text" not in columns else docs.select(*kept, has_letter(F.col("text")).alias("l"))
+    at_text = columns.index("text") if "text" in columns else len(columns)
 
     def run(batches):
         for b in batches:
-            texts, letter = b.column(len(kept)), np.array(b.column(len(kept) + 1).to_pylist(), bool)
+            texts, letter = b.column(at_text), np.array(b.column(b.num_columns - 1).to_pylist(), bool)
             for at in range(0, len(texts), 512):
                 k = min(512, len(texts) - at)
                 said, score = np.full(k, "und", object), np.zeros(k)
@@ -247,13 +252,13 @@ def predicted(docs: DataFrame, net: Network | None, columns: list[str], named: t
                     ok = letter[at : at + k]
                     said[ok] = np.array(net.labels, object)[best[ok]]
                     score[ok] = np.minimum(1.0, p[np.arange(k), best])[ok]
-                out = [b.column(c).slice(at, k) for c in range(len(kept) + with_text)]
+                out = [b.column(c).slice(at, k) for c in range(len(columns))]
                 yield pa.RecordBatch.from_arrays([*out, pa.array(said, pa.string()), pa.array(score)], names=names)
 
     types = {f.name: f.dataType.simpleString() for f in docs.schema}
-    names = [*kept, *["text"] * with_text, *named]
-    schema = ", ".join(f"`{c}` {types[c]}" for c in names[:-2]) + f", `{named[0]}` string, `{named[1]}` double"
-    return rows.mapInArrow(tidy(run), schema)
+    names = [*(f"c{i}" for i in range(len(columns))), "said", "p"]
+    schema = "".join(f"c{i} {types[c]}, " for i, c in enumerate(columns)) + "said string, p double"
+    return rows.mapInArrow(tidy(run), schema).toDF(*columns, *named)
 
 
 def identified(docs: DataFrame) -> DataFrame:
@@ -264,5 +269,7 @@ def identified(docs: DataFrame) -> DataFrame:
 
 def keep_sure(docs: DataFrame, least: float = 0.5) -> DataFrame:
     """The rows of ``docs`` whose language is known (not ``und``) and has a probability of ``least`` or more."""
-    found = predicted(docs, learned(docs), docs.columns, ("_pred", "_score"))
-    return found.filter((F.col("_pred") != "und") & (F.col("_score") >= least)).select(*docs.columns)
+    places = [f"c{i}" for i in range(len(docs.columns))]
+    net = learned(docs)
+    found = predicted(docs.select("*"), net, docs.columns, ("said", "p")).toDF(*places, "said", "p")
+    return found.filter((F.col("said") != "und") & (F.col("p") >= least)).select(*places).toDF(*docs.columns)

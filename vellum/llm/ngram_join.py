@@ -485,12 +485,12 @@ def one_of_each_group(docs: DataFrame, n: int = 5, percent: int = 80, **more) ->
     """
     found = written(ngram_components(docs, n, percent, **more), "components")
     row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
-    stay = found.filter("root is not null").groupBy("root").agg(F.min(row).alias("r")).select("r.doc_id", "r.text_key")
-    copies = found.groupBy("doc_id", "text_key").agg(F.count("*").alias("copies"), F.max(F.col("root").isNull()).alias("empty"))
-    on = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a["text_key"] == b["text_key"])
-    stay = copies.filter("empty").select("doc_id", "text_key", F.lit(1).alias("copies")).unionByName(copies.filter("not empty").join(stay, on(copies, stay), "left_semi").select("doc_id", "text_key", "copies"))
-    stay = written(stay, "stay")
-    keyed = docs.withColumn("text_key", F.xxhash64("text"))
-    kept = keyed.join(stay, on(keyed, stay)).select(*(keyed[c] for c in keyed.columns), stay["copies"])
+    stay = found.filter("root is not null").groupBy("root").agg(F.min(row).alias("r")).select(F.col("r.doc_id").alias("id"), F.col("r.text_key").alias("key"))
+    each = found.groupBy("doc_id", "text_key").agg(F.count("*").alias("copies"), F.max(F.col("root").isNull()).alias("empty"))
+    same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_key") == F.col("key"))
+    stay = each.filter("not empty").join(stay, same, "left_semi").unionByName(each.filter("empty").withColumn("copies", F.lit(1).cast("long")))
+    stay = written(stay.select(F.col("doc_id").alias("id"), F.col("text_key").alias("key"), "copies"), "stay")
+    keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "doc_id", F.xxhash64("text").alias("text_key"))
+    kept = keyed.join(stay, same).select("row", "doc_id", "text_key", "copies")
     again = kept.filter("copies > 1").dropDuplicates(["doc_id", "text_key"])
-    return kept.filter("copies = 1").unionByName(again).drop("text_key", "copies")
+    return kept.filter("copies = 1").unionByName(again).select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns))

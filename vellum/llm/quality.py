@@ -7,8 +7,10 @@ corpus). A document's posterior probability of being good is then a logistic
 sum of one weight per vote, a plain column expression. Only DataFrame
 functions touch the corpus.
 
-Defined cases: null and empty texts have no words and fail the base rule;
-repeated rows and ids are judged each for itself; other columns are ignored;
+Defined cases: null and empty texts have no words and fail the base rule; a
+very long text is measured in its row, in memory that follows its length; a
+posterior of exactly ``least`` keeps; repeated rows and ids are judged each for
+itself; other columns, whatever their names, are ignored and kept as they are;
 an empty table leaves the accuracies as they start and returns no rows.
 """
 
@@ -141,14 +143,9 @@ def judged(docs: DataFrame, least: float = 0.5) -> DataFrame:
 
 def keep_good(docs: DataFrame, least: float = 0.5) -> DataFrame:
     """The rows of ``docs`` that pass the base rule and whose posterior is ``least`` or more."""
-    names = {c: f"_in_{c}" for c in docs.columns if c != "text"}
-    plain = docs.withColumnsRenamed(names)
-    posterior = fitted(written(votes(measures(docs.select("text"))).drop("text"), "votes"))
-    voted = votes(measures(plain)).select(*plain.columns, F.struct("n_words", "n_repeat_words", *(f"v_{r.name}" for r in RULES)).alias("_m"))
-    # A generator keeps the optimizer from copying the measures into the filter, once for each use.
-    voted = voted.select(*plain.columns, F.inline(F.array("_m")))
-    kept = voted.filter(~F.expr(BASE_FAILED) & (posterior >= least))
-    return kept.select(*plain.columns).withColumnsRenamed({v: k for k, v in names.items()})
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "text")
+    voted = written(votes(measures(whole)).select("row", "n_words", "n_repeat_words", *(f"v_{r.name}" for r in RULES)), "votes")
+    return voted.filter(~F.expr(BASE_FAILED) & (fitted(voted) >= least)).select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns))
 
 
 def oracle(rules=RULES, rounds: int = ROUNDS) -> str:
