@@ -2,6 +2,13 @@
 
 Each stage takes the documents that its predecessor kept and returns such
 documents; the last returns the pieces of the packed sequences.
+
+Defined cases, of every stage: null and empty texts fail the quality rules; a
+null doc_id, source or lang is a value like others (the language that a
+document claims is learned from, never trusted); very long texts are worked on
+whole; rows that are alike are judged alike, and one of them stays behind the
+third stage; further columns, whatever their names, go along, and n_chars, if
+there, follows the text; an empty table passes as an empty one.
 """
 
 from __future__ import annotations
@@ -9,7 +16,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from vellum.llm.common import written
+from vellum.llm.common import written_alone
 from vellum.llm.language import keep_sure
 from vellum.llm.mixing import mixed_documents
 from vellum.llm.ngram_join import one_of_each_group
@@ -55,8 +62,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the whole of ``documents``; each result is stored and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over the whole of ``documents``; each result is stored and read again, and what it was made from deleted."""
+    docs, path = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        docs, path = written_alone(lambda stage=stage, docs=docs: stage(spark, docs, sf_dir), name.replace(" ", "-"), path)
     return docs
