@@ -9,7 +9,8 @@ of labelled documents; whole texts are scored.
 
 Defined cases: null and empty texts have no feature and get the score 0;
 labels that are null or have no document are not learned from; of several
-labels of a document the lowest grade counts; without labels of two grades
+labels of a document the lowest grade counts, of several texts of one id the
+one with the least hash is learned from; without labels of two grades
 every document gets the highest; repeated rows are graded each for itself;
 other columns are ignored; an empty table gives no rows.
 """
@@ -138,7 +139,9 @@ def graded(docs: DataFrame, grades: DataFrame, sample: int = SAMPLE, least_tail:
             for s in in_groups(texts, GROUP_CHARS):
                 yield pa.RecordBatch.from_arrays([*(b.column(c).slice(s.start, s.stop - s.start) for c in (1, 2)), pa.array(features(texts[s]), pa.list_(pa.int32()))], names=["grade", "place", "f"])
 
-    seen = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", F.col("grade").cast("int"), place.alias("place"))
+    seen = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", F.col("grade").cast("int"), place.alias("place"))
+    # Of several texts of one id the one with the least hash, so that no more than the chosen ids' texts are learned from.
+    seen = seen.groupBy("doc_id", "grade", "place").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("text", "grade", "place")
     seen = written(seen.mapInArrow(tidy(learn), "grade int, place long, f array<int>"), "features")
     total, last = seen.agg(F.sum(F.size("f")), F.max("place")).first()
     if total and total > SAMPLE_FEATURES:  # whole documents are left out, as many as are too much
