@@ -151,6 +151,7 @@ def scored(pages: DataFrame, rules=RULES, sample: int = SAMPLE) -> DataFrame:
     odds = F.lit(start)
     for t in trees:
         odds = odds + _expression(t)
-    out = rows.withColumn("score", 1 / (1 + F.exp(-odds)))
+    # Stored, so that the trees are walked once and not again for the verdict.
+    out = written(rows.select("page_id", "host", "path", "rule", "rule_verdict", (1 / (1 + F.exp(-odds))).alias("score")), "scores")
     said = F.when(F.col("score") >= 0.5, "allow").otherwise("block")
     return out.select("page_id", "host", "path", "rule", F.coalesce("rule_verdict", said).alias("verdict"), "score")
