@@ -36,10 +36,19 @@ def test_runs_without_order_are_no_template(spark):
 
 
 def test_classes_nest():
-    template = [[1, 2, 3, 4], [10, 11]]
-    assert extraction.nested([1, 10, 7, 11, 2, 3, 4], template)[1] == set()
-    assert extraction.nested([1, 10, 2, 11, 3, 4], template)[1] == {10, 11}
-    assert extraction.nested([1, 3, 2, 10, 11, 10, 11, 4], template)[1] == {2}
+    template = extraction.Template([[1, 2, 3, 4], [10, 11]])
+    assert extraction.nested([1, 10, 7, 11, 2, 3, 4], template) == set()
+    assert extraction.nested([1, 10, 2, 11, 3, 4], template) == {10, 11}
+    assert extraction.nested([1, 3, 2, 10, 11, 10, 11, 4], template) == {2}
+
+
+def test_pages_and_templates_meet_by_host(spark, monkeypatch):
+    """Nothing is broadcast, and the pages of a host are dealt to parts."""
+    top, end = "<div class='x'><p>Welcome</p></div>", "<div class='z'><p>Copyright</p></div>"
+    monkeypatch.setattr(extraction, "BROADCAST_TOKENS", 0)
+    monkeypatch.setattr(extraction, "HOST_PAGES", 3)
+    monkeypatch.setattr(extraction, "KEPT_TEMPLATES", 1)
+    assert texts(spark, [page(i, top, end) for i in range(11)]) == {i: own(i) for i in range(11)}
 
 
 def test_odd_pages_leave_the_template(spark):
