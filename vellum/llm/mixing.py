@@ -132,22 +132,25 @@ def _first_words(text: Column, n: Column) -> Column:
 
 def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = 3, block: int = BLOCK) -> DataFrame:
     """Rows like those of ``docs``, in the order of the schedule's slots: a document once for each time that the mix
-    walks over it, the last time cut after the words that are taken. Rows that are alike are taken together: each
-    stands where the first of them does. n_chars follows the text. Nulls, ties and clashing names: as above; any
-    column may be missing but doc_id, text and source.
+    walks over it, the last time cut after the words that are taken. Rows that are alike
+    have places of their own on the line, and each of these gives its copies. n_chars follows the text. Nulls and ties:
+    as above; any names may stand beside, and any column be missing but doc_id, text and source.
     """
-    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "source", "text", F.xxhash64("doc_id", "source", "text").alias("id"))
-    sizes = written(whole.select(F.col("id").alias("doc_id"), "source", F.md5(F.col("id").cast("string")).alias("key"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")), "sizes")
+    id_ = F.xxhash64("doc_id", "source", "text")
+    sizes = written(docs.select(id_.alias("doc_id"), "source", F.md5(id_.cast("string")).alias("key"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")), "sizes")
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), id_.alias("id"))
     lines, spans = _mixed(sizes, weights, most, block)
     copies = spans.groupBy("k", "at", "turn").agg(F.first("doc_id").alias("id"), F.first("size").alias("size"), F.sum("words").alias("words"), F.min("slot").alias("slot"))
     if sizes.groupBy("doc_id").count().filter("count > 1").limit(1).count():
         whole = whole.dropDuplicates(["id"])
-    rows = copies.join(whole, "id").withColumn("text", F.when(F.col("words") < F.col("size"), _first_words(F.col("text"), F.col("words"))).otherwise(F.col("text")))
+    rows = copies.join(whole, "id").select("row", "slot", "size", "words")
     # Slots are numbered without gaps, so ranges of them need no sample of the rows.
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     slots = F.lit(-(-(sizes.agg(F.sum("size")).first()[0] or 0) // block) or 1)
     rows = rows.repartitionById(parts, F.least(F.floor(F.col("slot") * parts / slots), F.lit(parts - 1)).cast("int")).sortWithinPartitions("slot")
-    changed = {"text": F.col("text"), "n_chars": F.length("text")}
+    text = F.col("row.text")
+    text = F.when(F.col("words") < F.col("size"), _first_words(text, F.col("words"))).otherwise(text)
+    changed = {"text": text, "n_chars": F.length(text)}
     types = dict(docs.dtypes)
     return rows.select(*((changed[c].cast(types[c]) if c in changed else F.col(f"row.`{c}`")).alias(c) for c in docs.columns))
 
