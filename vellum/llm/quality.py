@@ -144,8 +144,12 @@ def judged(docs: DataFrame, least: float = 0.5) -> DataFrame:
 def keep_good(docs: DataFrame, least: float = 0.5) -> DataFrame:
     """The rows of ``docs`` that pass the base rule and whose posterior is ``least`` or more."""
     whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "text")
-    voted = written(votes(measures(whole)).select("row", "n_words", "n_repeat_words", *(f"v_{r.name}" for r in RULES)), "votes")
-    return voted.filter(~F.expr(BASE_FAILED) & (fitted(voted) >= least)).select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns))
+    posterior = fitted(written(votes(measures(docs.select("text"))).select(*(f"v_{r.name}" for r in RULES)), "votes"))
+    # Measured once more rather than stored with the texts, which would be a copy of the corpus. The generator keeps
+    # the optimizer from copying the measures into the filter, once for each use.
+    voted = votes(measures(whole)).select("row", F.struct("n_words", "n_repeat_words", *(f"v_{r.name}" for r in RULES)).alias("m"))
+    voted = voted.select("row", F.inline(F.array("m")))
+    return voted.filter(~F.expr(BASE_FAILED) & (posterior >= least)).select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns))
 
 
 def oracle(rules=RULES, rounds: int = ROUNDS) -> str:
