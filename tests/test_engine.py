@@ -235,6 +235,31 @@ def test_charsets():
         assert charset_of(said.encode(encoding)) == want
 
 
+def test_latin_letters_are_no_other_script():
+    from vellum.operators.detect import PROBE, charset_of
+
+    for said in ("Domi no ciónírres del.", "Esasue osll. Asie ciónñci jacimi.", "Anaieux éé èçou éç.", "DANS ÈÉÈIER", "Èréè.", "Du reçé.", "lich ü", "Ññ.", "ÑÍ DEL", "né", "é", "Entrée\nRéférences de version:", "pa ench de ouè" + " a" * 5000, "a" * (PROBE - 1) + "é la", "a" * (PROBE - 2) + "éé la"):
+        assert charset_of(said.encode("latin-1")) == "windows-1252", said
+    for said in ("a" * (PROBE - 1) + "é", "a" * (PROBE - 2) + "日本", "a" * (PROBE - 3) + "\U0001f600\xe9", "a" * PROBE + "é"):
+        assert charset_of(said.encode()) == "utf-8"
+    for said, encoding, want in (("Привет", "cp1251", "windows-1251"), ("Файл не найден: SMS", "cp1251", "windows-1251"), ("找不到檔案 file.txt", "big5", "big5"), ("系统找不到指定的文件，请检查路径是否正确 Python", "gb18030", "gb18030"), ("ファイルが file.txt", "shift_jis", "shift_jis")):
+        assert charset_of(said.encode(encoding)) == want, said
+
+
+def test_charset_query_on_short_latin_texts(spark, tmp_path):
+    import duckdb
+
+    from vellum import catalog, catalog_engine  # noqa: F401
+
+    said = ["Domi no ciónírres del.", "Anaieux éé èçou éç.", "De ciónñci", "lich ü", "no accents", "", "a" * 8191 + "é la", "a" * 8192 + "é"]
+    rows = spark.createDataFrame([(3 * i + k, text) for i, text in enumerate(said) for k in range(3)] + [(99, None)], "doc_id long, text string")
+    rows.write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    want = con.execute(catalog.ORACLES["sniff_charset"]).fetchall()
+    assert sorted(map(tuple, catalog.QUERIES["sniff_charset"](spark, str(tmp_path)).collect())) == sorted(want)
+
+
 def test_callers_context():
     engine = DocumentEngine()
     cx = engine._context()
